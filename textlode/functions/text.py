@@ -1,8 +1,8 @@
-"""Text expressions. (?U) makes \\s match all Unicode blanks, as Python's str.strip and str.split do."""
+"""Text expressions. Blanks are those of Python's str.strip and str.split."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The public stop word list of Spark's StopWordsRemover for English.
@@ -23,8 +23,11 @@ would
 # Phrases and line starts that mark a quoted line in a newsgroup message.
 QUOTE_LINE = r"(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|^\||^>)"
 
-# Two or more word characters, the usual TF-IDF token.
-TERM = r"(?U)\b\w\w+\b"
+# The Unicode blanks, and the four separators that Python counts as blanks, too.
+BLANK = r"(?U)[\s\x1c-\x1f]"
+BLANK_START, BLANK_END = r"(?U)^[\s\x1c-\x1f]+", r"(?U)[\s\x1c-\x1f]+$"
+# Two or more letters, digits or underscores: the usual TF-IDF token.
+TERM = r"[\p{L}\p{N}_]{2,}"
 
 
 def _col(c: Column | str) -> Column:
@@ -33,12 +36,17 @@ def _col(c: Column | str) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Trim blanks at both ends."""
-    return F.regexp_replace(F.regexp_replace(_col(text), r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.regexp_replace(F.regexp_replace(_col(text), BLANK_START, ""), BLANK_END, "")
 
 
 def words(text: Column | str) -> Column:
     """Whitespace tokens, case kept."""
-    return F.filter(F.split(_col(text), r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(_col(text), f"{BLANK}+"), lambda w: w != "")
+
+
+def explode_words(df: DataFrame, text: Column | str) -> DataFrame:
+    """One row `word` per whitespace token."""
+    return df.select(F.explode(F.split(_col(text), f"{BLANK}+")).alias("word")).where(F.col("word") != "")
 
 
 def word_count(text: Column | str) -> Column:

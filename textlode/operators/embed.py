@@ -17,7 +17,7 @@ from textlode.functions import text as T
 from textlode.functions import vectors as V
 from textlode.functions.keys import SEED
 from textlode.operators.cuts import dense_positions, keyed
-from textlode.operators.scale import attach
+from textlode.operators.scale import attach, spread
 from textlode.operators.splits import sample_rows
 
 # Token ids of padding and of words outside the vocabulary.
@@ -28,7 +28,7 @@ UNKNOWN_ID = 1
 def fit_encoder(df: DataFrame, text_col: str = "text", dim: int = 256) -> PipelineModel:
     """Fit the built-in encoder: hashed TF-IDF of the lower-case whitespace tokens."""
     stages = [
-        RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"(?U)\s+"),
+        RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=f"{T.BLANK}+"),
         HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dim),
         IDF(inputCol="_counts", outputCol="_raw"),
     ]
@@ -171,7 +171,7 @@ def token_ids(
 
     The most frequent `vocabulary` words get the numbers from 2 on, all others share one number.
     """
-    tokens = df.select(F.explode(T.words(F.lower(text_col))).alias("word"))
+    tokens = T.explode_words(spread(df), F.lower(text_col))
     counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary)
     by_count = W.orderBy(F.desc("n"), "word")  # over at most `vocabulary` rows

@@ -29,23 +29,29 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 def nearest_in_block(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int):
     """(query row, point row, squared distance) of each query's k nearest points, ties by id.
 
-    A matrix product finds the candidates. Their distances are then measured by direct difference,
-    summed from the first element to the last. Points are sorted by id, so a stable sort by distance
-    breaks ties by id. Rounding of the matrix product is covered by a margin: every point within it is measured.
+    A single-precision matrix product finds the candidates. Its rounding is bounded, and every point
+    within that bound of the k-th is then measured by direct difference in double, summed from the first element to
+    the last. Points are sorted by id, so a stable sort by distance breaks ties by id.
     """
     order = np.argsort(ids, kind="stable")
     points = points[order]
-    point_sq = np.einsum("ij,ij->i", points, points)
     k = min(k, len(points))
-    tile = max(1, TILE_BYTES // (8 * len(points)))
+    # Scaled to norms of at most 1, so the bound below is absolute and nothing overflows.
+    norms = [np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (queries, points)]
+    scale = max(float(n.max()) for n in norms) or 1.0
+    query_sq, point_sq = ((n / scale) ** 2 for n in norms)
+    rough_points = np.ascontiguousarray((points / scale).astype(np.float32).T)
+    margin = 2 * (points.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    tile = max(1, TILE_BYTES // (4 * len(points)))
     found_q, found_p, found_d = [], [], []
     for begin in range(0, len(queries), tile):
         block = queries[begin : begin + tile]
-        block_sq = np.einsum("ij,ij->i", block, block)
-        rough = block_sq[:, None] + point_sq[None, :] - 2.0 * (block @ points.T)
+        rough = (block / scale).astype(np.float32) @ rough_points
+        rough *= -2
+        rough += point_sq.astype(np.float32)
+        rough += query_sq[begin : begin + tile, None].astype(np.float32)
         kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        margin = 1e-10 * (1.0 + block_sq + point_sq.max())
-        near_q, near_p = np.nonzero(rough <= (kth + margin)[:, None])
+        near_q, near_p = np.nonzero(rough <= (kth + np.float32(margin))[:, None])
         exact = np.empty(len(near_q))
         step = max(1, TILE_BYTES // (8 * points.shape[1]))
         for at in range(0, len(near_q), step):
@@ -96,7 +102,7 @@ def knn(
     n_queries = queries.count()
     index_blocks = max(1, math.ceil(index.count() / block_rows))
     # Larger query blocks copy the index less often; smaller ones keep all cores busy.
-    wanted = math.ceil(spark.sparkContext.defaultParallelism / index_blocks)
+    wanted = math.ceil(4 * spark.sparkContext.defaultParallelism / index_blocks)
     query_blocks = max(1, math.ceil(n_queries / block_rows), min(wanted, math.ceil(n_queries / SMALL_BLOCK)))
 
     def block_of(column, blocks):
@@ -107,7 +113,8 @@ def knn(
 
     # Of equal vectors only the k smallest ids can be among the k nearest. This bounds the ties at the k-th
     # place however many copies there are, and prunes before its shuffle.
-    copies = W.partitionBy("point").orderBy("neighbour_id")
+    # The digest comes first, as comparing whole vectors is slow.
+    copies = W.partitionBy(F.xxhash64("point"), "point").orderBy("neighbour_id")
     points = points.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
 
     # An explicit number of partitions keeps small but costly blocks apart.

@@ -43,6 +43,17 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a small input of few files, for operators that work hard on each row.
+
+    Such files often hold a single row group, so most of their planned partitions are empty. Larger inputs, with more
+    partitions than cores, or inputs of many files are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df.rdd.getNumPartitions() <= cores and 4 * len(df.inputFiles()) < cores
+    return df.repartition(cores) if few else df
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
     """Shuffle join in which each key of `big` is split over SALTS tasks by its column `spread`."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
-from textlode.operators.scale import BROADCAST_ROWS, salted_join, stage
+from textlode.operators.scale import BROADCAST_ROWS, salted_join, spread, stage
 
 # The most frequent terms are joined by broadcast. Any other term is in too few documents to be skewed.
 FREQUENT_TERMS = 50_000
@@ -19,7 +19,7 @@ FREQUENT_TERMS = 50_000
 def inverse_frequency(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, df, idf) over all documents."""
     per_term = (
-        df.select(F.explode(F.array_distinct(T.terms(text_col))).alias("term"))
+        spread(df).select(F.explode(F.array_distinct(T.terms(text_col))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -28,24 +28,23 @@ def inverse_frequency(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def weights(docs: DataFrame, idf: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, term, weight) of the documents, each scaled to length 1. `idf` should be staged.
+    """(id, term, weight) of the documents, each scaled to length 1. `idf` is staged, so counting it is cheap.
 
-    Frequent terms get their idf by broadcast. Their rows then carry a spread-out key through the shuffle
-    join that serves the rare terms, so that no term gathers in one task.
+    The texts are shuffled once by id; counting terms and scaling documents then stay in place. A vocabulary within
+    BROADCAST_ROWS is broadcast. Of a larger one only the frequent terms are: their rows then carry a spread-out
+    key through the shuffle join that serves the rare terms, so that no term gathers in one task.
     """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
     counts = (
-        docs.select(F.col(id_col).alias("id"), F.explode(T.terms(text_col)).alias("term"))
+        texts.select("id", F.explode(T.terms("text")).alias("term"))
         .groupBy("id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    frequent = idf.orderBy(F.desc("df"), "term").limit(FREQUENT_TERMS).select("term", F.col("idf").alias("idf_frequent"))
-    known = counts.join(F.broadcast(frequent), "term", "left")
-    spread = F.concat_ws(" ", "term", "id")  # no term holds a blank, so this matches nothing
-    known = known.withColumn("_key", F.when(F.col("idf_frequent").isNull(), F.col("term")).otherwise(spread))
-    rare = idf.select(F.col("term").alias("_key"), F.col("idf").alias("idf_rare"))
-    raw = known.join(rare, "_key", "left").select(
-        "id", "term", (F.col("tf") * F.coalesce("idf_frequent", "idf_rare")).alias("raw")
-    )
+    if idf.count() <= BROADCAST_ROWS:
+        found = counts.join(F.broadcast(idf.select("term", "idf")), "term")
+    else:
+        found = join_rare(counts, idf)
+    raw = found.select("id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     # One document's terms: as large as the document, which already is one value.
     per_doc = raw.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "raw"))).alias("terms"))
     length = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["raw"] * t["raw"]))
@@ -54,6 +53,18 @@ def weights(docs: DataFrame, idf: DataFrame, id_col: str = "id", text_col: str =
     )
 
 
+def join_rare(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """Add idf to (id, term, tf): frequent terms by broadcast, the others by shuffle."""
+    frequent = idf.orderBy(F.desc("df"), "term").limit(FREQUENT_TERMS).select("term", F.col("idf").alias("idf_frequent"))
+    known = counts.join(F.broadcast(frequent), "term", "left")
+    spread = F.concat_ws(" ", "term", "id")  # no term holds a blank, so this matches nothing
+    known = known.withColumn("_key", F.when(F.col("idf_frequent").isNull(), F.col("term")).otherwise(spread))
+    rare = idf.select(F.col("term").alias("_key"), F.col("idf").alias("idf_rare"))
+    return known.join(rare, "_key", "left").select(
+        "id", "term", "tf", F.coalesce("idf_frequent", "idf_rare").alias("idf")
+    )
+
+
 def tfidf(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, term, weight) of the whole corpus."""
     return weights(df, stage(inverse_frequency(df, text_col), "idf"), id_col, text_col)

@@ -7,7 +7,7 @@ from textlode.functions.keys import SEED
 DOCS = "docs AS (SELECT doc_id AS id, text, lang AS label, source FROM documents)"
 VECS = "vecs AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label AS label_id FROM embeddings)"
 WORDS = r"list_filter(string_split_regex({text}, '\s+'), lambda w: w <> '')"
-TERMS = r"regexp_extract_all(lower({text}), '[\p{{L}}\p{{M}}\p{{N}}_]{{2,}}')"
+TERMS = r"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 
 
 def words(text: str = "text") -> str:

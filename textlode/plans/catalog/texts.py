@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textlode.functions.text import explode_words
 from textlode.operators import clean
 from textlode.operators.labels import encode_labels
+from textlode.operators.pairs import text_with_empty
 from textlode.plans.catalog import sql
 from textlode.plans.catalog.registry import documents, embeddings, query, rated_documents, table
 
@@ -127,9 +129,7 @@ def u1(spark, folder):
 
 @query("u2_distinct_values", f"SELECT DISTINCT unnest({sql.words()}) AS word FROM documents")
 def u2(spark, folder):
-    from textlode.functions.text import words
-
-    return clean.distinct_values(documents(spark, folder).select(F.explode(words("text")).alias("word")), "word")
+    return clean.distinct_values(explode_words(documents(spark, folder), "text"), "word")
 
 
 @query("u3_label_union", "SELECT lang AS label FROM documents UNION SELECT role FROM conversations")
@@ -174,6 +174,4 @@ def j4(spark, folder):
     SELECT id AS pair_id, text AS text_a, '' AS text_b, label_id::DOUBLE AS label FROM docs JOIN names USING (label)""",
 )
 def t7(spark, folder):
-    from textlode.operators.pairs import text_with_empty
-
     return text_with_empty(encode_labels(documents(spark, folder)))
