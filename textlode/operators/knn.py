@@ -13,7 +13,9 @@ from pyspark.sql import types as t
 
 # Memory for one block of vectors and for one tile of distances in a task.
 BLOCK_BYTES = 64 * 1024 * 1024
-TILE_BYTES = 32 * 1024 * 1024
+TILE_BYTES = 16 * 1024 * 1024
+# Points per run whose smallest distance is looked at first.
+RUN = 64
 # Queries per block while there is less than one block per core.
 SMALL_BLOCK = 256
 MAX_PARTITIONS = 20_000
@@ -29,31 +31,39 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 def nearest_in_block(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int):
     """(query row, point row, squared distance) of each query's k nearest points, ties by id.
 
-    A single-precision matrix product finds the candidates. Its rounding is bounded, and every point
-    within that bound of the k-th is then measured by direct difference in double, summed from the first element to
-    the last. Points are sorted by id, so a stable sort by distance breaks ties by id.
+    A single-precision matrix product gives rough distances. The k-th smallest minimum over runs of points
+    bounds the k-th distance, and every point within that bound and the bounded rounding error is then measured by
+    direct difference in double, summed from the first element to the last. Points are sorted by id, so ties
+    go to the smaller id.
     """
     order = np.argsort(ids, kind="stable")
     points = points[order]
-    k = min(k, len(points))
-    # Scaled to norms of at most 1, so the bound below is absolute and nothing overflows.
+    n, dim = points.shape
+    k = min(k, n)
+    run = max(1, min(RUN, n // k))  # at least k runs
+    # Scaled to norms of at most 1, so the error bound is absolute and nothing overflows.
     norms = [np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (queries, points)]
-    scale = max(float(n.max()) for n in norms) or 1.0
-    query_sq, point_sq = ((n / scale) ** 2 for n in norms)
-    rough_points = np.ascontiguousarray((points / scale).astype(np.float32).T)
-    margin = 2 * (points.shape[1] + 8) * float(np.finfo(np.float32).eps)
-    tile = max(1, TILE_BYTES // (4 * len(points)))
+    scale = max(float(x.max()) for x in norms) or 1.0
+    error = 4 * (dim + 8) * float(np.finfo(np.float32).eps)
+    # |x|^2 - 2qx as one product: the norms are a further row, and padding is out of reach.
+    rough_points = np.zeros((dim + 1, -(-n // run) * run), dtype=np.float32)
+    rough_points[:dim, :n] = -2 * points.T / scale
+    rough_points[dim, :n] = (norms[1] / scale) ** 2
+    rough_points[dim, n:] = 1e30
+    tile = max(1, TILE_BYTES // (4 * rough_points.shape[1]))
     found_q, found_p, found_d = [], [], []
     for begin in range(0, len(queries), tile):
         block = queries[begin : begin + tile]
-        rough = (block / scale).astype(np.float32) @ rough_points
-        rough *= -2
-        rough += point_sq.astype(np.float32)
-        rough += query_sq[begin : begin + tile, None].astype(np.float32)
-        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        near_q, near_p = np.nonzero(rough <= (kth + np.float32(margin))[:, None])
+        rough_queries = np.ones((len(block), dim + 1), dtype=np.float32)
+        rough_queries[:, :dim] = block / scale
+        rough = (rough_queries @ rough_points).reshape(len(block), -1, run)
+        lowest = rough.min(axis=2)
+        bound = (np.partition(lowest, k - 1, axis=1)[:, k - 1] + np.float32(error))[:, None]
+        run_q, run_p = np.nonzero(lowest <= bound)
+        hit, offset = np.nonzero(rough[run_q, run_p] <= bound[run_q])
+        near_q, near_p = run_q[hit], run_p[hit] * run + offset
         exact = np.empty(len(near_q))
-        step = max(1, TILE_BYTES // (8 * points.shape[1]))
+        step = max(1, TILE_BYTES // (8 * dim))
         for at in range(0, len(near_q), step):
             gap = block[near_q[at : at + step]] - points[near_p[at : at + step]]
             exact[at : at + step] = np.cumsum(gap * gap, axis=1)[:, -1]
