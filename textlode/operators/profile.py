@@ -61,8 +61,8 @@ def length_histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
     edges = values.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi")).alias("edges")).scalar()
     placed = values.withColumn("edges", edges)
     lo, hi = F.col("edges.lo"), F.col("edges.hi")
-    inner = F.least(F.floor((F.col("value") - lo) * bins / F.nullif(hi - lo, F.lit(0.0))) + 1, F.lit(bins))
-    binned = placed.groupBy(F.coalesce(inner, F.lit(1)).cast("int").alias("bin"), "edges").agg(
+    steps = F.coalesce(F.floor((F.col("value") - lo) * bins / F.nullif(hi - lo, F.lit(0.0))), F.lit(0))
+    binned = placed.groupBy(F.least(steps + 1, F.lit(bins)).cast("int").alias("bin"), "edges").agg(
         F.count(F.lit(1)).alias("n")
     )
     step = (hi - lo) / bins

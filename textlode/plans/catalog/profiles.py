@@ -67,7 +67,7 @@ def a7(spark, folder):
 @query(
     "a8_length_histogram",
     f"""WITH v AS (SELECT len({sql.words()})::DOUBLE AS x FROM documents), e AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
-    b AS (SELECT coalesce(least(floor((x - lo) * 50 / nullif(hi - lo, 0)) + 1, 50), 1)::INT AS bin, lo, hi FROM v, e)
+    b AS (SELECT least(coalesce(floor((x - lo) * 50 / nullif(hi - lo, 0)), 0) + 1, 50)::INT AS bin, lo, hi FROM v, e)
     SELECT bin, round(lo + (bin - 1) * ((hi - lo) / 50), 6) AS low, round(lo + bin * ((hi - lo) / 50), 6) AS high,
     count(*) AS n FROM b GROUP BY bin, lo, hi""",
 )
