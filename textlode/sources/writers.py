@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from textlode.functions.text import BLANK
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV that `read_csv` reads back: all fields quoted, quotes doubled, null as nothing."""
-    df.write.mode("overwrite").option("header", "true").option("escape", '"').option("quoteAll", "true").csv(path)
+    """CSV that `read_csv` reads back, blanks and line breaks included. An empty text comes back as null."""
+    writer = df.write.mode("overwrite").option("header", "true").option("escape", '"').option("quoteAll", "true")
+    writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -22,7 +26,8 @@ def write_json_by_category(df: DataFrame, category_col: str, path: str) -> None:
 
 def write_label_lines(df: DataFrame, path: str, label_col: str = "label", text_col: str = "text") -> None:
     """Lines `label text` in latin-1; blanks and line breaks in the text become one space."""
-    line = df.selectExpr(f"concat({label_col}, ' ', regexp_replace({text_col}, '(?U)\\\\s+', ' ')) as line")
+    text = F.regexp_replace(text_col, f"{BLANK}+", " ")
+    line = df.select(F.concat(label_col, F.lit(" "), text).alias("line"))
     writer = line.write.mode("overwrite").option("sep", "\u0001").option("quote", "\u0000")
     writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option(
         "encoding", "ISO-8859-1"
