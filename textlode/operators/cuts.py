@@ -75,11 +75,15 @@ def mark_parts(
     salt: str,
     seed: int = SEED,
     quota_rows: int | None = None,
+    reused: bool = True,
 ) -> DataFrame:
     """Add column `out`: the first of `parts` whose cut covers the row, else `rest`.
 
     The parts take consecutive stretches of each group's random order, so the `upto` of a part
     includes the parts before it.
+
+    With `reused` the few cut points are staged. Marking is then a comparison during the scan, so the parts can be
+    read any number of times without finding the cuts again and without a copy of the table.
     """
     if quota_rows is None:
         quotas = stage(quotas, "quotas")
@@ -89,6 +93,8 @@ def mark_parts(
     wide = points.groupBy("grp").agg(
         *[F.max(F.when(F.col("part") == p, F.col("cut"))).alias(f"_cut{i}") for i, p in enumerate(parts)]
     )
+    if reused:
+        wide = stage(wide, "cuts")
     grp = F.col(group) if group else F.lit(0)
     marked = attach(
         df.withColumn("_grp", grp), wide.withColumnRenamed("grp", "_grp"), ["_grp"], id_col, "left", quota_rows
@@ -114,7 +120,7 @@ def take_per_group(
             F.lit(0).alias("grp"), F.lit("taken").alias("part"), F.lit(n).cast("bigint").alias("upto")
         )
         quota_rows = 1
-    marked = mark_parts(df, id_col, group, quotas, ["taken"], "left", "_part", salt, seed, quota_rows)
+    marked = mark_parts(df, id_col, group, quotas, ["taken"], "left", "_part", salt, seed, quota_rows, reused=False)
     return marked.where(F.col("_part") == "taken").drop("_part")
 
 

@@ -17,7 +17,7 @@ from textlode.functions import text as T
 from textlode.functions import vectors as V
 from textlode.functions.keys import SEED
 from textlode.operators.cuts import dense_positions, keyed
-from textlode.operators.scale import attach, spread
+from textlode.operators.scale import attach, spread, with_sides
 from textlode.operators.splits import sample_rows
 
 # Token ids of padding and of words outside the vocabulary.
@@ -32,17 +32,16 @@ def fit_encoder(df: DataFrame, text_col: str = "text", dim: int = 256) -> Pipeli
         HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dim),
         IDF(inputCol="_counts", outputCol="_raw"),
     ]
-    return Pipeline(stages=stages).fit(df.where(F.col(text_col).isNotNull()))
+    return Pipeline(stages=stages).fit(spread(df.select(text_col)).where(F.col(text_col).isNotNull()))
 
 
 def embed(df: DataFrame, encoder: PipelineModel, text_col: str = "text", out: str = "embedding") -> DataFrame:
     """Add the unit-length embedding of each text; null for a text without tokens."""
-    known = df.withColumn("_text", F.col(text_col))
-    vectors = encoder.transform(known.where(F.col(text_col).isNotNull()))
-    unit = V.l2_normalize(vector_to_array("_raw"))
-    with_vector = vectors.withColumn(out, unit.cast("array<float>"))
-    missing = known.where(F.col(text_col).isNull()).withColumn(out, F.lit(None).cast("array<float>"))
-    return with_vector.select(*df.columns, out).unionByName(missing.select(*df.columns, out))
+    # A null text goes through as an empty one, so that one pass serves all rows.
+    given = spread(df).withColumn("_given", F.col(text_col)).withColumn(text_col, F.coalesce(text_col, F.lit("")))
+    vectors = encoder.transform(given).withColumn("_values", vector_to_array("_raw"))
+    unit = V.l2_normalize("_values").cast("array<float>")
+    return vectors.withColumn(text_col, F.col("_given")).withColumn(out, unit).select(*df.columns, out)
 
 
 def embed_query(df: DataFrame, text: str, encoder: PipelineModel) -> DataFrame:
@@ -88,17 +87,18 @@ def normalize_embeddings(df: DataFrame, vec_col: str = "embedding") -> DataFrame
     return df.withColumn(vec_col, V.l2_normalize(vec_col))
 
 
-def pair_scores(pairs: DataFrame, vectors: DataFrame, keys: list[str], id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """Add `similarity` (cosine) and `dist` (squared L2) to pairs (keys…, id_a, id_b).
-
-    The vectors are the side with unique ids; an id that is in many pairs is split by AQE.
-    """
-    a = vectors.select(F.col(id_col).alias("id_a"), F.col(vec_col).alias("_a"))
-    b = vectors.select(F.col(id_col).alias("id_b"), F.col(vec_col).alias("_b"))
-    joined = pairs.join(a, "id_a").join(b, "id_b")
-    return joined.withColumns({"similarity": V.cosine("_a", "_b"), "dist": V.squared_distance("_a", "_b")}).drop(
-        "_a", "_b"
-    )
+def pair_scores(
+    pairs: DataFrame,
+    vectors: DataFrame,
+    keys: list[str],
+    rows: int,
+    id_col: str = "id",
+    vec_col: str = "embedding",
+) -> DataFrame:
+    """Add `similarity` (cosine) and `dist` (squared L2) to pairs (keys…, id_a, id_b); `rows` bounds their number."""
+    joined = with_sides(pairs, vectors, keys, id_col, vec_col, "_vector", rows)
+    a, b = "_vector_a", "_vector_b"
+    return joined.withColumns({"similarity": V.cosine(a, b), "dist": V.squared_distance(a, b)}).drop(a, b)
 
 
 def shuffled_batches(df: DataFrame, batch_size: int, id_col: str = "id", seed: int = SEED) -> DataFrame:
@@ -171,7 +171,8 @@ def token_ids(
 
     The most frequent `vocabulary` words get the numbers from 2 on, all others share one number.
     """
-    tokens = T.explode_words(spread(df), F.lower(text_col))
+    df = spread(df)
+    tokens = T.explode_words(df, F.lower(text_col))
     counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary)
     by_count = W.orderBy(F.desc("n"), "word")  # over at most `vocabulary` rows

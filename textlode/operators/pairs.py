@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textlode.functions.keys import SEED, draw
 from textlode.operators.cuts import keyed, range_lookup, rows_at
-from textlode.operators.scale import BROADCAST_ROWS, attach, salted_join, stage
+from textlode.operators.scale import attach, stage, with_sides
 from textlode.operators.splits import share_out
 from textlode.operators.tfidf import pair_similarity
 
@@ -40,20 +40,8 @@ def pick(df: DataFrame, id_col: str, label_col: str, wanted: DataFrame, rows: in
 
 
 def with_text(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """Add text_a and text_b to pairs. The corpus is scanned once and not shuffled if the pairs are few."""
-    sides = pairs.select(
-        "pair_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"id_{s}").alias("id")) for s in "ab"]))
-    ).select("pair_id", "col.side", "col.id")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if 2 * rows <= BROADCAST_ROWS:
-        found = texts.join(F.broadcast(sides), "id")
-    else:
-        needed = texts.join(sides.select("id").distinct(), "id", "left_semi")
-        found = salted_join(sides, needed, ["id"], "pair_id")
-    wide = found.groupBy("pair_id").agg(
-        *[F.max(F.when(F.col("side") == s, F.col("text"))).alias(f"text_{s}") for s in "ab"]
-    )
-    return pairs.join(wide, "pair_id")
+    """Add text_a and text_b to pairs."""
+    return with_sides(pairs, df, ["pair_id"], id_col, text_col, "text", rows)
 
 
 def drawn_classes(df: DataFrame, label_col: str, draws: int, seed: int) -> tuple[DataFrame, DataFrame, int]:

@@ -57,14 +57,14 @@ def vocabulary_size(df: DataFrame, text_col: str = "text", approximate: bool = F
 
 def length_histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
     """(bin, low, high, n) of the non-empty bins of equal width; a constant column has one bin."""
-    values = df.select(value.cast("double").alias("value")).where(F.col("value").isNotNull())
+    values = spread(df).select(value.cast("double").alias("value"))
     edges = values.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi")).alias("edges")).scalar()
     placed = values.withColumn("edges", edges)
     lo, hi = F.col("edges.lo"), F.col("edges.hi")
     steps = F.coalesce(F.floor((F.col("value") - lo) * bins / F.nullif(hi - lo, F.lit(0.0))), F.lit(0))
-    binned = placed.groupBy(F.least(steps + 1, F.lit(bins)).cast("int").alias("bin"), "edges").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    number = F.least(steps + 1, F.lit(bins)).cast("int")
+    # Values are counted, not rows: the bin of a null is no bin.
+    binned = placed.groupBy(number.alias("bin"), "edges").agg(F.count("value").alias("n")).where("n > 0")
     step = (hi - lo) / bins
     return binned.select(
         "bin", (lo + (F.col("bin") - 1) * step).alias("low"), (lo + F.col("bin") * step).alias("high"), "n"

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # Largest class-level table that is broadcast. Beyond it the join is salted instead.
 BROADCAST_ROWS = 200_000
 SALTS = 32
+# A key with more rows than this, and with more than 1 / HOT_KEYS of all rows, is joined on its own.
+HOT_ROWS = 100_000
+HOT_KEYS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,14 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session without one gets a folder of its own.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="textlode-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="textlode-"))
+        path = context.getCheckpointDir()
+    return path.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -62,6 +65,43 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: str, ho
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def join_unique(big: DataFrame, unique: DataFrame, on: list[str]) -> DataFrame:
+    """Join a staged table, in which a key may fill a third of the rows, to one with unique keys.
+
+    The hot keys are counted out first. There are fewer than HOT_KEYS, so their rows of `unique` are broadcast;
+    all other keys go through a plain shuffle join.
+    """
+    limit = max(HOT_ROWS, big.count() // HOT_KEYS)
+    hot = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*on)
+    hot = stage(hot, "hot-keys")
+    if not hot.count():
+        return big.join(unique, on)
+    rest = big.join(F.broadcast(hot), on, "left_anti").join(unique, on)
+    few = unique.join(F.broadcast(hot), on, "left_semi")
+    return rest.unionByName(big.join(F.broadcast(few), on))
+
+
+def with_sides(
+    pairs: DataFrame, table: DataFrame, keys: list[str], id_col: str, value_col: str, name: str, rows: int
+) -> DataFrame:
+    """Add name_a and name_b, the values of a table's rows id_a and id_b, to pairs told apart by `keys`.
+
+    `rows` is a proven bound of the number of pairs. A few pairs are broadcast, so that the table is scanned once
+    and not shuffled.
+    """
+    ends = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"id_{s}").alias("id")) for s in "ab"])
+    values = table.select(F.col(id_col).alias("id"), F.col(value_col).alias("value"))
+    sides = pairs.select(*keys, F.explode(ends).alias("e")).select(*keys, "e.*")
+    if 2 * rows <= BROADCAST_ROWS:
+        found = values.join(F.broadcast(sides), "id")
+    else:
+        found = join_unique(stage(sides, "sides"), values, ["id"])
+    wide = found.groupBy(*keys).agg(
+        *[F.first(F.when(F.col("side") == s, F.col("value")), ignorenulls=True).alias(f"{name}_{s}") for s in "ab"]
+    )
+    return pairs.join(wide, keys)
+
+
 def attach(
     big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner", rows: int | None = None
 ) -> DataFrame:

@@ -9,7 +9,6 @@ from textlode.operators.splits import rows_of
 from textlode.plans import evaluation
 from textlode.plans.catalog import sql
 from textlode.plans.catalog.registry import changed, few_shot_embeddings, query, split_embeddings
-from textlode.operators.scale import stage
 
 
 def _near(spark, folder):
@@ -79,5 +78,5 @@ SELECT 'base' AS model, * FROM base UNION ALL SELECT 'changed', * FROM other"""
 
 @query("k5_compare_embeddings", COMPARE)
 def k5(spark, folder):
-    split = stage(split_embeddings(spark, folder).withColumn("after", changed()), "versions")
+    split = split_embeddings(spark, folder).withColumn("after", changed())
     return rounded(evaluation.compare_embeddings(split, {"base": "embedding", "changed": "after"}))

@@ -113,7 +113,7 @@ def _pairs(spark, folder):
 def m10(spark, folder):
     # The vectors carry no class signal, so a threshold of 0.5 would call all pairs different.
     pairs, vectors = _pairs(spark, folder)
-    scored = pair_scores(pairs, vectors, ["pair_id"]).withColumn("label", F.col("label").cast("int"))
+    scored = pair_scores(pairs, vectors, ["pair_id"], 2 * DRAWS).withColumn("label", F.col("label").cast("int"))
     return rounded(M.pair_classifier(scored, threshold=0.1))
 
 
@@ -133,7 +133,7 @@ def m11(spark, folder):
     pairs, vectors = _pairs(spark, folder)
 
     def point(epoch, steps, versions):
-        scored = pair_scores(pairs, versions, ["pair_id"])
+        scored = pair_scores(pairs, versions, ["pair_id"], 2 * DRAWS)
         return scored.select(F.lit(epoch).alias("epoch"), F.lit(steps).alias("steps"), "pair_id", "similarity", "label")
 
     after = vectors.withColumn("embedding", changed())

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.operators.scale import stage
 from textlode.operators.splits import split_corpus, three_way_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,10 +55,10 @@ def rated_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """Embeddings with column `split`; read by several branches, so staged."""
-    return stage(three_way_split(embeddings(spark, folder), label_col="label_id"), "split")
+    """Embeddings with column `split`."""
+    return three_way_split(embeddings(spark, folder), label_col="label_id")
 
 
 def few_shot_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """The same with classes 8 and 9 held out."""
-    return stage(split_corpus(embeddings(spark, folder), [8, 9], label_col="label_id"), "split")
+    return split_corpus(embeddings(spark, folder), [8, 9], label_col="label_id")

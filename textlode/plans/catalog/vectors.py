@@ -46,8 +46,10 @@ NEXT = "p AS (SELECT a.id AS id_a, b.id AS id_b, a.v AS va, b.v AS vb FROM vecs
 def _next_pairs(spark, folder):
     """Each vector with the one that follows it."""
     vectors = embeddings(spark, folder)
-    pairs = vectors.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"))
-    return embed.pair_scores(pairs, vectors, ["id_a", "id_b"])
+    ids = vectors.select("id")
+    pairs = ids.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"))
+    pairs = pairs.join(ids.withColumnRenamed("id", "id_b"), "id_b", "left_semi")
+    return embed.pair_scores(pairs, vectors, ["id_a", "id_b"], ids.count())
 
 
 @query(
