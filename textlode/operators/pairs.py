@@ -199,7 +199,9 @@ def hardest_negatives(
     picked = pick(df, id_col, label_col, placed, rows * candidates, seed)
     tries = picked.select("draw_id", "nth", "id_a", F.col("id").alias("id_b"))
     scored = pair_similarity(df, tries, ["draw_id", "nth"], id_col, text_col, rows * candidates)
-    best = F.struct(F.col("similarity"), -F.col("nth"), F.col("id_a"), F.col("id_b"))
+    # Sums come in any order, so equal texts may differ in the last digits: those must not decide.
+    near = F.round("similarity", 9).alias("near")
+    best = F.struct(near, -F.col("nth"), F.col("id_a"), F.col("id_b"), F.col("similarity"))
     return scored.groupBy("draw_id").agg(F.max(best).alias("best")).select(
         "draw_id", "best.id_a", "best.id_b", "best.similarity"
     )
