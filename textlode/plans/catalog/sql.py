@@ -175,8 +175,9 @@ tries AS MATERIALIZED (SELECT t.draw_id, t.nth, t.id_a, m.id AS id_b
   FROM (SELECT *, CASE WHEN spot0 < start THEN spot0 ELSE spot0 + n END AS spot FROM tries3) t
   JOIN (SELECT members.id, class_table.start + members.pos AS spot FROM members JOIN class_table USING (label)) m
   ON m.spot = t.spot),
-alike AS (SELECT t.draw_id, t.nth, t.id_a, t.id_b, sum(a.weight * b.weight) AS similarity
-  FROM tries t JOIN weights a ON a.id = t.id_a JOIN weights b ON b.id = t.id_b AND b.term = a.term GROUP BY ALL),
+terms_a AS MATERIALIZED (SELECT t.draw_id, t.nth, t.id_b, a.term, a.weight FROM tries t JOIN weights a ON a.id = t.id_a),
+alike AS (SELECT a.draw_id, a.nth, sum(a.weight * b.weight) AS similarity
+  FROM terms_a a JOIN weights b ON b.id = a.id_b AND b.term = a.term GROUP BY ALL),
 ranked_tries AS (SELECT t.*, row_number() OVER (PARTITION BY t.draw_id ORDER BY round(coalesce(s.similarity, 0), 9) DESC, t.nth) AS place,
   coalesce(s.similarity, 0) AS similarity FROM tries t LEFT JOIN alike s ON s.draw_id = t.draw_id AND s.nth = t.nth),
 hardest AS MATERIALIZED (SELECT draw_id, id_a, id_b, similarity FROM ranked_tries WHERE place = 1)"""

@@ -136,8 +136,9 @@ def v10(spark, folder):
 @query(
     "v10_tfidf_cosine",
     f"""WITH {sql.DOCS}, {sql.tfidf()}, p AS (SELECT a.id AS id_a, b.id AS id_b FROM docs a JOIN docs b ON b.id = a.id + 1),
-    s AS (SELECT id_a, id_b, sum(a.weight * b.weight) AS similarity FROM p JOIN weights a ON a.id = id_a
-      JOIN weights b ON b.id = id_b AND b.term = a.term GROUP BY 1, 2)
+    l AS MATERIALIZED (SELECT id_a, id_b, a.term, a.weight FROM p JOIN weights a ON a.id = id_a),
+    s AS (SELECT id_a, id_b, sum(l.weight * b.weight) AS similarity FROM l JOIN weights b ON b.id = id_b AND b.term = l.term
+      GROUP BY 1, 2)
     SELECT id_a, id_b, round(coalesce(similarity, 0), 6) AS similarity FROM p LEFT JOIN s USING (id_a, id_b)""",
 )
 def v10_cosine(spark, folder):
