@@ -20,6 +20,8 @@ couldn't cannot could here's how's let's ought that's there's what's when's wher
 would
 """.split()
 
+# Fixed value: a line of blanks or dashes, which sets the last block of a message apart.
+BREAK_LINE = r"(?U)^[\s\x1c-\x1f]*-*[\s\x1c-\x1f]*$"
 # Phrases and line starts that mark a quoted line in a newsgroup message.
 QUOTE_LINE = r"(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|^\||^>)"
 
@@ -70,7 +72,7 @@ def strip_footer(text: Column | str) -> Column:
     text = _col(text)
     lines = F.split(strip(text), "\n")
     breaks = F.filter(
-        F.transform(lines, lambda l, i: F.when(F.regexp_replace(strip(l), "^-+|-+$", "") == "", i)),
+        F.transform(lines, lambda l, i: F.when(l.rlike(BREAK_LINE), i)),
         lambda i: i.isNotNull(),
     )
     last = F.array_max(breaks)
