@@ -53,7 +53,7 @@ def test_terms(spark):
     ],
 )
 def test_strip_message(spark, message, remove, left):
-    assert frame(spark, [message]).select(T.strip_message("text", remove).alias("t")).first().t == left
+    assert clean.strip_messages(frame(spark, [message]), "text", remove).first().text == left
 
 
 def test_trim_drops_blank_and_null(spark):

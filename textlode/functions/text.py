@@ -83,12 +83,3 @@ def strip_quotes(text: Column | str) -> Column:
     """Drop quoted lines and the lines that announce them."""
     lines = F.split(_col(text), "\n")
     return F.array_join(F.filter(lines, lambda l: ~l.rlike(QUOTE_LINE)), "\n")
-
-
-def strip_message(text: Column | str, remove=("headers", "footers", "quotes")) -> Column:
-    """Strip the chosen parts of a newsgroup message: headers first, then footers, then quotes."""
-    text = _col(text)
-    for part, step in (("headers", strip_header), ("footers", strip_footer), ("quotes", strip_quotes)):
-        if part in remove:
-            text = step(text)
-    return text

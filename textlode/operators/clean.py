@@ -60,7 +60,14 @@ def anti_on_classes(df: DataFrame, classes: DataFrame, label_col: str = "label",
 
 
 def strip_messages(df: DataFrame, text_col: str = "text", remove=("headers", "footers", "quotes")) -> DataFrame:
-    return df.withColumn(text_col, T.strip_message(text_col, remove))
+    """Strip the chosen parts of newsgroup messages: headers first, then footers, then quotes.
+
+    One projection per part, so that a part which reads the text twice does not compute the parts before it twice.
+    """
+    for part, step in (("headers", T.strip_header), ("footers", T.strip_footer), ("quotes", T.strip_quotes)):
+        if part in remove:
+            df = df.withColumn(text_col, step(text_col))
+    return df
 
 
 def preview(df: DataFrame, order_by: str, n: int = 5) -> DataFrame:

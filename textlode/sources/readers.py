@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
-from textlode.operators.clean import drop_nulls, rename_columns, require_columns
+from textlode.operators.clean import drop_nulls, rename_columns, require_columns, strip_messages
 
 JSON_NAME = r"([^/]+)\.json(?:\.gz)?$"
 CORRUPT = "_corrupt_record"
@@ -145,12 +145,13 @@ def read_newsgroups(
     def part(i):
         return F.url_decode(F.regexp_replace(place[i], "^[^=/]*=", ""))
 
-    return files.select(
-        T.strip_message(F.decode("content", encoding), remove).alias("text"),
+    messages = files.select(
+        F.decode("content", encoding).alias("text"),
         part(1).alias("label"),
         part(0).alias("subset"),
         part(2).alias("message"),
     )
+    return strip_messages(messages, "text", remove)
 
 
 def head_slice(df: DataFrame, order_by: str, n: int = 20_000) -> DataFrame:
