@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import packing, quality
+from textlode.llm import nearjoin, packing, quality
 from textlode.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,9 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     q = F.col("_quality")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"]
     return quality.quality_verdicts(docs, keep_text=False).select("doc_id", *[q[c].alias(c) for c in names])
+
+
+@query("op3_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return nearjoin.similar_classes(table(spark, folder, "documents"))
