@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import nearjoin, packing, quality
-from textlode.llm.common import table
+from textlode.llm import language, nearjoin, packing, quality, topk, toxicity
+from textlode.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,46 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The class of near copies of every document."""
     return nearjoin.similar_classes(table(spark, folder, "documents"))
+
+
+@query("op4_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled documents that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(~held_out("doc_id", 5, 0))
+    model = toxicity.train(*toxicity.sample(docs, labels))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query("op7_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
+    docs = table(spark, folder, "documents")
+    out = held_out("doc_id", 4, 2)
+    model = language.train(docs.where(~out).select("doc_id", "text", "lang"))
+    return language.predict(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
+
+
+INTEGER_VECTORS = """
+SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+@query(
+    "op10_exact_top_k",
+    f"""
+WITH vectors AS ({INTEGER_VECTORS}),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, len(q.v)), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10""",
+)
+def exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best other vectors of each vector whose id is divisible by 100."""
+    vectors = topk.as_integers(table(spark, folder, "embeddings"))
+    return topk.top_k(vectors, vectors.where("id % 100 = 0"))
