@@ -214,11 +214,13 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", keep_text: bool =
     stats = docs.withColumn("_quality", text_stats(F.col(text_col)))
     stats = stats.withColumn("_pattern", pattern_of(F.col("_quality")))
     stats = staged(stats if keep_text else stats.drop(text_col), "quality")
-    model = fit_votes(stats.groupBy("_pattern").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_pattern", "pattern"))
-    # At most 3 ** len(RULES) = 729 rows.
-    model = model.select(F.col("pattern").alias("_pattern"), F.col("posterior").alias("_posterior"))
     q = F.col("_quality")
     failed = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
+    # The base test comes first: the model learns from the documents that pass it, so that the copied lines which the base test
+    # finds anyway don't define what bad is. Patterns of failed documents only count nothing.
+    counts = stats.groupBy(F.col("_pattern").alias("pattern")).agg(F.sum(F.when(failed, 0).otherwise(1)).alias("n"))
+    # At most 3 ** len(RULES) = 729 rows.
+    model = fit_votes(counts).select(F.col("pattern").alias("_pattern"), F.col("posterior").alias("_posterior"))
     out = stats.join(F.broadcast(model), "_pattern")
     out = out.withColumn(
         "_quality",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import language, nearjoin, packing, quality, topk, toxicity
+from textlode.llm import chat, extract, language, mixing, nearjoin, packing, quality, topk, toxicity, urls
 from textlode.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,9 +73,9 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 INTEGER_VECTORS = """
-SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
 FROM embeddings
-WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"""
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
 
 
 @query(
@@ -83,7 +83,7 @@ WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT
     f"""
 WITH vectors AS ({INTEGER_VECTORS}),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, len(q.v)), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
   FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10""",
@@ -92,3 +92,140 @@ def exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best other vectors of each vector whose id is divisible by 100."""
     vectors = topk.as_integers(table(spark, folder, "embeddings"))
     return topk.top_k(vectors, vectors.where("id % 100 = 0"))
+
+
+@query("op9_html_extraction")
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    found = extract.extract(pages, extract.weights_of(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query(
+    "op5_chat_formatting",
+    """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+lines AS (
+  SELECT conv_id, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM turns),
+prefixes AS (
+  SELECT *, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS so_far,
+    count(*) OVER (PARTITION BY conv_id) AS turns FROM lines),
+whole AS (SELECT so_far, min(conv_id) AS conv_id FROM prefixes WHERE place = turns GROUP BY so_far),
+kept AS (SELECT conv_id FROM whole WHERE so_far NOT IN (SELECT so_far FROM prefixes WHERE place < turns))
+SELECT conv_id, CAST((place - 1) // 256 AS INTEGER) AS part, count(*) AS n_turns, string_agg(line, '' ORDER BY place) AS text
+FROM lines JOIN kept USING (conv_id) GROUP BY ALL""",
+)
+def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Every maximal conversation, rendered."""
+    return chat.format_chats(table(spark, folder, "conversations"))
+
+
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def page_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(host, good), one row per page whose article is a labelled document: good if most documents that open like it are.
+
+    A page's heading is the opening of its article's text, its first line cut at 60 escaped characters.
+    """
+    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
+    labels = labels.groupBy("doc_id").agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("good"))
+    line = F.substring_index("text", "\n", 1)
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        line = F.replace(line, F.lit(char), F.lit(name))
+    opening = F.trim(F.substring(line, 1, 60))
+    openings = docs.select("doc_id", opening.alias("heading")).where("heading <> ''").join(labels, "doc_id")
+    openings = openings.groupBy("heading").agg(F.when(2 * F.sum("good") >= F.count(F.lit(1)), 1).otherwise(0).alias("good"))
+    heading = F.trim(F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1))
+    found = pages.select(urls.host_of(F.col("url")).alias("host"), heading.alias("heading"))
+    return found.join(openings, "heading").select("host", "good")
+
+
+@query(
+    "op6_url_filters",
+    r"""
+WITH parsed AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+rules(says, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
+found AS (
+  SELECT p.page_id, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says
+  FROM parsed p JOIN rules r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+    AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY p.page_id),
+labelled AS (
+  SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels
+  WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+openings AS (
+  SELECT heading, CASE WHEN 2 * sum(good) >= count(*) THEN 1 ELSE 0 END AS good
+  FROM (SELECT doc_id, trim(substr(replace(replace(replace(replace(replace(split_part(text, chr(10), 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), 1, 60)) AS heading FROM documents)
+  JOIN labelled USING (doc_id) WHERE heading <> '' GROUP BY heading),
+seen AS (
+  SELECT host, count(*) AS n, sum(good) AS good
+  FROM (SELECT host, trim(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS heading FROM parsed) JOIN openings USING (heading) GROUP BY host),
+labels_of AS (SELECT DISTINCT host, string_split(host, '.') AS part FROM parsed),
+units AS (
+  SELECT host, coalesce(n, 0) AS n, coalesce(good, 0) AS good,
+    two IN ('ac.uk', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'gov.uk', 'org.uk') AS long,
+    CASE WHEN long THEN two ELSE part[-1] END AS suffix, CASE WHEN long THEN array_to_string(part[-3:], '.') ELSE two END AS domain
+  FROM (SELECT host, part, array_to_string(part[-2:], '.') AS two FROM labels_of) LEFT JOIN seen USING (host)),
+whole AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(good) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) ELSE 0.5::DOUBLE END AS m FROM units),
+s0 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(good)::DOUBLE AS good, any_value(m) AS m FROM units, whole GROUP BY suffix),
+s1 AS (SELECT 1 / least(0.5, greatest(1e-4, CASE WHEN sum(n * (n - 1) * m * (1 - m)) <> 0 THEN sum((good - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) ELSE 1e-4 END)) - 1 AS k FROM s0),
+s2 AS (SELECT suffix, (good + k * m) / (n + k) AS m FROM s0, s1),
+d0 AS (SELECT domain, sum(n)::DOUBLE AS n, sum(good)::DOUBLE AS good, any_value(m) AS m FROM units JOIN s2 USING (suffix) GROUP BY domain),
+d1 AS (SELECT 1 / least(0.5, greatest(1e-4, CASE WHEN sum(n * (n - 1) * m * (1 - m)) <> 0 THEN sum((good - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) ELSE 1e-4 END)) - 1 AS k FROM d0),
+d2 AS (SELECT domain, (good + k * m) / (n + k) AS m FROM d0, d1),
+h0 AS (SELECT host, n::DOUBLE AS n, good::DOUBLE AS good, m FROM units JOIN d2 USING (domain)),
+h1 AS (SELECT 1 / least(0.5, greatest(1e-4, CASE WHEN sum(n * (n - 1) * m * (1 - m)) <> 0 THEN sum((good - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) ELSE 1e-4 END)) - 1 AS k FROM h0),
+h2 AS (SELECT host, (good + k * m) / (n + k) AS rate, n + k AS weight FROM h0, h1)
+SELECT page_id, host, path, rule,
+  coalesce(says, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) >= 0.6 THEN 'allow' ELSE 'block' END) AS verdict
+FROM parsed LEFT JOIN found USING (page_id) LEFT JOIN h2 USING (host)""",
+)
+def url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; hosts are judged by the labels of the documents their pages show."""
+    pages = table(spark, folder, "pages")
+    outcomes = page_outcomes(pages, table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return urls.judge(pages.select("page_id", "url"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: Target shares of the mix: the hot source is thinned out, two are repeated, all others share the rest.
+MIX = {"src0": 0.15, "src1": 0.1, "src2": 0.05, mixing.REST: 0.7}
+
+
+@query(
+    "op8_mixing_sources",
+    """
+WITH weights(source, w) AS (VALUES ('src0', 0.15::DOUBLE), ('src1', 0.1::DOUBLE), ('src2', 0.05::DOUBLE), ('', 0.7::DOUBLE)),
+keyed AS (
+  SELECT *, CASE WHEN source IN ('src0', 'src1', 'src2') THEN source ELSE '' END AS g,
+    coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) AS key FROM documents),
+sizes AS (SELECT g, sum(coalesce(length(text), 0)) AS size FROM keyed GROUP BY g),
+rates AS (
+  SELECT g, CASE WHEN size > 0 THEN (w / (SELECT sum(w) FROM weights)) * (SELECT sum(size) FROM sizes) / size ELSE 0 END AS rate
+  FROM sizes JOIN weights ON g = weights.source),
+draws AS (SELECT g, greatest(1, ceil(rate / 64.0))::BIGINT AS draws, rate / draws AS mean FROM rates WHERE rate > 0),
+steps AS (
+  SELECT g, draws, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY g ORDER BY k) AS step
+  FROM (SELECT g, draws, mean, unnest(generate_series(0, CAST(mean + 16 * sqrt(mean) + 31 AS BIGINT))) AS k FROM draws)),
+drawn AS (
+  SELECT doc_id, source, key, g, CAST('0x' || substr(md5('8:' || j || ':' || key), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u
+  FROM (SELECT doc_id, source, key, g, unnest(generate_series(1, draws)) AS j FROM keyed JOIN draws USING (g))),
+counted AS (SELECT doc_id, source, key, count(*) AS copies FROM drawn JOIN steps ON drawn.g = steps.g AND step <= u GROUP BY ALL)
+SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, md5('8:place:' || key || ':' || copy) AS shuffle_key
+FROM (SELECT *, unnest(generate_series(1, copies)) AS copy FROM counted)""",
+)
+def mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document repeated to the target weights and dealt to a random place, with its texts."""
+    mixed = mixing.mix(table(spark, folder, "documents"), MIX)
+    return mixed.select("doc_id", "source", "copy", "shuffle_key")
