@@ -38,6 +38,7 @@ SELF_CLOSING = frozenset({"p", "li", "dt", "dd", "tr", "td", "th", "option"})
 #: Most pages the weights are fitted on.
 LABELLED_PAGES = 1000
 LABELLED_CHARS = 50_000
+UNSEEN, UNSEEN_INLINE = -1.0, -0.1
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -134,8 +135,11 @@ def fit(pages: list[str]) -> dict[str, float]:
     }
 
 
-def main_text(page: str, weights: dict[str, float], unseen: float = -5.0) -> str:
-    """The blocks of the best region, one a line, white space made one space; empty if the page has no content words."""
+def main_text(page: str, weights: dict[str, float]) -> str:
+    """The blocks of the best region, one a line, white space made one space; empty if the page has no content words.
+
+    Tags without a weight, and those in elements that never hold content, weigh UNSEEN, or UNSEEN_INLINE within a line.
+    """
     row = tokens(page)
     score = np.zeros(len(row))
     for i, (kind, text, around, _) in enumerate(row):
@@ -143,6 +147,7 @@ def main_text(page: str, weights: dict[str, float], unseen: float = -5.0) -> str
             words = len(text.split())
             score[i] = -words if around else words
         else:
+            unseen = UNSEEN_INLINE if kind.strip("/!") in INLINE else UNSEEN
             score[i] = unseen if around else weights.get(kind, unseen)
     best, start, end, low, low_at, total = 0.0, 0, 0, 0.0, 0, 0.0
     for i, value in enumerate(score):

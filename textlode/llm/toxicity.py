@@ -38,12 +38,11 @@ def letter_table() -> np.ndarray:
 def bags(text: str, table: np.ndarray):
     """Bucket numbers of the n-grams of a text's words, in slices. Word borders count as a character."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    border = np.zeros(1, np.uint32)
+    codes = np.r_[border, np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], codes), border]
     for at in range(0, len(codes), SLICE):
-        # Each slice also sees what its last windows need, and the border before the first character.
-        part = codes[max(0, at - 1) : at + SLICE + LONGEST - 1]
-        x = np.where(part < len(table), table[np.minimum(part, len(table) - 1)], part).astype(np.uint64)
-        x = np.r_[np.zeros(1 if at == 0 else 0, np.uint64), x, np.zeros(1, np.uint64)]
-        last = SLICE + (1 if at == 0 else 0)
+        # The windows that start in this slice; the longest one ends behind it.
+        x = codes[at : at + SLICE + LONGEST - 1].astype(np.uint64)
         h = x.copy()
         inside = np.ones(len(x), bool)
         for n in range(2, LONGEST + 1):
@@ -54,7 +53,7 @@ def bags(text: str, table: np.ndarray):
             if n > 2:
                 inside = inside[:m] & (x[n - 2 : len(x) - 1] > 0)
             if n >= SHORTEST:
-                found = h[:last][inside[:last]] + np.uint64(n)
+                found = h[:SLICE][inside[:SLICE]] + np.uint64(n)
                 yield ((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
 
 
