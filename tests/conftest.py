@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
@@ -19,22 +19,21 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
 
 
-FORCED = ("scale", "cuts", "tfidf", "metrics")
-
-
 @pytest.fixture
-def no_broadcast(monkeypatch):
-    """Pretend that no table is small enough to be broadcast."""
-    import importlib
-
-    for name in FORCED:
-        monkeypatch.setattr(importlib.import_module(f"textlode.operators.{name}"), "BROADCAST_ROWS", -1)
+def no_broadcast(spark):
+    """No table is small enough to be broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield lambda: spark.conf.set(name, before)
+    spark.conf.set(name, before)
 
 
 @pytest.fixture(scope="session")

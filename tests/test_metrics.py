@@ -76,10 +76,9 @@ def rank_correlation(pdf):
 
 
 @pytest.mark.parametrize("forced", [False, True])
-def test_correlation(spark, request, monkeypatch, forced):
+def test_correlation(spark, request, forced):
     if forced:
         request.getfixturevalue("no_broadcast")
-        monkeypatch.setattr(M, "STRETCHES", 7)
     parts = [correlation_rows(400, s).assign(epoch=float(s), steps=100 * s) for s in (1, 2)]
     flat = correlation_rows(50, 3).assign(epoch=3.0, steps=300, label=1.0)
     df = spark.createDataFrame(pd.concat([*parts, flat]))

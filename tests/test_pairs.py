@@ -50,10 +50,9 @@ def test_mixed_pairs_are_cut_to_size(corpus):
 
 
 @pytest.mark.parametrize("make", [P.positive_pairs, P.labelled_pairs, P.hard_negative_pairs, P.positive_combinations, P.validation_pairs])
-def test_same_pairs_without_broadcast(corpus, make, request):
-    request.getfixturevalue("no_broadcast")
+def test_same_pairs_without_broadcast(corpus, make, no_broadcast):
     forced = rows(make(corpus, 60))
-    request.getfixturevalue("monkeypatch").undo()
+    no_broadcast()
     assert forced == rows(make(corpus.repartition(3), 60))
 
 
@@ -99,10 +98,9 @@ def vectors(texts):
 
 
 @pytest.mark.parametrize("forced", [False, True])
-def test_tfidf(corpus, truth, request, monkeypatch, forced):
+def test_tfidf(corpus, truth, request, forced):
     if forced:
         request.getfixturevalue("no_broadcast")
-        monkeypatch.setattr(tfidf, "FREQUENT_TERMS", 3)
     got = defaultdict(dict)
     for r in tfidf.tfidf(corpus).collect():
         got[r.id][r.term] = r.weight
@@ -114,13 +112,13 @@ def test_tfidf(corpus, truth, request, monkeypatch, forced):
 
 def test_hard_negatives_take_the_most_similar(spark, corpus, truth):
     want = vectors({i: r.text for i, r in truth.items()})
-    classes, count = P.class_table(corpus)
+    classes, _ = P.class_table(corpus)
     drawn, _, _ = P.drawn_classes(corpus, "label", 40, 7)
     tries = P.outside_positions(drawn, 5, 7)
     assert {r["count"] for r in tries.groupBy("draw_id").count().collect()} == {5}
     assert tries.groupBy("draw_id").agg(F.count_distinct("spot").alias("n")).where("n < 5").count() == 0
     anchors = drawn.withColumn("id_a", F.lit(1).cast("bigint"))
-    got = P.hardest_negatives(corpus, anchors, classes, count, 40, 5, "id", "label", "text", 7).collect()
+    got = P.hardest_negatives(corpus, anchors, classes, 5, "id", "label", "text", 7).collect()
     assert len(got) == 40
     for r in got:
         same = sum(w * want[r.id_b].get(t, 0.0) for t, w in want[1].items())

@@ -78,9 +78,9 @@ def test_three_way_split(spark, corpus):
         assert {split[i] for i in placed[test[c] : test[c] + val[c]]} <= {"val"}
 
 
-def test_split_without_broadcast_is_the_same(spark, corpus, no_broadcast, request):
+def test_split_without_broadcast_is_the_same(spark, corpus, no_broadcast):
     forced = {r.id: r.split for r in splits.three_way_split(corpus).collect()}
-    request.getfixturevalue("monkeypatch").undo()
+    no_broadcast()
     assert forced == {r.id: r.split for r in splits.three_way_split(corpus).collect()}
 
 
@@ -119,7 +119,7 @@ def test_positions(spark, corpus):
             place[(label, pos)] = (i, len(ids))
     wanted = [(label, pos, total) for (label, pos), (_, total) in place.items()]
     asked = spark.createDataFrame(wanted, "grp string, pos bigint, total bigint")
-    got = {(r.grp, r.pos): r.id for r in cuts.rows_at(rows, asked, len(wanted)).collect()}
+    got = {(r.grp, r.pos): r.id for r in cuts.rows_at(rows, asked).collect()}
     assert got == {k: i for k, (i, _) in place.items()}
     dense = {(r.grp, r.pos): r.id for r in cuts.dense_positions(rows).collect()}
     assert dense == got
@@ -142,3 +142,43 @@ def test_labels(spark, corpus):
     used = labels.labels_in_use(coded.where("label_id < 2"), labels.label_dictionary(corpus))
     back = labels.decode_labels(coded.where("label_id < 2").drop("label"), used)
     assert {r.label for r in back.collect()} == set(names[:2])
+
+
+@pytest.fixture(scope="module")
+def nullable(spark):
+    """400 rows, 100 of them without a label."""
+    rows = [(i, None if i % 4 == 0 else f"c{i % 3}") for i in range(400)]
+    return spark.createDataFrame(rows, "id bigint, label string").repartition(3)
+
+
+def test_null_labels_are_a_class_of_their_own(nullable):
+    count = Counter(r.label for r in splits.cap_per_source(nullable, 10, "label").collect())
+    assert count == {None: 10, "c0": 10, "c1": 10, "c2": 10}
+    got = splits.stratified_split(nullable, 0.2).collect()
+    assert len(got) == 400 and Counter(r.split for r in got) == {"test": 80, "train": 320}
+    assert Counter(r.label for r in got if r.split == "test") == {None: 20, "c0": 20, "c1": 20, "c2": 20}
+    three = Counter(r.split for r in splits.three_way_split(nullable).collect())
+    assert three == {"test": 80, "val": 32, "train": 288}
+
+
+def test_rows_without_a_label_are_not_held_out(nullable):
+    got = splits.split_corpus(nullable, ["c1"]).collect()
+    assert len(got) == 400
+    assert Counter(r.split for r in got if r.label == "c1") == {"holdout_example": 5, "holdout_test": 95}
+    assert Counter(r.split for r in got if r.label is None) == {"test": 20, "val": 8, "train": 72}
+
+
+def test_null_labels_keep_their_rows_when_encoded(nullable):
+    got = labels.encode_labels(nullable).collect()
+    assert len(got) == 400 and all((r.label is None) == (r.label_id is None) for r in got)
+
+
+def test_many_classes_without_a_window_over_all(spark):
+    df = spark.range(200_000).select("id", F.format_string("class %06d", F.col("id") % 100_000).alias("label"))
+    names = labels.label_dictionary(df)
+    # The only window over everything is that over the table of ranges, one row per partition.
+    plan = names._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") == 1 and "_range" in plan
+    assert names.count() == 100_000
+    got = names.where("label IN ('class 000000', 'class 054321', 'class 099999')").collect()
+    assert {r.label: r.label_id for r in got} == {"class 000000": 0, "class 054321": 54321, "class 099999": 99999}

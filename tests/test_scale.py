@@ -1,55 +1,51 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from textlode.operators import scale
 
 
-@pytest.fixture
-def hot(spark):
-    """A third of the rows have key 0, the others are spread."""
-    big = spark.range(900).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("id"), F.col("id").alias("row"))
-    unique = spark.range(40).select("id", (F.col("id") * 10).alias("value"))
-    return big, unique
-
-
-def pairs_of(df):
-    return sorted((r.row, r.id, r.value) for r in df.select("row", "id", "value").collect())
-
-
-def test_join_unique_with_hot_keys(hot, monkeypatch):
-    big, unique = hot
-    want = pairs_of(big.join(unique, "id"))
-    assert pairs_of(scale.join_unique(big, unique, ["id"])) == want
-    monkeypatch.setattr(scale, "HOT_ROWS", 100)
-    monkeypatch.setattr(scale, "HOT_KEYS", 100)
-    split = scale.join_unique(big, unique, ["id"])
-    assert "Union" in split._jdf.queryExecution().executedPlan().toString()
-    assert pairs_of(split) == want
-
-
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(hot, how):
-    big, unique = hot
-    plain, salted = big.join(unique, "id", how), scale.salted_join(big, unique, ["id"], "row", how)
-    assert sorted(map(repr, plain.collect())) == sorted(map(repr, salted.select(*plain.columns).collect()))
-
-
-def test_attach_broadcasts_only_within_the_bound(hot, no_broadcast, request):
-    big, unique = hot
-    forced = scale.attach(big, unique, ["id"], "row")
-    assert "Broadcast" not in forced._jdf.queryExecution().logical().toString()
-    assert "_salt" in forced._jdf.queryExecution().analyzed().toString()
-    request.getfixturevalue("monkeypatch").undo()
-    free = scale.attach(big, unique, ["id"], "row")
-    assert "_salt" not in free._jdf.queryExecution().analyzed().toString()
-    assert pairs_of(free) == pairs_of(forced)
-
-
-def test_spread_leaves_large_inputs_alone(spark):
-    many = spark.range(0, 100, 1, 64)
-    assert scale.spread(many).rdd.getNumPartitions() == 64
+def test_attach_matches_null_keys_only_with_null_keys(spark, how):
+    big = spark.createDataFrame([(i, [None, "a", "b", "c"][i % 4]) for i in range(80)], "row int, grp string")
+    small = spark.createDataFrame([(None, 0), ("a", 1), ("b", 2)], "grp string, value int")
+    got = sorted(tuple(r) for r in scale.attach(big, small, ["grp"], how).orderBy("row").collect())
+    value = {None: 0, "a": 1, "b": 2}
+    rows = [(i, [None, "a", "b", "c"][i % 4]) for i in range(80)]
+    want = {
+        "inner": [(*r, value[r[1]]) for r in rows if r[1] in value],
+        "left": [(*r, value.get(r[1])) for r in rows],
+        "left_semi": [r for r in rows if r[1] in value],
+        "left_anti": [r for r in rows if r[1] not in value],
+    }[how]
+    assert got == sorted(want)
+
+
+def test_a_hot_key_gives_the_same_rows_without_broadcast(spark, no_broadcast):
+    big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("row"))
+    small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("value"))
+    forced = sorted(tuple(r) for r in scale.attach(big, small, ["k"]).collect())
+    no_broadcast()
+    assert forced == sorted(tuple(r) for r in scale.attach(big, small, ["k"]).collect())
+
+
+def test_running_sums(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, "a", "b"]), i, rng.randrange(9)) for i in range(700)]
+    df = spark.createDataFrame(rows, "grp string, place int, n int").repartition(7)
+    got = {(r.grp, r.place): (r.before, r.ones) for r in scale.running_sums(df.withColumn("one", F.lit(1)), ["grp"], ["place"], {"before": "n", "ones": "one"}).collect()}
+    assert got == {
+        (g, p): (sum(n for h, q, n in rows if h == g and q < p), sum(h == g and q < p for h, q, _ in rows)) for g, p, _ in rows
+    }
+
+
+def test_numbered(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    assert all(r.x == 999 - r.place for r in scale.numbered(df, [F.desc("x")], "place").collect())
+    assert scale.numbered(df.where("false"), ["x"], "place").count() == 0
 
 
 def test_stage_cuts_the_lineage(spark):
@@ -58,30 +54,11 @@ def test_stage_cuts_the_lineage(spark):
 
 
 class FakeSession:
-    """A session with the given settings."""
-
-    def __init__(self, master, folder=None):
-        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.sparkContext = self
-        self.master = master
-        self.path = None
-
-    def getCheckpointDir(self):
-        return self.path
-
-    def setCheckpointDir(self, path):
-        self.path = path
-
-
-def test_shared_folder_comes_from_the_session():
-    assert scale.new_path(FakeSession("spark://x", "/some/folder/"), "x").startswith("/some/folder/textlode/x-")
-
-
-def test_a_cluster_without_a_shared_folder_is_an_error():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scale.shared_dir(FakeSession("spark://x"))
+    def __init__(self, **settings):
+        self.conf = {k.replace("_", "."): v for k, v in settings.items()}
 
 
-def test_a_local_session_makes_its_own_folder_once():
-    session = FakeSession("local[2]")
-    assert scale.shared_dir(session) == scale.shared_dir(session) == session.path
+def test_the_shared_folder_comes_from_the_session():
+    warehouse = {"spark_sql_warehouse_dir": "file:/warehouse"}
+    assert scale.new_path(FakeSession(spark_checkpoint_dir="/some/folder/", **warehouse), "x").startswith("/some/folder/textlode/x-")
+    assert scale.shared_dir(FakeSession(**warehouse)) == "file:/warehouse"

@@ -45,18 +45,18 @@ def keep_categories(df: DataFrame, categories: list[str], label_col: str = "labe
 
 
 def drop_categories(df: DataFrame, categories: list[str], label_col: str = "label") -> DataFrame:
-    """Rows of all other classes. Names that do not occur are ignored."""
-    return df.where(~F.col(label_col).isin(list(categories)))
+    """Rows of all other classes, those without a class too. Names that do not occur are ignored."""
+    return df.where(~F.coalesce(F.col(label_col).isin(list(categories)), F.lit(False)))
 
 
-def semi_on_classes(df: DataFrame, classes: DataFrame, label_col: str = "label", spread: str = "id") -> DataFrame:
+def semi_on_classes(df: DataFrame, classes: DataFrame, label_col: str = "label") -> DataFrame:
     """Rows whose class is in the table `classes`."""
-    return attach(df, classes.select(label_col).distinct(), [label_col], spread, "left_semi")
+    return attach(df, classes.select(label_col).distinct(), [label_col], "left_semi")
 
 
-def anti_on_classes(df: DataFrame, classes: DataFrame, label_col: str = "label", spread: str = "id") -> DataFrame:
+def anti_on_classes(df: DataFrame, classes: DataFrame, label_col: str = "label") -> DataFrame:
     """Rows whose class is not in the table `classes`."""
-    return attach(df, classes.select(label_col).distinct(), [label_col], spread, "left_anti")
+    return attach(df, classes.select(label_col).distinct(), [label_col], "left_anti")
 
 
 def strip_messages(df: DataFrame, text_col: str = "text", remove=("headers", "footers", "quotes")) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textlode.functions.keys import BUCKET_DIGITS, SEED, bucket_of, hash_key
-from textlode.operators.scale import BROADCAST_ROWS, attach, stage
+from textlode.operators.scale import attach, join_null_safe, stage
 
 BUCKETS = 16**BUCKET_DIGITS
 
@@ -41,21 +41,19 @@ def bucket_offsets(rows: DataFrame) -> DataFrame:
     )
 
 
-def cut_points(rows: DataFrame, quotas: DataFrame, quota_rows: int | None) -> DataFrame:
-    """(grp, part, cut): the struct (key, id) of the `upto`-th row of each group.
+def cut_points(rows: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(grp, part, cut): the struct (key, id) of the `upto`-th row of each group, a null group included.
 
     `quotas` has (grp, part, upto). An `upto` beyond the group's size cuts after its last row, one
-    below 1 gives no row. `quota_rows` is a proven bound of its row count.
+    below 1 gives no row.
     """
     edges = (
-        bucket_offsets(rows)
-        .join(quotas, "grp")
+        join_null_safe(bucket_offsets(rows), quotas, ["grp"])
         .withColumn("upto", F.least("upto", "total"))
         .where((F.col("start") < F.col("upto")) & (F.col("upto") <= F.col("start") + F.col("n")))
         .select("grp", "part", "bucket", (F.col("upto") - F.col("start")).alias("need"))
     )
-    # One edge bucket per quota row, so the bound of `quotas` holds for `edges`, too.
-    at_edge = attach(rows, edges, ["grp", "bucket"], "id", rows=quota_rows)
+    at_edge = attach(rows, edges, ["grp", "bucket"])
     by_key = W.partitionBy("grp", "part", "bucket").orderBy("key", "id")
     return (
         at_edge.withColumn("nth", F.row_number().over(by_key))
@@ -74,31 +72,22 @@ def mark_parts(
     out: str,
     salt: str,
     seed: int = SEED,
-    quota_rows: int | None = None,
-    reused: bool = True,
 ) -> DataFrame:
     """Add column `out`: the first of `parts` whose cut covers the row, else `rest`.
 
     The parts take consecutive stretches of each group's random order, so the `upto` of a part
     includes the parts before it.
 
-    With `reused` the few cut points are staged. Marking is then a comparison during the scan, so the parts can be
+    The few cut points are staged. Marking is then a comparison during the scan, so the parts can be
     read any number of times without finding the cuts again and without a copy of the table.
     """
-    if quota_rows is None:
-        quotas = stage(quotas, "quotas")
-        quota_rows = quotas.count()
     rows = keyed(df, id_col, group, salt, seed)
-    points = cut_points(rows, quotas, quota_rows)
+    points = cut_points(rows, quotas)
     wide = points.groupBy("grp").agg(
         *[F.max(F.when(F.col("part") == p, F.col("cut"))).alias(f"_cut{i}") for i, p in enumerate(parts)]
     )
-    if reused:
-        wide = stage(wide, "cuts")
     grp = F.col(group) if group else F.lit(0)
-    marked = attach(
-        df.withColumn("_grp", grp), wide.withColumnRenamed("grp", "_grp"), ["_grp"], id_col, "left", quota_rows
-    )
+    marked = attach(df.withColumn("_grp", grp), wide.withColumnRenamed("grp", "_grp"), ["_grp"], "left")
     here = F.struct(hash_key(id_col, salt, seed).alias("key"), F.col(id_col).alias("id"))
     choice: Column = F.lit(rest)
     for i, part in reversed(list(enumerate(parts))):
@@ -114,13 +103,11 @@ def take_per_group(
     if group:
         quotas = df.select(F.col(group).alias("grp")).distinct()
         quotas = quotas.select("grp", F.lit("taken").alias("part"), F.lit(n).cast("bigint").alias("upto"))
-        quota_rows = None
     else:
         quotas = spark.range(1).select(
             F.lit(0).alias("grp"), F.lit("taken").alias("part"), F.lit(n).cast("bigint").alias("upto")
         )
-        quota_rows = 1
-    marked = mark_parts(df, id_col, group, quotas, ["taken"], "left", "_part", salt, seed, quota_rows, reused=False)
+    marked = mark_parts(df, id_col, group, quotas, ["taken"], "left", "_part", salt, seed)
     return marked.where(F.col("_part") == "taken").drop("_part")
 
 
@@ -147,18 +134,16 @@ def range_lookup(points: DataFrame, ranges: DataFrame, on: list[str], pos: str,
     )
 
 
-def rows_at(rows: DataFrame, wanted: DataFrame, wanted_rows: int | None = None) -> DataFrame:
+def rows_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Add `id` to `wanted`: the row at position `pos` (from 0) of the random order of group `grp`.
 
     `rows` comes from `keyed`; `wanted` also holds `total`, the size of the group. Each position is
-    first located in its bucket, then only the buckets hit are ranked.
-    `wanted_rows` is a proven bound of the row count of `wanted`.
+    first located in its bucket, then only the buckets hit are ranked. A position drawn very
+    often (a class of two rows, say) is a skewed key of a plain join, which is split at run time.
     """
     # Read twice below: for the positions and for the buckets to rank.
     placed = stage(range_lookup(wanted, bucket_offsets(rows), ["grp"], "pos", "total"), "positions")
     hit = placed.select("grp", "bucket").distinct()
-    if wanted_rows is not None and wanted_rows <= BROADCAST_ROWS:
-        hit = F.broadcast(hit)
     by_key = W.partitionBy("grp", "bucket").orderBy("key", "id")
     ranked = (
         rows.join(hit, ["grp", "bucket"], "left_semi")

@@ -17,7 +17,7 @@ from textlode.functions import text as T
 from textlode.functions import vectors as V
 from textlode.functions.keys import SEED
 from textlode.operators.cuts import dense_positions, keyed
-from textlode.operators.scale import attach, spread, with_sides
+from textlode.operators.scale import attach, numbered, with_sides
 from textlode.operators.splits import sample_rows
 
 # Token ids of padding and of words outside the vocabulary.
@@ -32,13 +32,13 @@ def fit_encoder(df: DataFrame, text_col: str = "text", dim: int = 256) -> Pipeli
         HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dim),
         IDF(inputCol="_counts", outputCol="_raw"),
     ]
-    return Pipeline(stages=stages).fit(spread(df.select(text_col)).where(F.col(text_col).isNotNull()))
+    return Pipeline(stages=stages).fit(df.select(text_col).where(F.col(text_col).isNotNull()))
 
 
 def embed(df: DataFrame, encoder: PipelineModel, text_col: str = "text", out: str = "embedding") -> DataFrame:
     """Add the unit-length embedding of each text; null for a text without tokens."""
     # A null text goes through as an empty one, so that one pass serves all rows.
-    given = spread(df).withColumn("_given", F.col(text_col)).withColumn(text_col, F.coalesce(text_col, F.lit("")))
+    given = df.withColumn("_given", F.col(text_col)).withColumn(text_col, F.coalesce(text_col, F.lit("")))
     vectors = encoder.transform(given).withColumn("_values", vector_to_array("_raw"))
     unit = V.l2_normalize("_values").cast("array<float>")
     return vectors.withColumn(text_col, F.col("_given")).withColumn(out, unit).select(*df.columns, out)
@@ -91,12 +91,11 @@ def pair_scores(
     pairs: DataFrame,
     vectors: DataFrame,
     keys: list[str],
-    rows: int,
     id_col: str = "id",
     vec_col: str = "embedding",
 ) -> DataFrame:
-    """Add `similarity` (cosine) and `dist` (squared L2) to pairs (keys…, id_a, id_b); `rows` bounds their number."""
-    joined = with_sides(pairs, vectors, keys, id_col, vec_col, "_vector", rows)
+    """Add `similarity` (cosine) and `dist` (squared L2) to pairs (keys…, id_a, id_b)."""
+    joined = with_sides(pairs, vectors, keys, id_col, vec_col, "_vector")
     a, b = "_vector_a", "_vector_b"
     return joined.withColumns({"similarity": V.cosine(a, b), "dist": V.squared_distance(a, b)}).drop(a, b)
 
@@ -165,21 +164,21 @@ def embedding_drift(
 
 
 def token_ids(
-    df: DataFrame, max_length: int = 256, vocabulary: int = 30_000, id_col: str = "id", text_col: str = "text"
+    df: DataFrame, max_length: int = 256, vocabulary: int | None = None, id_col: str = "id", text_col: str = "text"
 ) -> DataFrame:
     """(id, input_ids, attention_mask): whitespace tokens as numbers, cut or padded to max_length.
 
-    The most frequent `vocabulary` words get the numbers from 2 on, all others share one number.
+    Words get the numbers from 2 on, the most frequent first. With `vocabulary` only that many do, and all others share one number.
     """
-    df = spread(df)
     tokens = T.explode_words(df, F.lower(text_col))
     counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary)
-    by_count = W.orderBy(F.desc("n"), "word")  # over at most `vocabulary` rows
-    numbered = top.select("word", (F.row_number().over(by_count) + 1).alias("token"))
+    table = numbered(counts, [F.desc("n"), F.asc("word")], "_place")
+    if vocabulary is not None:
+        table = table.where(F.col("_place") < vocabulary)
+    table = table.select("word", (F.col("_place") + 2).cast("int").alias("token"))
     heads = df.select(F.col(id_col).alias("id"), F.slice(T.words(F.lower(text_col)), 1, max_length).alias("words"))
     placed = heads.select("id", F.posexplode_outer("words").alias("at", "word"))
-    known = attach(placed, numbered, ["word"], "id", "left", rows=vocabulary)
+    known = attach(placed, table, ["word"], "left")
     token = F.when(F.col("word").isNotNull(), F.coalesce("token", F.lit(UNKNOWN_ID)))
     rows = known.groupBy("id").agg(
         F.array_sort(F.collect_list(F.when(token.isNotNull(), F.struct("at", token.alias("token"))))).alias("t")

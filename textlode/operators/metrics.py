@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textlode.operators.scale import BROADCAST_ROWS, attach, stage
+from textlode.operators.scale import join_null_safe, running_sums, stage
 
 # Fixed value: machine epsilon of a double, the usual clipping of probabilities.
 EPSILON = 2.220446049250313e-16
@@ -187,49 +187,26 @@ def pair_classifier(pairs: DataFrame, label: str = "label", threshold: float = 0
 
 # --- correlation ---------------------------------------------------------------------------------
 
-# Values are ranked in this many stretches of about equal size.
-STRETCHES = 256
 
+def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by…, value, rank), the average rank of every distinct value.
 
-def average_ranks(df: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, int]:
-    """(by…, value, rank), the average rank of every distinct value, and its row count.
-
-    Equal values are counted first, so a value that fills a third of the rows is one row here. Few distinct
-    values are ranked in one window per group, more of them by a distributed sort.
+    Equal values are counted first, so a value that fills a third of the rows is one row here; the counts are then added
+    up in the order of the values by ranges.
     """
-    counts = stage(df.groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")), "value-counts")
-    rows = counts.count()
-    placed = counts.withColumn("stretch", F.lit(0)) if rows <= BROADCAST_ROWS else stretches(counts, by)
-    sums = placed.groupBy(*by, "stretch").agg(F.sum("n").alias("in_stretch"))
-    up_to = W.partitionBy(*by).orderBy("stretch").rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = sums.select(*by, "stretch", (F.sum("in_stretch").over(up_to) - F.col("in_stretch")).alias("before"))
-    within = W.partitionBy(*by, "stretch").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = placed.withColumn("_last", F.sum("n").over(within))
-    rank = F.col("before") + F.col("_last") - F.col("n") + (F.col("n") + 1) / 2
-    return running.join(before, [*by, "stretch"]).select(*by, "value", rank.alias("rank")), rows
-
-
-def stretches(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Add `stretch`: approximate quantiles cut each group's values into STRETCHES ordered parts of like size."""
-    steps = [i / STRETCHES for i in range(1, STRETCHES)]
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", steps, 10_000).alias("cuts"))
-    key = F.lit(0).alias("_g")
-    placed = attach(counts.select("*", key), cuts.select("*", key), ["_g", *by], "value")
-    stretch = F.size(F.filter("cuts", lambda c: c < F.col("value")))
-    return stage(placed.withColumn("stretch", stretch).drop("cuts", "_g"), "stretches")
-
-
-def pair_correlation(
-    pairs: DataFrame, by: list[str], similarity: str = "similarity", label: str = "label", spread: str = "pair_id"
-) -> DataFrame:
+    counts = df.groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    placed = running_sums(counts, by, ["value"], {"before": "n"})
+    return placed.select(*by, "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def pair_correlation(pairs: DataFrame, by: list[str], similarity: str = "similarity", label: str = "label") -> DataFrame:
     """(by…, cosine_pearson, cosine_spearman) of similarity and label; null if either is constant."""
-    ranked = pairs.select(*by, spread, F.col(similarity).alias("x"), F.col(label).cast("double").alias("y"))
+    ranked = pairs.select(*by, F.col(similarity).alias("x"), F.col(label).cast("double").alias("y"))
     ranked = stage(ranked, "correlation")
     joined = ranked
     for name in ("x", "y"):
-        ranks, rows = average_ranks(ranked, name, by)
-        ranks = ranks.withColumnsRenamed({"value": name, "rank": f"rank_{name}"})
-        joined = attach(joined, ranks, [*by, name], spread, rows=rows)
+        ranks = average_ranks(ranked, name, by).withColumnsRenamed({"value": name, "rank": f"rank_{name}"})
+        joined = join_null_safe(joined, ranks, [*by, name])
     varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
 
     def correlation(a, b):

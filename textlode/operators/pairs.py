@@ -7,12 +7,11 @@ which `rows_at` turns into row ids. No class is ever collected and no n^2 set of
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textlode.functions.keys import SEED, draw
 from textlode.operators.cuts import keyed, range_lookup, rows_at
-from textlode.operators.scale import attach, stage, with_sides
+from textlode.operators.scale import running_sums, stage, with_sides
 from textlode.operators.splits import share_out
 from textlode.operators.tfidf import pair_similarity
 
@@ -22,26 +21,20 @@ def class_table(df: DataFrame, label_col: str = "label") -> tuple[DataFrame, int
     sizes = df.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).alias("label")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    order = W.orderBy("label")
-    table = sizes.select(
-        (F.row_number().over(order) - 1).cast("bigint").alias("label_id"),
-        "label",
-        "n",
-        (F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("start"),
-        F.sum("n").over(W.partitionBy()).alias("everything"),
-    )
-    table = stage(table, "classes")
-    return table, table.count()
+    sizes = sizes.withColumn("_one", F.lit(1).cast("bigint"))
+    table = stage(running_sums(sizes, [], ["label"], {"label_id": "_one", "start": "n"}).drop("_one"), "classes")
+    facts = table.agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("rows")).first()
+    return table.withColumn("everything", F.lit(facts["rows"]).cast("bigint")), facts["classes"]
 
 
-def pick(df: DataFrame, id_col: str, label_col: str, wanted: DataFrame, rows: int, seed: int) -> DataFrame:
-    """Turn positions (grp, pos, total) into row ids; `rows` bounds the row count."""
-    return rows_at(keyed(df, id_col, label_col, "pair-order", seed), wanted, rows)
+def pick(df: DataFrame, id_col: str, label_col: str, wanted: DataFrame, seed: int) -> DataFrame:
+    """Turn positions (grp, pos, total) into row ids."""
+    return rows_at(keyed(df, id_col, label_col, "pair-order", seed), wanted)
 
 
-def with_text(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+def with_text(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Add text_a and text_b to pairs."""
-    return with_sides(pairs, df, ["pair_id"], id_col, text_col, "text", rows)
+    return with_sides(pairs, df, ["pair_id"], id_col, text_col, "text")
 
 
 def drawn_classes(df: DataFrame, label_col: str, draws: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
@@ -52,7 +45,7 @@ def drawn_classes(df: DataFrame, label_col: str, draws: int, seed: int) -> tuple
     classes, count = class_table(df, label_col)
     ids = df.sparkSession.range(draws).withColumnRenamed("id", "draw_id")
     drawn = ids.withColumn("label_id", draw("draw_id", "label", seed) % F.lit(max(count, 1)))
-    return attach(drawn, classes, ["label_id"], "draw_id", rows=count).where("n >= 2"), classes, count
+    return drawn.join(classes, "label_id").where("n >= 2"), classes, count
 
 
 def pair_positions(drawn: DataFrame, seed: int) -> DataFrame:
@@ -88,9 +81,9 @@ def positive_pairs(
         F.col("label"),
         F.explode(F.array(side("a", "label", "pos_a", "n"), side("b", "label", "pos_b", "n"))).alias("s"),
     )
-    picked = pick(df, id_col, label_col, wanted.select("pair_id", "label", "s.*"), 2 * num_pairs, seed)
+    picked = pick(df, id_col, label_col, wanted.select("pair_id", "label", "s.*"), seed)
     pairs = pivot_sides(picked, ["pair_id", "label"], "ab")
-    return with_text(df, pairs, id_col, text_col, num_pairs)
+    return with_text(df, pairs, id_col, text_col)
 
 
 def labelled_pairs(
@@ -113,19 +106,19 @@ def labelled_pairs(
     )
     shift = draw("draw_id", "other", seed) % F.lit(max(count - 1, 1))
     drawn = pair_positions(drawn, seed).withColumn("other_id", (F.col("label_id") + 1 + shift) % F.lit(count))
-    drawn = attach(drawn, others, ["other_id"], "draw_id", rows=count)
+    drawn = drawn.join(others, "other_id")
     drawn = drawn.withColumn("pos_c", draw("draw_id", "third", seed) % F.col("other_n"))
     sides = F.array(
         side("a", "label", "pos_a", "n"), side("b", "label", "pos_b", "n"), side("c", "other", "pos_c", "other_n")
     )
     wanted = drawn.select("draw_id", F.explode(sides).alias("s")).select("draw_id", "s.*")
-    picked = pivot_sides(pick(df, id_col, label_col, wanted, 3 * num_samples, seed), ["draw_id"], "abc")
+    picked = pivot_sides(pick(df, id_col, label_col, wanted, seed), ["draw_id"], "abc")
     both = F.array(
         F.struct((F.col("draw_id") * 2).alias("pair_id"), F.col("id_b").alias("id_b"), F.lit(1.0).alias("label")),
         F.struct((F.col("draw_id") * 2 + 1).alias("pair_id"), F.col("id_c").alias("id_b"), F.lit(0.0).alias("label")),
     )
     pairs = picked.select("id_a", F.explode(both).alias("p")).select("p.pair_id", "id_a", "p.id_b", "p.label")
-    return with_text(df, pairs, id_col, text_col, 2 * num_samples) if text_col else pairs
+    return with_text(df, pairs, id_col, text_col) if text_col else pairs
 
 
 def mixed_pairs(
@@ -179,8 +172,6 @@ def hardest_negatives(
     df: DataFrame,
     anchors: DataFrame,
     classes: DataFrame,
-    class_count: int,
-    rows: int,
     candidates: int,
     id_col: str,
     label_col: str,
@@ -189,16 +180,16 @@ def hardest_negatives(
 ) -> DataFrame:
     """(draw_id, id_a, id_b, similarity): for each anchor the most similar of a few rows of other classes.
 
-    `anchors` has (draw_id, id_a, n, start, everything), at most `rows` rows. Similarity is the TF-IDF cosine;
+    `anchors` has (draw_id, id_a, n, start, everything). Similarity is the TF-IDF cosine;
     ties go to the first candidate drawn.
     """
     spots = outside_positions(anchors, candidates, seed).select("draw_id", "id_a", "nth", "spot", "everything")
     ranges = classes.select(F.col("label").alias("grp"), "start", "n", F.col("n").alias("total"), "everything")
     placed = range_lookup(spots, ranges, [], "spot", "everything").withColumnRenamed("_within", "pos")
     placed = placed.select("draw_id", "id_a", "nth", "grp", "pos", "total")
-    picked = pick(df, id_col, label_col, placed, rows * candidates, seed)
+    picked = pick(df, id_col, label_col, placed, seed)
     tries = picked.select("draw_id", "nth", "id_a", F.col("id").alias("id_b"))
-    scored = pair_similarity(df, tries, ["draw_id", "nth"], id_col, text_col, rows * candidates)
+    scored = pair_similarity(df, tries, ["draw_id", "nth"], id_col, text_col)
     # Sums come in any order, so equal texts may differ in the last digits: those must not decide.
     near = F.round("similarity", 9).alias("near")
     best = F.struct(near, -F.col("nth"), F.col("id_a"), F.col("id_b"), F.col("similarity"))
@@ -218,7 +209,7 @@ def hard_negative_pairs(
 ) -> DataFrame:
     """num_samples // 2 positive pairs (label 1), each with a hard negative of its anchor (label 0)."""
     draws = num_samples // 2
-    drawn, classes, count = drawn_classes(df, label_col, draws, seed)
+    drawn, classes, _ = drawn_classes(df, label_col, draws, seed)
     wanted = pair_positions(drawn, seed).select(
         "draw_id",
         "n",
@@ -227,16 +218,14 @@ def hard_negative_pairs(
         F.explode(F.array(side("a", "label", "pos_a", "n"), side("b", "label", "pos_b", "n"))).alias("s"),
     )
     wanted = wanted.select("draw_id", "n", "start", "everything", "s.*")
-    picked = pick(df, id_col, label_col, wanted, 2 * draws, seed)
+    picked = pick(df, id_col, label_col, wanted, seed)
     positives = stage(pivot_sides(picked, ["draw_id", "n", "start", "everything"], "ab"), "positives")
-    negatives = hardest_negatives(
-        df, positives, classes, count, draws, candidates, id_col, label_col, text_col, seed
-    )
+    negatives = hardest_negatives(df, positives, classes, candidates, id_col, label_col, text_col, seed)
     both = positives.select((F.col("draw_id") * 2).alias("pair_id"), "id_a", "id_b", F.lit(1).alias("label"))
     both = both.unionByName(
         negatives.select((F.col("draw_id") * 2 + 1).alias("pair_id"), "id_a", "id_b", F.lit(0).alias("label"))
     )
-    return with_text(df, both, id_col, text_col, 2 * draws)
+    return with_text(df, both, id_col, text_col)
 
 
 def pair_of_number(df: DataFrame, number: str) -> DataFrame:
@@ -275,9 +264,9 @@ def positive_combinations(
         "label",
         F.explode(F.array(side("a", "label", "pos_a", "n"), side("b", "label", "pos_b", "n"))).alias("s"),
     )
-    picked = pick(df, id_col, label_col, wanted.select("pair_id", "label", "s.*"), 2 * cap * count, seed)
+    picked = pick(df, id_col, label_col, wanted.select("pair_id", "label", "s.*"), seed)
     pairs = pivot_sides(picked, ["pair_id", "label"], "ab")
-    return with_text(df, pairs, id_col, text_col, cap * count)
+    return with_text(df, pairs, id_col, text_col)
 
 
 def validation_pairs(
@@ -294,7 +283,7 @@ def validation_pairs(
     The full set is never formed: each class gets its share of the sample, and its share is drawn from the
     numbers of its pairs, an even number for the positive pair and an odd one for its negative.
     """
-    classes, count = class_table(df, label_col)
+    classes, _ = class_table(df, label_col)
     items = with_pair_counts(classes).withColumns({"grp": F.col("label"), "items": F.col("pairs") * 2})
     wanted = F.least(F.col("_total"), F.lit(num_samples).cast("decimal(38,0)"))
     quotas = share_out(items, wanted, "items", "take").drop("grp")
@@ -311,14 +300,14 @@ def validation_pairs(
     keep = ["draw_id", "positive", "n", "start", "everything"]
     chosen = places.select(*keep, F.explode(sides).alias("s")).select(*keep, "s.*")
     picked = stage(
-        pivot_sides(pick(df, id_col, label_col, chosen, 2 * num_samples, seed), keep, "ab"), "validation"
+        pivot_sides(pick(df, id_col, label_col, chosen, seed), keep, "ab"), "validation"
     )
     positives = picked.where("positive").select("draw_id", "id_a", "id_b", F.lit(1).alias("label"))
     negatives = hardest_negatives(
-        df, picked.where("not positive"), classes, count, num_samples, candidates, id_col, label_col, text_col, seed
+        df, picked.where("not positive"), classes, candidates, id_col, label_col, text_col, seed
     ).select("draw_id", "id_a", "id_b", F.lit(0).alias("label"))
     both = positives.unionByName(negatives).withColumnRenamed("draw_id", "pair_id")
-    return with_text(df, both, id_col, text_col, num_samples)
+    return with_text(df, both, id_col, text_col)
 
 
 def text_with_empty(df: DataFrame, id_col: str = "id", text_col: str = "text", label_id: str = "label_id") -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
-from textlode.operators.scale import spread
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -49,7 +48,7 @@ def corpus_totals(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def vocabulary_size(df: DataFrame, text_col: str = "text", approximate: bool = False) -> DataFrame:
     """Number of distinct whitespace tokens."""
-    tokens = T.explode_words(spread(df), text_col)
+    tokens = T.explode_words(df, text_col)
     if approximate:
         return tokens.agg(F.approx_count_distinct("word").alias("vocabulary_size"))
     return tokens.distinct().agg(F.count(F.lit(1)).alias("vocabulary_size"))
@@ -57,7 +56,7 @@ def vocabulary_size(df: DataFrame, text_col: str = "text", approximate: bool = F
 
 def length_histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
     """(bin, low, high, n) of the non-empty bins of equal width; a constant column has one bin."""
-    values = spread(df).select(value.cast("double").alias("value"))
+    values = df.select(value.cast("double").alias("value"))
     edges = values.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi")).alias("edges")).scalar()
     placed = values.withColumn("edges", edges)
     lo, hi = F.col("edges.lo"), F.col("edges.hi")
@@ -100,7 +99,7 @@ def corpus_summary(df: DataFrame, text_col: str = "text", label_col: str = "labe
 
     Counts and lengths come from one aggregate per class; only the vocabulary needs its own pass.
     """
-    per_class = spread(df).groupBy(label_col).agg(
+    per_class = df.groupBy(label_col).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(text_col).alias("texts"),
         F.sum(F.length(text_col)).alias("chars"),
@@ -128,6 +127,6 @@ def corpus_summary(df: DataFrame, text_col: str = "text", label_col: str = "labe
 
 def word_frequency(df: DataFrame, n: int = 100, text_col: str = "text") -> DataFrame:
     """The n most frequent lower-case words that are not stop words."""
-    tokens = T.explode_words(spread(df), F.lower(text_col))
+    tokens = T.explode_words(df, F.lower(text_col))
     kept = tokens.where(~F.col("word").isin(T.STOP_WORDS))
     return kept.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(n)

@@ -1,33 +1,23 @@
-"""Helpers that keep joins safe at scale: staged tables, checked broadcasts, salted joins."""
+"""Helpers that keep joins and numbering safe at scale: staged tables, null-safe joins, distributed numbers.
+
+No plan here depends on a count. Joins carry no broadcast hint: Spark broadcasts a side whose bytes are known to be below
+spark.sql.autoBroadcastJoinThreshold, and splits skewed keys of the others at run time. Staged tables have exact file
+sizes, so that choice is made before the wide side would be shuffled.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Largest class-level table that is broadcast. Beyond it the join is salted instead.
-BROADCAST_ROWS = 200_000
-SALTS = 32
-# A key with more rows than this, and with more than 1 / HOT_KEYS of all rows, is joined on its own.
-HOT_ROWS = 100_000
-HOT_KEYS = 10_000
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can see: the session's checkpoint folder.
-
-    Only a local session without one gets a folder of its own.
-    """
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="textlode-"))
-        path = context.getCheckpointDir()
+    """Folder all executors can see: the session's checkpoint folder, and where none is set its warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return path.rstrip("/")
 
 
@@ -46,73 +36,49 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a small input of few files, for operators that work hard on each row.
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null equal to null; the keys are those of `left`."""
+    other = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
+    return left.join(other, same, how).drop(*[f"_right_{c}" for c in on])
 
-    Such files often hold a single row group, so most of their planned partitions are empty. Larger inputs, with more
-    partitions than cores, or inputs of many files are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df.rdd.getNumPartitions() <= cores and 4 * len(df.inputFiles()) < cores
-    return df.repartition(cores) if few else df
 
+def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a class-level table to a big one; null keys match null keys."""
+    return join_null_safe(big, stage(small, "class-table"), on, how)
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
-    """Shuffle join in which each key of `big` is split over SALTS tasks by its column `spread`."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    right = small.withColumn("_salt", salts)
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
-
-def join_unique(big: DataFrame, unique: DataFrame, on: list[str]) -> DataFrame:
-    """Join a staged table, in which a key may fill a third of the rows, to one with unique keys.
-
-    The hot keys are counted out first. There are fewer than HOT_KEYS, so their rows of `unique` are broadcast;
-    all other keys go through a plain shuffle join.
-    """
-    limit = max(HOT_ROWS, big.count() // HOT_KEYS)
-    hot = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*on)
-    hot = stage(hot, "hot-keys")
-    if not hot.count():
-        return big.join(unique, on)
-    rest = big.join(F.broadcast(hot), on, "left_anti").join(unique, on)
-    few = unique.join(F.broadcast(hot), on, "left_semi")
-    return rest.unionByName(big.join(F.broadcast(few), on))
-
-
-def with_sides(
-    pairs: DataFrame, table: DataFrame, keys: list[str], id_col: str, value_col: str, name: str, rows: int
-) -> DataFrame:
-    """Add name_a and name_b, the values of a table's rows id_a and id_b, to pairs told apart by `keys`.
-
-    `rows` is a proven bound of the number of pairs. A few pairs are broadcast, so that the table is scanned once
-    and not shuffled.
-    """
+def with_sides(pairs: DataFrame, table: DataFrame, keys: list[str], id_col: str, value_col: str, name: str) -> DataFrame:
+    """Add name_a and name_b, the values of a table's rows id_a and id_b, to pairs told apart by `keys`."""
     ends = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"id_{s}").alias("id")) for s in "ab"])
     values = table.select(F.col(id_col).alias("id"), F.col(value_col).alias("value"))
     sides = pairs.select(*keys, F.explode(ends).alias("e")).select(*keys, "e.*")
-    if 2 * rows <= BROADCAST_ROWS:
-        found = values.join(F.broadcast(sides), "id")
-    else:
-        found = join_unique(stage(sides, "sides"), values, ["id"])
+    found = values.join(stage(sides, "sides"), "id")
     wide = found.groupBy(*keys).agg(
         *[F.first(F.when(F.col("side") == s, F.col("value")), ignorenulls=True).alias(f"{name}_{s}") for s in "ab"]
     )
     return pairs.join(wide, keys)
 
 
-def attach(
-    big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner", rows: int | None = None
-) -> DataFrame:
-    """Join a class-level table to a big one without shuffling the big one.
+def running_sums(df: DataFrame, by: list[str], order: list, sums: dict[str, str]) -> DataFrame:
+    """Add, for each output -> column of `sums`, the sum of the rows before this one in the order, within each group `by`.
 
-    `rows` is a proven upper bound of the small table's row count. Without it the table is staged
-    and counted. Within BROADCAST_ROWS it is broadcast, beyond that the join is salted.
+    Without a window over a whole group: the rows are cut into ranges of the order, ranges are added up, and only
+    the table of ranges, as long as the number of partitions times groups, is summed in a row. `order` must be total within a group.
     """
-    if rows is None:
-        small = stage(small, "class-table")
-        rows = small.count()
-    if rows <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), on, how)
-    return salted_join(big, small, on, spread, how)
+    placed = stage(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()])
+    up_to = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(*by, "_range", *[F.sum(f"_t_{out}").over(up_to).alias(f"_s_{out}") for out in sums])
+    within = W.partitionBy(*by, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0)
+    rows = placed.withColumns({f"_w_{out}": F.sum(c).over(within) for out, c in sums.items()})
+    rows = join_null_safe(rows, starts, [*by, "_range"])
+    return rows.withColumns(
+        {out: F.coalesce(f"_w_{out}", zero) + F.coalesce(f"_s_{out}", zero) for out in sums}
+    ).drop("_range", *[f"_{x}_{out}" for out in sums for x in "sw"])
+
+
+def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
+    """Add the place of each row in the order, from 0, without sorting the table in one task."""
+    return running_sums(df.withColumn("_one", F.lit(1).cast("bigint")), [], order, {out: "_one"}).drop("_one")

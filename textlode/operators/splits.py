@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textlode.functions.keys import SEED
 from textlode.operators.clean import drop_categories, keep_categories
 from textlode.operators.cuts import mark_parts, take_per_group
-from textlode.operators.scale import stage
+from textlode.operators.scale import numbered, stage
 
 WIDE = "decimal(38,0)"
 
@@ -31,7 +30,7 @@ def random_split(
     quotas = df.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(0).alias("grp"), F.lit("test").alias("part"), F.ceil(F.lit(test_size) * F.col("n")).alias("upto")
     )
-    return mark_parts(df, id_col, None, quotas, ["test"], "train", out, "split", seed, quota_rows=1)
+    return mark_parts(df, id_col, None, quotas, ["test"], "train", out, "split", seed)
 
 
 def share_out(counts: DataFrame, wanted: Column, n_col: str, out: str) -> DataFrame:
@@ -40,20 +39,21 @@ def share_out(counts: DataFrame, wanted: Column, n_col: str, out: str) -> DataFr
     `counts` has one row per class with its name in `grp`; `wanted` may use `_total`, the sum of
     `n_col`. Ties of the remainder go to the first class name.
     """
-    everything = W.partitionBy()
-    table = counts.withColumn("_total", F.sum(n_col).over(everything).cast(WIDE))
+    counts = stage(counts, "shares")
+    total = counts.agg(F.sum(n_col).cast(WIDE).alias("t")).first()["t"]
+    table = counts.withColumn("_total", F.lit(total).cast(WIDE))
     table = table.withColumn("_share", wanted.cast("decimal(13,0)") * F.col(n_col).cast("decimal(24,0)"))
     table = table.withColumns(
         {"_floor": F.expr("cast(_share div _total as bigint)"), "_left": F.expr("_share % _total")}
     )
-    table = table.withColumn("_spare", wanted.cast("bigint") - F.sum("_floor").over(everything))
-    rank = F.row_number().over(everything.orderBy(F.desc("_left"), F.asc("grp")))
-    table = table.withColumn(out, F.col("_floor") + F.when(rank <= F.col("_spare"), 1).otherwise(0))
-    return table.drop("_total", "_share", "_floor", "_left", "_spare")
+    table = numbered(table, [F.desc("_left"), F.asc("grp")], "_rank")
+    spare = table.agg(F.max(wanted.cast("bigint")) - F.sum("_floor")).first()[0] or 0
+    table = table.withColumn(out, F.col("_floor") + F.when(F.col("_rank") < spare, 1).otherwise(0))
+    return table.drop("_total", "_share", "_floor", "_left", "_rank")
 
 
-def class_quotas(df: DataFrame, label_col: str, sizes: dict[str, float]) -> tuple[DataFrame, int]:
-    """(grp, part, upto) for `mark_parts` and its row count.
+def class_quotas(df: DataFrame, label_col: str, sizes: dict[str, float]) -> DataFrame:
+    """(grp, part, upto) for `mark_parts`. Rows without a label are a class of their own.
 
     Each part takes its share of the rows that the parts before it left over.
     """
@@ -77,8 +77,7 @@ def class_quotas(df: DataFrame, label_col: str, sizes: dict[str, float]) -> tupl
     for part in sizes:
         if facts["classes"] and facts[part] < facts["classes"]:
             raise ValueError(f"part {part} has {facts[part]} rows for {facts['classes']} classes")
-    quotas = table.select("grp", F.explode(F.array(*columns)).alias("q")).select("grp", "q.part", "q.upto")
-    return quotas, facts["classes"] * len(sizes)
+    return table.select("grp", F.explode(F.array(*columns)).alias("q")).select("grp", "q.part", "q.upto")
 
 
 def stratified_split(
@@ -90,8 +89,8 @@ def stratified_split(
     out: str = "split",
 ) -> DataFrame:
     """Like `random_split`, with the class shares of the whole table in both parts."""
-    quotas, rows = class_quotas(df, label_col, {"test": test_size})
-    return mark_parts(df, id_col, label_col, quotas, ["test"], "train", out, "strat", seed, rows)
+    quotas = class_quotas(df, label_col, {"test": test_size})
+    return mark_parts(df, id_col, label_col, quotas, ["test"], "train", out, "strat", seed)
 
 
 def three_way_split(
@@ -104,8 +103,8 @@ def three_way_split(
     out: str = "split",
 ) -> DataFrame:
     """Stratified `test`, then `val` from the rest, then `train`."""
-    quotas, rows = class_quotas(df, label_col, {"test": test_size, "val": val_size})
-    return mark_parts(df, id_col, label_col, quotas, ["test", "val"], "train", out, "strat", seed, rows)
+    quotas = class_quotas(df, label_col, {"test": test_size, "val": val_size})
+    return mark_parts(df, id_col, label_col, quotas, ["test", "val"], "train", out, "strat", seed)
 
 
 def holdout_split(
@@ -128,9 +127,7 @@ def holdout_split(
         F.lit("holdout_example").alias("part"),
         F.lit(examples_per_class).cast("bigint").alias("upto"),
     )
-    return mark_parts(
-        held, id_col, label_col, quotas, ["holdout_example"], "holdout_test", out, "holdout", seed, len(names)
-    )
+    return mark_parts(held, id_col, label_col, quotas, ["holdout_example"], "holdout_test", out, "holdout", seed)
 
 
 def split_corpus(

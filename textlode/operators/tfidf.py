@@ -10,16 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
-from textlode.operators.scale import BROADCAST_ROWS, salted_join, spread, stage
-
-# The most frequent terms are joined by broadcast. Any other term is in too few documents to be skewed.
-FREQUENT_TERMS = 50_000
+from textlode.operators.scale import stage
 
 
 def inverse_frequency(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, df, idf) over all documents."""
     per_term = (
-        spread(df).select(F.explode(F.array_distinct(T.terms(text_col))).alias("term"))
+        df.select(F.explode(F.array_distinct(T.terms(text_col))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -28,11 +25,10 @@ def inverse_frequency(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def weights(docs: DataFrame, idf: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, term, weight) of the documents, each scaled to length 1. `idf` is staged, so counting it is cheap.
+    """(id, term, weight) of the documents, each scaled to length 1. `idf` is staged, so its bytes are known.
 
-    The texts are shuffled once by id; counting terms and scaling documents then stay in place. A vocabulary within
-    BROADCAST_ROWS is broadcast. Of a larger one only the frequent terms are: their rows then carry a spread-out
-    key through the shuffle join that serves the rare terms, so that no term gathers in one task.
+    The texts are shuffled once by id; counting terms and scaling documents then stay in place. A frequent term of a vocabulary too
+    large to broadcast is a skewed key of a plain join, which is split at run time.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
     counts = (
@@ -40,10 +36,7 @@ def weights(docs: DataFrame, idf: DataFrame, id_col: str = "id", text_col: str =
         .groupBy("id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    if idf.count() <= BROADCAST_ROWS:
-        found = counts.join(F.broadcast(idf.select("term", "idf")), "term")
-    else:
-        found = join_rare(counts, idf)
+    found = counts.join(idf.select("term", "idf"), "term")
     raw = found.select("id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     # One document's terms: as large as the document, which already is one value.
     per_doc = raw.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "raw"))).alias("terms"))
@@ -53,46 +46,24 @@ def weights(docs: DataFrame, idf: DataFrame, id_col: str = "id", text_col: str =
     )
 
 
-def join_rare(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """Add idf to (id, term, tf): frequent terms by broadcast, the others by shuffle."""
-    frequent = idf.orderBy(F.desc("df"), "term").limit(FREQUENT_TERMS).select("term", F.col("idf").alias("idf_frequent"))
-    known = counts.join(F.broadcast(frequent), "term", "left")
-    spread = F.concat_ws(" ", "term", "id")  # no term holds a blank, so this matches nothing
-    known = known.withColumn("_key", F.when(F.col("idf_frequent").isNull(), F.col("term")).otherwise(spread))
-    rare = idf.select(F.col("term").alias("_key"), F.col("idf").alias("idf_rare"))
-    return known.join(rare, "_key", "left").select(
-        "id", "term", "tf", F.coalesce("idf_frequent", "idf_rare").alias("idf")
-    )
-
-
 def tfidf(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, term, weight) of the whole corpus."""
     return weights(df, stage(inverse_frequency(df, text_col), "idf"), id_col, text_col)
 
 
-def pair_similarity(
-    df: DataFrame, pairs: DataFrame, keys: list[str], id_col: str, text_col: str, rows: int
-) -> DataFrame:
+def pair_similarity(df: DataFrame, pairs: DataFrame, keys: list[str], id_col: str, text_col: str) -> DataFrame:
     """Add `similarity`, the TF-IDF cosine of id_a and id_b, to pairs told apart by `keys`.
 
     Document frequencies come from the whole corpus, weights only from the documents in the pairs.
-    `rows` bounds the number of pairs.
     """
     idf = stage(inverse_frequency(df, text_col), "idf")
     pairs = stage(pairs, "tries")
-    needed = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    if 2 * rows <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
+    needed = stage(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "needed")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
     vectors = stage(weights(docs, idf), "vectors")
     left = vectors.select(F.col("id").alias("id_a"), "term", F.col("weight").alias("weight_a"))
     right = vectors.select(F.col("id").alias("id_b"), "term", F.col("weight").alias("weight_b"))
-    if rows <= BROADCAST_ROWS:
-        terms_a = left.join(F.broadcast(pairs), "id_a")
-        matched = terms_a.join(right, ["id_b", "term"])
-    else:
-        # A row of a small class may be in a third of the pairs.
-        terms_a = salted_join(pairs, left, ["id_a"], keys[0])
-        matched = salted_join(terms_a, right, ["id_b", "term"], keys[0])
+    # A row of a small class may be in a third of the pairs: a skewed key, split at run time.
+    matched = left.join(pairs, "id_a").join(right, ["id_b", "term"])
     scores = matched.groupBy(*keys).agg(F.sum(F.col("weight_a") * F.col("weight_b")).alias("similarity"))
     return pairs.join(scores, keys, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))

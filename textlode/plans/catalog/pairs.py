@@ -9,7 +9,6 @@ from textlode.plans.catalog import sql
 from textlode.plans.catalog.registry import documents, query
 
 DRAWS = 10_000
-SMALL = 2_000
 BASE = f"{sql.DOCS}, {sql.classes('docs')}"
 
 
@@ -41,22 +40,22 @@ def t2(spark, folder):
 
 @query(
     "t3_mixed_pairs",
-    f"""WITH {BASE}, {sql.labelled_pairs(SMALL // 2)},
-    mixed AS (SELECT * FROM pairs ORDER BY {sql.draw('shuffle', 'pair_id')}, pair_id LIMIT {SMALL})
+    f"""WITH {BASE}, {sql.labelled_pairs(DRAWS // 2)},
+    mixed AS (SELECT * FROM pairs ORDER BY {sql.draw('shuffle', 'pair_id')}, pair_id LIMIT {DRAWS})
     {_with_texts('mixed', 'pair_id, mixed.label')}""",
 )
 def t3(spark, folder):
-    return _texts(P.mixed_pairs(documents(spark, folder), SMALL), "pair_id", "label")
+    return _texts(P.mixed_pairs(documents(spark, folder), DRAWS), "pair_id", "label")
 
 
 @query(
     "t4_hard_negatives",
-    f"""WITH {BASE}, {sql.drawn(SMALL // 2)}, {sql.positives()}, {sql.tfidf()}, {sql.hardest('positives')},
+    f"""WITH {BASE}, {sql.drawn(DRAWS // 2)}, {sql.positives()}, {sql.tfidf()}, {sql.hardest('positives')},
     hard AS (SELECT draw_id * 2 AS pair_id, id_a, id_b, 1 AS label FROM positives
       UNION ALL SELECT draw_id * 2 + 1, id_a, id_b, 0 FROM hardest) {_with_texts('hard', 'pair_id, hard.label')}""",
 )
 def t4(spark, folder):
-    return _texts(P.hard_negative_pairs(documents(spark, folder), SMALL), "pair_id", "label")
+    return _texts(P.hard_negative_pairs(documents(spark, folder), DRAWS), "pair_id", "label")
 
 
 def _number_pairs(quotas, take, size, salt):

@@ -40,7 +40,7 @@ def l3(spark, folder):
     long = labels.encode_labels(docs).where(F.length("text") > 1000).drop("label")
     used = labels.labels_in_use(long, names)
     counts = long.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))
-    return labels.decode_labels(counts, used, "label_id").select("label_id", "label", "n")
+    return labels.decode_labels(counts, used).select("label_id", "label", "n")
 
 
 @query(

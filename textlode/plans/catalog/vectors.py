@@ -49,7 +49,7 @@ def _next_pairs(spark, folder):
     ids = vectors.select("id")
     pairs = ids.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"))
     pairs = pairs.join(ids.withColumnRenamed("id", "id_b"), "id_b", "left_semi")
-    return embed.pair_scores(pairs, vectors, ["id_a", "id_b"], ids.count())
+    return embed.pair_scores(pairs, vectors, ["id_a", "id_b"])
 
 
 @query(
@@ -101,21 +101,17 @@ def v7(spark, folder):
     return embed.embedding_drift(versions, "embedding", "after").withColumn("kl", F.round("kl", 6))
 
 
-VOCABULARY = 5_000
-
-
 @query(
     "v8_token_ids",
     f"""WITH {sql.DOCS}, t AS (SELECT id, {sql.words('lower(text)')} AS words FROM docs),
-    vocab AS (SELECT word, 1 + row_number() OVER (ORDER BY count(*) DESC, word) AS token FROM (SELECT unnest(words) AS word FROM t)
-      GROUP BY 1 QUALIFY token < {VOCABULARY} + 2),
+    vocab AS (SELECT word, 1 + row_number() OVER (ORDER BY count(*) DESC, word) AS token FROM (SELECT unnest(words) AS word FROM t) GROUP BY 1),
     p AS (SELECT id, unnest(words[1:256]) AS word, generate_subscripts(words[1:256], 1) AS place FROM t),
     ids AS (SELECT id, list(coalesce(token, 1) ORDER BY place) AS ids FROM p LEFT JOIN vocab USING (word) GROUP BY 1)
     SELECT t.id, array_to_string(list_concat(coalesce(ids, []), list_transform(range(256 - len(coalesce(ids, []))), lambda x: 0)), ' ')
       AS input_ids, len(coalesce(ids, [])) AS tokens FROM t LEFT JOIN ids USING (id)""",
 )
 def v8(spark, folder):
-    rows = embed.token_ids(documents(spark, folder), vocabulary=VOCABULARY)
+    rows = embed.token_ids(documents(spark, folder))
     mask = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     return rows.select("id", F.array_join("input_ids", " ").alias("input_ids"), mask.cast("bigint").alias("tokens"))
 
@@ -145,7 +141,7 @@ def v10_cosine(spark, folder):
     docs = documents(spark, folder)
     following = docs.select((F.col("id") - 1).alias("id_a"), F.col("id").alias("id_b"))
     pairs = stage(following.join(docs.select(F.col("id").alias("id_a")), "id_a", "left_semi"), "next")
-    scored = pair_similarity(docs, pairs, ["id_a", "id_b"], "id", "text", pairs.count())
+    scored = pair_similarity(docs, pairs, ["id_a", "id_b"], "id", "text")
     return scored.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
