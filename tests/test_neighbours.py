@@ -121,3 +121,44 @@ def test_few_shot_index_finds_the_new_class(spark):
     assert evaluation.evaluate_split(split).first().accuracy == 1.0
     grown = evaluation.evaluate_few_shot(split).first()
     assert (grown.queries, grown.accuracy, grown.mrr) == (2, 1.0, 1.0)
+
+
+def odd(spark, rows):
+    return spark.createDataFrame(rows, "id bigint, embedding array<double>, label_id int")
+
+
+def test_vectors_of_other_lengths_raise(spark):
+    index = odd(spark, [(0, [0.0, 1.0], 0), (1, [0.0, 1.0, 2.0], 0)])
+    with pytest.raises(Exception, match="elements"):
+        K.knn(odd(spark, [(9, [1.0, 1.0], 0)]), index).collect()
+    with pytest.raises(Exception, match="elements"):
+        K.knn(odd(spark, [(9, [1.0], 0)]), index.where("id = 0")).collect()
+
+
+def test_unusable_vectors_take_no_part_and_are_counted(spark):
+    index = odd(spark, [(i, [float(i), 0.0], i % 2) for i in range(6)] + [(6, None, 0), (7, [None, 1.0], 0), (8, [float("nan"), 0.0], 0)])
+    queries = odd(spark, [(20, [0.1, 0.0], 0), (21, None, 1), (22, [float("nan"), 1.0], 0), (23, [1.1, 0.0], 1)])
+    assert {r.query_id for r in K.knn(queries, index, 2).collect()} == {20, 23}
+    scored = evaluation.score_queries(queries, index, 1, 1)
+    row = evaluation.evaluate(scored).first()
+    assert (row.queries, row.unscored, row.accuracy, row.topk_accuracy) == (4, 2, 0.5, 0.5)
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """From another folder: only the driver's path knows the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as entry
+assert entry.queries()["j1_knn"](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]

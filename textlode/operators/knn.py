@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
+from pyspark.sql.pandas.types import to_arrow_type
+
+from textlode.operators.scale import stage
 
 # Memory for one block of vectors and for one tile of distances in a task.
 BLOCK_BYTES = 64 * 1024 * 1024
 TILE_BYTES = 16 * 1024 * 1024
 # Points per run whose smallest distance is looked at first.
 RUN = 64
-# Queries per block while there is less than one block per core.
-SMALL_BLOCK = 256
-MAX_PARTITIONS = 20_000
+# Queries that meet an index block at once.
+QUERY_ROWS = 512
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -87,18 +89,21 @@ def knn(
 ) -> DataFrame:
     """(query_id, rank, neighbour_id, dist, label_id): the k nearest index rows of each query, by squared L2 distance.
 
-    Ties go to the smaller neighbour id; an index of fewer than k rows gives fewer neighbours.
+    Ties go to the smaller neighbour id; an index of fewer than k rows gives fewer neighbours. Vectors that are null or hold
+    null, NaN or infinity take no part; one of another length than the index's first raises.
 
     Queries and index are cut into blocks by a hash of their id, sized to fit in a task, and every
     query block meets every index block as one matrix product. A pair of blocks only gives each query's
     k best, so no set of all pairs is formed. The final merge is a top-k window, which prunes before its shuffle.
     """
-    spark = queries.sparkSession
-    usable = F.col(vec_col).isNotNull()
+    finite = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    usable = F.coalesce(finite, F.lit(False))
+    # Written once: the encoder or split behind them runs once, and counts and the length are cheap.
     points = index.where(usable).select(
         F.col(id_col).alias("neighbour_id"), F.col(vec_col).alias("point"), F.col(label_col).alias("label_id")
     )
     asked = queries.where(usable).select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query"))
+    points, asked = stage(points, "points"), stage(asked, "queries")
     schema = t.StructType(
         [
             t.StructField("query_id", asked.schema["query_id"].dataType),
@@ -108,12 +113,17 @@ def knn(
         ]
     )
     first_point = points.select(F.size("point").alias("dim")).first()
-    block_rows = max(1, BLOCK_BYTES // (8 * max(first_point["dim"] if first_point else 1, 1)))
-    n_queries = queries.count()
-    index_blocks = max(1, math.ceil(index.count() / block_rows))
-    # Larger query blocks copy the index less often; smaller ones keep all cores busy.
-    wanted = math.ceil(4 * spark.sparkContext.defaultParallelism / index_blocks)
-    query_blocks = max(1, math.ceil(n_queries / block_rows), min(wanted, math.ceil(n_queries / SMALL_BLOCK)))
+    dim = first_point["dim"] if first_point else None
+    block_rows = max(1, BLOCK_BYTES // (8 * max(dim or 1, 1)))
+    index_blocks = max(1, math.ceil(points.count() / block_rows))
+    query_blocks = max(1, math.ceil(asked.count() / max(QUERY_ROWS, block_rows // 16)))
+    if dim is not None:
+
+        def checked(column):
+            wrong = F.raise_error(F.format_string(f"vectors of {dim} and %d elements", F.size(column)))
+            return F.when(F.size(column) == dim, F.col(column)).otherwise(wrong)
+
+        points, asked = points.withColumn("point", checked("point")), asked.withColumn("query", checked("query"))
 
     def block_of(column, blocks):
         return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
@@ -128,16 +138,16 @@ def knn(
     points = points.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
 
     # An explicit number of partitions keeps small but costly blocks apart.
-    partitions = min(2 * query_blocks * index_blocks, MAX_PARTITIONS)
+    partitions = 2 * query_blocks * index_blocks
     asked = asked.withColumn("qb", block_of("query_id", query_blocks)).withColumn("xb", every(index_blocks))
     points = points.withColumn("xb", block_of("neighbour_id", index_blocks)).withColumn("qb", every(query_blocks))
     asked, points = (side.repartition(partitions, "qb", "xb") for side in (asked, points))
     arrow = pa.schema(
         [
-            ("query_id", _arrow(schema["query_id"].dataType)),
-            ("neighbour_id", _arrow(schema["neighbour_id"].dataType)),
+            ("query_id", to_arrow_type(schema["query_id"].dataType)),
+            ("neighbour_id", to_arrow_type(schema["neighbour_id"].dataType)),
             ("dist", pa.float64()),
-            ("label_id", _arrow(schema["label_id"].dataType)),
+            ("label_id", to_arrow_type(schema["label_id"].dataType)),
         ]
     )
 
@@ -155,11 +165,6 @@ def knn(
     return ranked.select("query_id", "rank", "neighbour_id", "dist", "label_id")
 
 
-def _arrow(spark_type: t.DataType) -> pa.DataType:
-    known = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}
-    return known[spark_type.simpleString()]
-
-
 def votes(neighbours: DataFrame, k_vote: int = 5, k_labels: int = 5) -> DataFrame:
     """(query_id, pred, labels, share): everything read off the neighbours of a query, in one aggregate.
 

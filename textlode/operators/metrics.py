@@ -29,7 +29,8 @@ def confusion(scored: DataFrame, label: str = "label_id", pred: str = "pred", by
 def class_scores(table: DataFrame, by: list[str] = (), carry: list[str] = ()) -> DataFrame:
     """(by…, class, support, predicted, hits, precision, recall, f1) from a confusion table.
 
-    Further sums in the columns `carry` go with the true class, so they need no pass of their own.
+    Further sums in the columns `carry` go with the true class, so they need no pass of their own. A null prediction is
+    no class: it only counts in its true class's support.
     """
     zero = F.lit(0).cast("bigint")
     hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(zero)
@@ -46,6 +47,7 @@ def class_scores(table: DataFrame, by: list[str] = (), carry: list[str] = ()) ->
 
     sides = F.array(side("label", F.col("n"), zero, hit, True), side("pred", zero, F.col("n"), zero, False))
     rows = table.select(*by, F.explode(sides).alias("c")).select(*by, "c.*")
+    rows = rows.where(F.col("class").isNotNull() | (F.col("support") > 0))
     sums = rows.groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits", *carry)])
     support, predicted, hits = F.col("support"), F.col("predicted"), F.col("hits")
     return sums.withColumns(

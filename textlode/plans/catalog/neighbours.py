@@ -54,6 +54,7 @@ def k2(spark, folder):
 
 def rounded(df):
     names = ("accuracy", "precision", "recall", "f1", "mrr", "topk_accuracy", "log_loss", "perplexity")
+    names += ("macro_precision", "macro_recall", "macro_f1")
     return df.withColumns({c: F.round(c, 6) for c in df.columns if c in names})
 
 
@@ -62,6 +63,15 @@ def k3(spark, folder):
     return rounded(evaluation.evaluate_split(split_embeddings(spark, folder)))
 
 
+@query(
+    "k3_evaluation_report",
+    f"""WITH {sql.SCORED}, {sql.class_scores()}
+    SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, CAST(support AS BIGINT) AS support FROM classes""",
+)
+def k3_report(spark, folder):
+    return rounded(evaluation.evaluate_with_report(split_embeddings(spark, folder))[1])
+
+
 @query("k4_few_shot_evaluation", f"{GROWN}, {sql.votes()}, {sql.class_scores()} {sql.EVALUATION}")
 def k4(spark, folder):
     return rounded(evaluation.evaluate_few_shot(few_shot_embeddings(spark, folder)))

@@ -108,8 +108,11 @@ WEIGHTED = """round(sum(hits) / sum(support), 6) AS accuracy, round(sum(p * supp
 PER_QUERY = """avg(CASE WHEN list_contains(labels, label_id) THEN 1.0 ELSE 0.0 END) AS topk_accuracy,
   avg(coalesce(1.0 / nullif(list_position(labels, label_id), 0), 0)) AS mrr"""
 
-EVALUATION = f"""SELECT * FROM (SELECT CAST(sum(support) AS BIGINT) AS queries, {WEIGHTED} FROM classes),
-  (SELECT round(mrr, 6) AS mrr, round(topk_accuracy, 6) AS topk_accuracy FROM (SELECT {PER_QUERY} FROM scored))"""
+EVALUATION = f"""SELECT * FROM (SELECT CAST(sum(support) AS BIGINT) AS queries, {WEIGHTED}, round(avg(p), 6) AS macro_precision,
+  round(avg(r), 6) AS macro_recall, round(avg(f), 6) AS macro_f1 FROM classes),
+  (SELECT round(mrr, 6) AS mrr, round(topk_accuracy, 6) AS topk_accuracy, round(log_loss, 6) AS log_loss, unscored FROM (SELECT {PER_QUERY},
+  avg(-ln(least(greatest(own_share, 2.220446049250313e-16::DOUBLE), 1 - 2.220446049250313e-16::DOUBLE))) AS log_loss,
+  count(*) - count(pred) AS unscored FROM scored))"""
 
 
 def classes(source: str, label: str = "label") -> str:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,13 @@ CORRUPT = "_corrupt_record"
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def read_json_lines(spark: SparkSession, paths: str | list[str], schema: str | None = None, by: str = "file") -> DataFrame:
@@ -140,7 +147,9 @@ def read_newsgroups(
     """
     folders = f"{root}/{_named([subset] if subset in ('train', 'test') else None)}/{_named(categories)}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
-    place = F.split(F.element_at(F.split("path", rf"\Q{root.rstrip('/')}/\E"), -1), "/")
+    # Spark names files with a scheme, which the root may write in another way or leave out.
+    below = re.sub(r"^\w+:(//[^/]*)?", "", root.rstrip("/"))
+    place = F.split(F.element_at(F.split("path", rf"\Q{below}/\E"), -1), "/")
 
     def part(i):
         return F.url_decode(F.regexp_replace(place[i], "^[^=/]*=", ""))
