@@ -37,7 +37,7 @@ def share_out(counts: DataFrame, wanted: Column, n_col: str, out: str) -> DataFr
     """Share `wanted` rows out among the classes in proportion to `n_col`, by largest remainder.
 
     `counts` has one row per class with its name in `grp`; `wanted` may use `_total`, the sum of
-    `n_col`. Ties of the remainder go to the first class name.
+    `n_col`. Ties of the remainder go to the first class name, null last.
     """
     counts = stage(counts, "shares")
     total = counts.agg(F.sum(n_col).cast(WIDE).alias("t")).first()["t"]
@@ -46,7 +46,7 @@ def share_out(counts: DataFrame, wanted: Column, n_col: str, out: str) -> DataFr
     table = table.withColumns(
         {"_floor": F.expr("cast(_share div _total as bigint)"), "_left": F.expr("_share % _total")}
     )
-    table = numbered(table, [F.desc("_left"), F.asc("grp")], "_rank")
+    table = numbered(table, [F.desc("_left"), F.asc_nulls_last("grp")], "_rank")
     spare = table.agg(F.max(wanted.cast("bigint")) - F.sum("_floor")).first()[0] or 0
     table = table.withColumn(out, F.col("_floor") + F.when(F.col("_rank") < spare, 1).otherwise(0))
     return table.drop("_total", "_share", "_floor", "_left", "_rank")

@@ -8,7 +8,7 @@ from textlode.operators.classify import fit_logistic, load_model, predict, save_
 from textlode.operators.scale import new_path
 from textlode.operators.splits import cap_per_source, rows_of, sample_rows
 from textlode.plans.catalog import sql
-from textlode.plans.catalog.registry import documents, embeddings, query, split_embeddings, table
+from textlode.plans.catalog.registry import documents, embeddings, query, rated_documents, split_embeddings, table
 from textlode.sources import readers, writers
 
 
@@ -37,6 +37,15 @@ def s2(spark, folder):
     return capped.select("id", "label", F.length("text").cast("bigint").alias("chars"))
 
 
+@query(
+    "s2_cap_per_nullable_source",
+    f"""WITH {sql.RATED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY rating ORDER BY {sql.key('cap')}, id) AS r FROM rated)
+    SELECT id, rating FROM ranked WHERE r <= {CAP}""",
+)
+def s2_nullable(spark, folder):
+    return cap_per_source(rated_documents(spark, folder).select("id", "rating"), CAP, "rating")
+
+
 @query(
     "s3_source_status",
     """SELECT lang AS source, 'read' AS status, count(*) AS records, 0::BIGINT AS bad_lines FROM documents GROUP BY 1

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textlode.operators import labels, splits
 from textlode.plans.catalog import sql
-from textlode.plans.catalog.registry import documents, query
+from textlode.plans.catalog.registry import documents, query, rated_documents
 
 SAMPLE = 300
 NAMES = "names AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS label_id FROM docs GROUP BY 1)"
@@ -61,6 +61,16 @@ def l5(spark, folder):
     return splits.stratified_split(_docs(spark, folder), label_col="source").select("id", "source", "split")
 
 
+@query(
+    "l5_stratified_split_nullable",
+    f"""WITH {sql.RATED}, {sql.three_way('rated', 'rating')}
+    SELECT id, rating, CASE WHEN split = 'test' THEN 'test' ELSE 'train' END AS split FROM split""",
+)
+def l5_nullable(spark, folder):
+    rated = rated_documents(spark, folder).select("id", "rating")
+    return splits.stratified_split(rated, label_col="rating").select("id", "rating", "split")
+
+
 @query("l6_three_way_split", f"WITH {sql.DOCS}, {sql.three_way('docs', 'label')} SELECT id, label, split FROM split")
 def l6(spark, folder):
     return splits.three_way_split(_docs(spark, folder)).select("id", "label", "split")

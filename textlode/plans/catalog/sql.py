@@ -6,6 +6,7 @@ from textlode.functions.keys import SEED
 
 DOCS = "docs AS (SELECT doc_id AS id, text, lang AS label, source FROM documents)"
 VECS = "vecs AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label AS label_id FROM embeddings)"
+RATED = "rated AS (SELECT doc_id AS id, quality AS rating FROM documents LEFT JOIN labels USING (doc_id))"
 WORDS = r"list_filter(string_split_regex({text}, '\s+'), lambda w: w <> '')"
 TERMS = r"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 
@@ -48,7 +49,7 @@ rests AS (SELECT *, n - take_test AS rest FROM testq),
 placed_ AS (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY {key('strat')}, id) AS place_ FROM {source}),
 {out} AS MATERIALIZED (SELECT placed_.* EXCLUDE (place_),
   CASE WHEN place_ <= take_test THEN 'test' WHEN place_ <= take_test + take_val THEN 'val' ELSE 'train' END AS split
-  FROM placed_ JOIN valq ON placed_.{label} = valq.grp)"""
+  FROM placed_ JOIN valq ON placed_.{label} IS NOT DISTINCT FROM valq.grp)"""
 
 
 def holdout(source: str, label: str, out: str = "held", examples: int = 5) -> str:

@@ -14,10 +14,19 @@ from textlode.plans.catalog.registry import changed, documents, embeddings, quer
 DIM = 256
 
 
-@query("v1_text_embed")
+@query("v1_text_embed", f"WITH {sql.DOCS} SELECT id, {DIM} AS dims, true AS unit, true AS like_its_copies FROM docs")
 def v1(spark, folder):
+    """The encoder's hash is Spark's own, so SQL states what holds for any hash: length, unit norm, equal texts alike."""
     docs = documents(spark, folder).select("id", "text")
-    return embed.embed(docs, embed.fit_encoder(docs, dim=DIM)).select("id", "embedding")
+    vectors = embed.embed(docs, embed.fit_encoder(docs, dim=DIM)).select("id", F.md5("text").alias("digest"), "embedding")
+    vectors = stage(vectors, "embedded")
+    copies = vectors.groupBy("digest").agg(F.count_distinct(F.coalesce("embedding", F.array())).alias("versions"))
+    return vectors.join(copies, "digest").select(
+        "id",
+        F.when(F.col("embedding").isNull(), DIM).otherwise(F.size("embedding")).alias("dims"),
+        F.coalesce(F.abs(V.norm("embedding") - 1.0) < 1e-4, F.lit(True)).alias("unit"),
+        (F.col("versions") == 1).alias("like_its_copies"),
+    )
 
 
 @query(
@@ -34,10 +43,18 @@ def v2(spark, folder):
     )
 
 
-@query("v3_embed_query")
+@query(
+    "v3_embed_query",
+    f"WITH {sql.DOCS}, one AS (SELECT text FROM docs WHERE length(text) > 200 ORDER BY id LIMIT 1) SELECT id, 1.0::DOUBLE AS similarity FROM docs JOIN one USING (text)",
+)
 def v3(spark, folder):
+    """The query is the text of a document: it has similarity 1 with that document and its copies."""
     docs = documents(spark, folder).select("id", "text")
-    return embed.embed_query(docs, "on the other hand", embed.fit_encoder(docs, dim=DIM))
+    encoder = embed.fit_encoder(docs, dim=DIM)
+    text = docs.where(F.length("text") > 200).orderBy("id").select("text").first()["text"]
+    one = embed.embed_query(docs, text, encoder).select(F.col("embedding").alias("query"))
+    same = embed.embed(docs.where(F.col("text") == text), encoder).withColumn("query", F.lit(one.first()["query"]))
+    return same.select("id", F.round(V.cosine("embedding", "query"), 6).alias("similarity"))
 
 
 NEXT = "p AS (SELECT a.id AS id_a, b.id AS id_b, a.v AS va, b.v AS vb FROM vecs a JOIN vecs b ON b.id = a.id + 1)"
@@ -116,11 +133,20 @@ def v8(spark, folder):
     return rows.select("id", F.array_join("input_ids", " ").alias("input_ids"), mask.cast("bigint").alias("tokens"))
 
 
-@query("v9_projection_2d")
+@query(
+    "v9_projection_2d",
+    """SELECT unnest(['before', 'after']) AS stage, least(2000, count(*)) AS rows, true AS uncorrelated, true AS widest_first FROM embeddings""",
+)
 def v9(spark, folder):
+    """Facts of any principal axes: they are uncorrelated over the rows they were fitted on, the widest comes first."""
     vectors = embeddings(spark, folder)
     after = vectors.withColumn("embedding", changed())
-    return embed.project_2d({"before": vectors, "after": after}, label_col="label_id")
+    found = embed.project_2d({"before": vectors, "after": after}, label_col="label_id")
+    return found.groupBy("stage").agg(
+        F.count_distinct("id").alias("rows"),
+        (F.abs(F.covar_pop("x", "y")) < 1e-6).alias("uncorrelated"),
+        (F.var_pop("x") >= F.var_pop("y")).alias("widest_first"),
+    )
 
 
 @query("v10_tfidf", f"WITH {sql.DOCS}, {sql.tfidf()} SELECT id, term, round(weight, 6) AS weight FROM weights")
