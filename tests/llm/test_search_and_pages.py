@@ -116,6 +116,7 @@ PAGES = [
     ),
     ("<body><div class='cookie-notice'>we use cookies ok</div><div><p>the only words that count here</p></div></body>", "the only words that count here"),
     ("<form><p>search here</p></form>", ""),
+    ("<p don't>one isn't</p><p title='a > b'>two</p><p title=\"open>three</p>", "one isn't\ntwo\nthree"),
     ("just text, a < b and no tag", "just text, a < b and no tag"),
     ("<script>never closed", ""),
     ("<", "<"),

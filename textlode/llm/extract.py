@@ -38,11 +38,16 @@ SELF_CLOSING = frozenset({"p", "li", "dt", "dd", "tr", "td", "th", "option"})
 #: Most pages the weights are fitted on.
 LABELLED_PAGES = 1000
 LABELLED_CHARS = 50_000
-UNSEEN, UNSEEN_INLINE = -1.0, -0.1
+#: Elements that running text is made of.
+TEXT = INLINE | frozenset("blockquote br dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li ol p pre table tbody td th thead tr ul".split())
+UNSEEN, UNSEEN_TEXT = -1.0, -0.1
+#: Weight of a word in an element that never holds content: low enough that an advert inside an article does not cut it.
+AROUND_WORD = -0.25
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    # A quote only counts behind =, so that a stray one does not swallow text; nothing is tried twice.
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)",
     re.S,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -138,16 +143,16 @@ def fit(pages: list[str]) -> dict[str, float]:
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The blocks of the best region, one a line, white space made one space; empty if the page has no content words.
 
-    Tags without a weight, and those in elements that never hold content, weigh UNSEEN, or UNSEEN_INLINE within a line.
+    Tags without a weight, and those in elements that never hold content, weigh UNSEEN, or UNSEEN_TEXT if text is made of them.
     """
     row = tokens(page)
     score = np.zeros(len(row))
     for i, (kind, text, around, _) in enumerate(row):
         if kind == "#":
             words = len(text.split())
-            score[i] = -words if around else words
+            score[i] = AROUND_WORD * words if around else words
         else:
-            unseen = UNSEEN_INLINE if kind.strip("/!") in INLINE else UNSEEN
+            unseen = UNSEEN_TEXT if kind.strip("/!") in TEXT else UNSEEN
             score[i] = unseen if around else weights.get(kind, unseen)
     best, start, end, low, low_at, total = 0.0, 0, 0, 0.0, 0, 0.0
     for i, value in enumerate(score):
