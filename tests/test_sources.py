@@ -35,14 +35,33 @@ TEXTS = ['say "hi", you', "two\nlines", "back\\slash", "comma, here", "ünï", "
 
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(i, t, "l") for i, t in enumerate(TEXTS)], "id bigint, text string, label string")
+    df = df.unionByName(spark.createDataFrame([(100, None, "l"), (101, "\\N", "l"), (102, "\\n\n\\\n\r\\", "l")], df.schema))
     writers.write_csv(df, str(tmp_path / "x"))
-    back = readers.read_csv(spark, str(tmp_path / "x"), "id bigint, text string, label string")
+    back = readers.read_csv(spark, str(tmp_path / "x"), "id bigint, text string, label string", own=True)
     got = {r.id: r.text for r in back.collect()}
-    assert got == {i: t or None for i, t in enumerate(TEXTS)}
-    corpus = readers.read_csv_corpus(spark, str(tmp_path / "x"), "id bigint, text string, label string")
+    assert got == {r.id: r.text for r in df.collect()}
+    corpus = readers.read_csv_corpus(spark, str(tmp_path / "x"), "id bigint, text string, label string", own=True)
     assert corpus.where("text is null").count() == 0
 
 
+def test_one_large_csv_is_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("id,text\n" + "".join(f"{i},some text of row {i}\n" for i in range(60_000)))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "256k")
+    try:
+        df = readers.read_csv(spark, str(tmp_path / "big.csv"), "id bigint, text string")
+        assert df.select(F.spark_partition_id()).distinct().count() > 1
+        assert df.count() == 60_000 and df.where("text = 'some text of row ' || id").count() == 60_000
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_line_breaks_inside_fields_of_others(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('text,label\n"a\nb",x\n')
+    assert [r.text for r in readers.read_csv(spark, str(tmp_path / "x.csv"), multiline=True).collect()] == ["a\nb"]
+
+
 def test_csv_without_label_fails(spark, tmp_path):
     (tmp_path / "x.csv").write_text("text,other\na,b\n")
     with pytest.raises(ValueError, match="label"):

@@ -83,3 +83,16 @@ def strip_quotes(text: Column | str) -> Column:
     """Drop quoted lines and the lines that announce them."""
     lines = F.split(_col(text), "\n")
     return F.array_join(F.filter(lines, lambda l: ~l.rlike(QUOTE_LINE)), "\n")
+
+
+def escape_lines(col: str) -> Column:
+    """Line breaks as \\n and \\r, backslashes doubled."""
+    out = F.replace(F.col(col), F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def unescape_lines(col: str) -> Column:
+    """The text that `escape_lines` was given."""
+    parts = F.split(col, r"\\\\", -1)
+    breaks = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.when(F.col(col).isNotNull(), F.array_join(breaks, "\\"))

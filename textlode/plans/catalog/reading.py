@@ -69,7 +69,7 @@ def s4(spark, folder):
     )
     writers.write_csv(raw, path)
     return readers.read_csv_corpus(
-        spark, path, "id bigint, reviewText string, main_category string, overall bigint"
+        spark, path, "id bigint, reviewText string, main_category string, overall bigint", own=True
     )
 
 
@@ -135,7 +135,7 @@ SAMPLE = 300
 def s9(spark, folder):
     path = new_path(spark, "csv")
     writers.write_csv(sample_rows(documents(spark, folder), SAMPLE).select("id", "text", "label"), path)
-    return readers.read_csv(spark, path, "id bigint, text string, label string")
+    return readers.read_csv(spark, path, "id bigint, text string, label string", own=True)
 
 
 KS = [1, 3, 5, 7]

@@ -14,6 +14,8 @@ from textlode.operators.clean import drop_nulls, rename_columns, require_columns
 
 JSON_NAME = r"([^/]+)\.json(?:\.gz)?$"
 CORRUPT = "_corrupt_record"
+# How `write_csv` writes null. Escaped texts have no single backslash before N.
+CSV_NULL = "\\N"
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -86,19 +88,30 @@ def read_sources(
     return frames.where(~bad).drop(CORRUPT), status
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
-    """CSV with header, quoted fields and line breaks inside fields."""
-    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: str | None = None, multiline: bool = False, own: bool = False
+) -> DataFrame:
+    """CSV with header and quoted fields.
+
+    A file is split over tasks, one row a line. `multiline` reads line breaks inside fields, one task a file. `own` reads what `write_csv`
+    wrote: escaped line breaks, and null apart from empty.
+    """
+    reader = spark.read.option("header", "true").option("multiLine", str(multiline).lower()).option("escape", '"')
+    if own:
+        reader = reader.option("nullValue", CSV_NULL)
     if schema:
         reader = reader.schema(schema)
     else:
         reader = reader.option("inferSchema", "true")
-    return reader.csv(path)
+    df = reader.csv(path)
+    if own:
+        df = df.withColumns({f.name: T.unescape_lines(f.name) for f in df.schema.fields if f.dataType.simpleString() == "string"})
+    return df
 
 
-def read_csv_corpus(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
+def read_csv_corpus(spark: SparkSession, path: str | list[str], schema: str | None = None, **options) -> DataFrame:
     """A CSV of reviews with columns text and label (or their raw names), rows without either dropped."""
-    return drop_nulls(require_columns(rename_columns(read_csv(spark, path, schema))))
+    return drop_nulls(require_columns(rename_columns(read_csv(spark, path, schema, **options))))
 
 
 def read_label_lines(spark: SparkSession, paths: str | list[str], encoding: str = "ISO-8859-1") -> DataFrame:

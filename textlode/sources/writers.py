@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlode.functions.text import BLANK
+from textlode.functions.text import BLANK, escape_lines
+from textlode.sources.readers import CSV_NULL
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV that `read_csv` reads back, blanks and line breaks included. An empty text comes back as null."""
-    writer = df.write.mode("overwrite").option("header", "true").option("escape", '"').option("quoteAll", "true")
+    """CSV of one row a line that `read_csv(own=True)` reads back as it was: blanks, line breaks, empty texts and nulls."""
+    df = df.withColumns({f.name: escape_lines(f.name) for f in df.schema.fields if f.dataType.simpleString() == "string"})
+    writer = df.write.option("nullValue", CSV_NULL).option("emptyValue", "")
+    writer = writer.mode("overwrite").option("header", "true").option("escape", '"').option("quoteAll", "true")
     writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
