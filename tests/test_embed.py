@@ -133,3 +133,15 @@ def test_search_keeps_every_combination(vectors):
     got = classify.search_logistic(train, val, {"c": [0.1, 1.0], "max_iter": [5]}).collect()
     assert {(r.c, r.max_iter) for r in got} == {(0.1, 5), (1.0, 5)} and got[0].f1 >= got[1].f1
     assert {r.k for r in classify.search_k(train, val, [1, 5]).collect()} == {1, 5}
+
+
+def test_review_run_and_its_scorer_use_one_split(spark, corpus, tmp_path):
+    from textlode.plans.reviews import run_reviews, score_reviews
+
+    raw = corpus.withColumnsRenamed({"text": "reviewText", "label": "main_category"})
+    run = run_reviews(raw, str(tmp_path / "run"), per_source=80, sample=300, dim=32)
+    rows = run.split.collect()
+    assert len(rows) == 300 and sum(r.split == "test" for r in rows) == 60
+    again = score_reviews(spark, str(tmp_path / "run")).first()
+    assert again == run.scores.first() and 0 <= again.accuracy <= 1
+    assert run.summary.count() >= 1

@@ -13,6 +13,7 @@ from textlode.functions import vectors as V
 from textlode.operators import metrics as M
 from textlode.operators.clean import union_all
 from textlode.operators.knn import knn
+from textlode.operators.scale import stage
 
 
 def features(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
@@ -88,6 +89,8 @@ def search_logistic(
     train: DataFrame, validation: DataFrame, grid: dict[str, list], vec_col: str = "embedding"
 ) -> DataFrame:
     """One row per combination of the grid (c, max_iter) with its weighted f1 on the validation rows, best first."""
+    # Written once: every fit reads them several times.
+    train, validation = (stage(df.select(vec_col, "label_id"), "grid") for df in (train, validation))
     results = []
     for run, values in enumerate(product(*grid.values()), start=1):
         params = dict(zip(grid, values))

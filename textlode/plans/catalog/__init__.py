@@ -7,6 +7,7 @@ from textlode.plans.catalog import (  # noqa: F401
     profiles,
     quality,
     reading,
+    runs,
     sampling,
     texts,
     vectors,
