@@ -13,7 +13,8 @@ and of more parts than that, some must be equal.
    part stands among the first D + 1 non-empty parts of either set: only those are keys. Parts of many shingles come first, as
    few sets share them. A set with too few non-empty parts for that argument names its empty parts too.
 3. In each group of nodes with an equal key, every node is compared to the smallest one: first a dense parity sketch (Hamming
-   distance over the bound: no link), then the sets themselves. Links give components.
+   distance over the bound: no link), then the sets themselves. Links give components; a node's first pair is looked at before
+   the others, and of those only the ones between different components.
 4. Nodes of one group that are still in different components are compared with each other, by their dense sketches in blocks
    inside tasks; only pairs that pass are looked at again. Every pair with an equal key has then been compared or joined, so no link
    between components is lost.
@@ -21,6 +22,8 @@ and of more parts than that, some must be equal.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -238,25 +241,48 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n").reset_index(drop=True)
-        n, label, node = group["n"].to_numpy(), group["label"].to_numpy(), group["node"].to_numpy()
-        width = min(map(len, group["sketch"]))
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, width // 8), 0) for s in group["sketch"]])
-        out = []
-        for at in range(len(group)):
-            end = np.searchsorted(n, n[at] * den // num, "right")
-            other = np.arange(at + 1, end)
+    def compare(n, label, node, sketch):
+        """Pairs of one block pair, whose rows are sorted by n."""
+        width = min(map(len, sketch)) // 8
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), 0) for x in sketch])
+        ends = np.searchsorted(n, n * den // num, "right")
+        for at in range(len(n)):
+            other = np.arange(at + 1, ends[at])
             other = other[label[other] != label[at]]
-            near = np.bitwise_count(folded[other] ^ folded[at]).sum(1)
-            other = other[near <= (n[other] + n[at]) * (den - num) // (den + num)]
-            out.append(pd.DataFrame({"a": np.full(len(other), node[at]), "b": node[other]}))
-        return pd.concat(out).astype("int64")
+            if len(other):
+                near = np.bitwise_count(folded[other] ^ folded[at]).sum(1)
+                other = other[near <= (n[other] + n[at]) * (den - num) // (den + num)]
+                yield np.full(len(other), node[at]), node[other]
 
-    found = rows.select("key", "i", "j", "node", "label", "n", "sketch").groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    def run(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            # The last block pair of a batch may go on in the next one; block pairs hold about 2 * BLOCK rows at most.
+            held = batch if held is None else held if batch is None else pd.concat([held, batch], ignore_index=True)
+            if held is None or not len(held):
+                continue
+            name = held[["key", "i", "j"]].to_numpy()
+            cuts = np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1
+            spans = [0, *cuts.tolist()] + ([len(held)] if batch is None else [])
+            n, label, node, sketch = (held[c].to_numpy() for c in ("n", "label", "node", "sketch"))
+            found = [p for a, b in itertools.pairwise(spans) for p in compare(n[a:b], label[a:b], node[a:b], sketch[a:b])]
+            held = None if batch is None else held.iloc[spans[-1] :].reset_index(drop=True)
+            if found:
+                yield pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
+
+    rows = rows.select("key", "i", "j", "n", "label", "node", "sketch").repartition("key", "i", "j")
+    found = rows.sortWithinPartitions("key", "i", "j", "n").mapInPandas(run, "a bigint, b bigint")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are in different components so far."""
+    for side in "ab":
+        own = labels.select(F.col("node").alias(side), F.col("label").alias(f"l_{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"l_{side}", F.coalesce(f"l_{side}", side))
+    return pairs.where("l_a <> l_b").select("a", "b")
+
+
 def similar_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN
 ) -> DataFrame:
@@ -275,14 +301,20 @@ def similar_classes(
     group = Window.partitionBy("key")
     met = _keys(docs, words, num, den).withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
     members = staged(met.where("low <> high").select("key", "node", "low").distinct(), "groups")
-    pairs = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = staged(_passing(pairs, nodes, num, den), "pairs")
-    links = staged(_verified(pairs, nodes, docs, words, num, den), "found")
+    star = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+
+    def linked(pairs, name):
+        pairs = staged(_passing(pairs, nodes, num, den), name)
+        return _verified(pairs, nodes, docs, words, num, den) if not pairs.isEmpty() else pairs
+
+    # One pair per node first: that joins most of a large group of near copies. Then the other nodes' smallest ones.
+    links = staged(linked(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"), "found")
     labels = components(links)
-    more = staged(_rest(members.select("key", "node"), labels, nodes, num, den), "more")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, nodes, docs, words, num, den))
-        labels = components(links)
+    for candidates in (lambda: _apart(star.distinct(), labels), lambda: _rest(members.select("key", "node"), labels, nodes, num, den)):
+        more = staged(linked(candidates(), "more"), "found")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
     return _with_classes(rows, nodes, labels)
 
 
