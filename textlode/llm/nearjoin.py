@@ -15,9 +15,9 @@ and of more parts than that, some must be equal.
 3. In each group of nodes with an equal key, every node is compared to the smallest one: first a dense parity sketch (Hamming
    distance over the bound: no link), then the sets themselves. Links give components; a node's first pair is looked at before
    the others, and of those only the ones between different components.
-4. Nodes of one group that are still in different components are compared with each other, by their dense sketches in blocks
-   inside tasks; only pairs that pass are looked at again. Every pair with an equal key has then been compared or joined, so no link
-   between components is lost.
+4. Nodes of one group that are still in different components are compared with each other in blocks inside tasks, by their dense
+   sketches, and those that may be near another component by their sets. Every pair with an equal key has then been compared or
+   joined, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from textlode.llm.common import staged
 WORDS = 5
 NUM, DEN = 75, 100
 BAND = 4
-BLOCK = 1024
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -102,9 +101,9 @@ def keys_of(hashes: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def dense_sketch(hashes: np.ndarray) -> bytes:
-    """Parity sketch of 2 to 4 bits a shingle, a power of two and at least 64."""
-    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+def dense_sketch(hashes: np.ndarray, bits: int | None = None) -> bytes:
+    """Parity sketch of so many bits, a power of two and at least 64; by default of 2 to 4 bits a shingle."""
+    bits = bits or max(64, 1 << (2 * len(hashes) - 1).bit_length())
     flips = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
@@ -171,10 +170,9 @@ def _passing(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     return pairs.mapInPandas(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the similarity. Reads the texts of these nodes again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = wanted.join(nodes, "node").select("node", F.col("rep").alias("id"))
+def _hashes(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, hashes) of the nodes in `wanted` (node). Reads their texts again."""
+    wanted = wanted.distinct().join(nodes, "node").select("node", F.col("rep").alias("id"))
     texts = docs.join(wanted.hint("shuffle_hash"), "id")
 
     def sets(batches):
@@ -183,17 +181,25 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, n
             yield pd.DataFrame(rows, columns=["node", "hashes"])
 
     # Rows that share an id may have other texts: only those of the node are left, once.
-    found = staged(texts.select("node", "text").mapInPandas(sets, "node bigint, hashes binary").dropDuplicates(["node"]), "sets")
+    found = texts.select("node", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(sets, "node bigint, hashes binary")
+    return staged(found.dropDuplicates(["node"]), "sets")
+
+
+def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets reach the similarity."""
+    found = _hashes(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, words)
     for side in "ab":
         pairs = pairs.join(found.select(F.col("node").alias(side), F.col("hashes").alias(f"h_{side}")), side)
 
     def compare(batches):
         for p in batches:
-            good = []
-            for x, y in zip(p["h_a"], p["h_b"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(den * both >= num * (len(x) + len(y) - both))
+            sides = zip(p["h_a"], p["h_b"], strict=True)
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in sides]
             yield p[np.array(good, bool)][["a", "b"]]
 
     return pairs.mapInPandas(compare, "a bigint, b bigint")
@@ -225,54 +231,97 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of nodes in one group but in different components that their sketches cannot tell apart."""
-    rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # Many groups have the same nodes: one of them is enough.
+def _distinct_groups(rows: DataFrame) -> DataFrame:
+    """One of all groups (key, node, label) with the same nodes, if these are of several components."""
     groups = rows.groupBy("key").agg(
         F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(node))").alias("same")
     )
-    groups = groups.where("x <> y and size > 2").groupBy("size", "same").agg(F.min("key").alias("key")).select("key")
-    rows = staged(rows.join(groups, "key"), "rest")
-    # Blocks by hash; every pair of blocks meets once. The number of blocks follows from the group's size.
-    size = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(size, "key").join(nodes.select("node", "n", "sketch"), "node")
+    groups = groups.where("x <> y").groupBy("size", "same").agg(F.min("key").alias("key")).select("key")
+    return staged(rows.join(groups, "key"), "rest")
+
+
+def _in_blocks(rows: DataFrame, most_rows: int, most_shingles: int) -> DataFrame:
+    """Rows (key, node, n, ...) dealt to block pairs (key, i, j), in which every two rows of a key meet.
+
+    Blocks are cut by hash; how many there are follows from the group's rows and shingles.
+    """
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / most_rows), F.ceil(F.sum("n") / most_shingles)).cast("int")
+    rows = rows.join(rows.groupBy("key").agg(blocks.alias("blocks")), "key")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-
-    def compare(n, label, node, sketch):
-        """Pairs of one block pair, whose rows are sorted by n."""
-        width = min(map(len, sketch)) // 8
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), 0) for x in sketch])
-        ends = np.searchsorted(n, n * den // num, "right")
-        for at in range(len(n)):
-            other = np.arange(at + 1, ends[at])
-            other = other[label[other] != label[at]]
-            if len(other):
-                near = np.bitwise_count(folded[other] ^ folded[at]).sum(1)
-                other = other[near <= (n[other] + n[at]) * (den - num) // (den + num)]
-                yield np.full(len(other), node[at]), node[other]
-
-    def run(batches):
-        held = None
-        for batch in itertools.chain(batches, [None]):
-            # The last block pair of a batch may go on in the next one; block pairs hold about 2 * BLOCK rows at most.
-            held = batch if held is None else held if batch is None else pd.concat([held, batch], ignore_index=True)
-            if held is None or not len(held):
-                continue
-            name = held[["key", "i", "j"]].to_numpy()
-            cuts = np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1
-            spans = [0, *cuts.tolist()] + ([len(held)] if batch is None else [])
-            n, label, node, sketch = (held[c].to_numpy() for c in ("n", "label", "node", "sketch"))
-            found = [p for a, b in itertools.pairwise(spans) for p in compare(n[a:b], label[a:b], node[a:b], sketch[a:b])]
-            held = None if batch is None else held.iloc[spans[-1] :].reset_index(drop=True)
-            if found:
-                yield pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
-
-    rows = rows.select("key", "i", "j", "n", "label", "node", "sketch").repartition("key", "i", "j")
-    found = rows.sortWithinPartitions("key", "i", "j", "n").mapInPandas(run, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "block", "other")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node")
+
+
+def _block_pairs(batches):
+    """The frames of whole block pairs from batches in which they lie one after the other."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        held = batch if held is None else held if batch is None else pd.concat([held, batch], ignore_index=True)
+        if held is None or not len(held):
+            continue
+        name = held[["key", "i", "j"]].to_numpy()
+        cuts = np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1
+        spans = [0, *cuts.tolist()] + ([len(held)] if batch is None else [])
+        for a, b in itertools.pairwise(spans):
+            yield held.iloc[a:b]
+        held = None if batch is None else held.iloc[spans[-1] :].reset_index(drop=True)
+
+
+def _near(n: np.ndarray, sketches: list[bytes], num: int, den: int):
+    """(row, rows behind it that size and sketch leave possible) of rows sorted by n."""
+    width = min(map(len, sketches)) // 8
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), 0) for x in sketches])
+    ends = np.searchsorted(n, n * den // num, "right")
+    for at in range(len(n)):
+        other = np.arange(at + 1, ends[at])
+        if len(other):
+            distance = np.bitwise_count(folded[other] ^ folded[at]).sum(1)
+            yield at, other[distance <= (n[other] + n[at]) * (den - num) // (den + num)]
+
+
+def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the components which meet in a group.
+
+    First the dense sketches say which nodes of a group may be near a node of another component. Then the sets of these nodes are compared in
+    the same way; a task skips pairs that its own links have already joined, so it reports fewer links than it has nodes.
+    """
+    rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = _distinct_groups(rows).join(nodes.select("node", "n", "sketch"), "node")
+
+    def marked(batches):
+        for pair in _block_pairs(batches):
+            label, found = pair["label"].to_numpy(), np.zeros(len(pair), bool)
+            for at, other in _near(pair["n"].to_numpy(), pair["sketch"].tolist(), num, den):
+                other = other[label[other] != label[at]]
+                found[other] = True
+                found[at] |= len(other) > 0
+            if found.any():
+                yield pair[found][["key", "node", "label", "n"]]
+
+    rows = _in_blocks(rows.select("key", "node", "label", "n", "sketch"), 1024, 1 << 26)
+    rows = staged(rows.mapInPandas(marked, "key bigint, node bigint, label bigint, n bigint").distinct(), "marked")
+    rows = _distinct_groups(rows)
+    rows = rows.join(_hashes(rows.select("node"), nodes, docs, words), "node")
+
+    def linked(batches):
+        for pair in _block_pairs(batches):
+            n, node = pair["n"].to_numpy(), pair["node"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in pair["hashes"]]
+            bits = max(64, 1 << (16 * int(n[0]) - 1).bit_length())
+            sharp = [dense_sketch(h, bits) for h in sets]
+            group = pd.factorize(pair["label"])[0]
+            out = []
+            for at, other in _near(n, sharp, num, den):
+                for to in other:
+                    if group[to] != group[at] and similar(sets[at], sets[to], num, den):
+                        group[group == group[to]] = group[at]
+                        out.append((node[at], node[to]))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    rows = _in_blocks(rows.select("key", "node", "label", "n", "hashes"), 256, 1 << 22)
+    return rows.mapInPandas(linked, "a bigint, b bigint").distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -307,13 +356,17 @@ def similar_classes(
         pairs = staged(_passing(pairs, nodes, num, den), name)
         return _verified(pairs, nodes, docs, words, num, den) if not pairs.isEmpty() else pairs
 
-    # One pair per node first: that joins most of a large group of near copies. Then the other nodes' smallest ones.
-    links = staged(linked(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"), "found")
-    labels = components(links)
-    for candidates in (lambda: _apart(star.distinct(), labels), lambda: _rest(members.select("key", "node"), labels, nodes, num, den)):
-        more = staged(linked(candidates(), "more"), "found")
-        if not more.isEmpty():
-            links = links.unionByName(more)
+    # One pair per node first: that joins most of a large group of near copies. Then the other nodes' smallest ones. Then the rest.
+    rounds = (
+        lambda: linked(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"),
+        lambda: linked(_apart(star.distinct(), labels), "more"),
+        lambda: _rest(members.select("key", "node"), labels, nodes, docs, words, num, den),
+    )
+    links, labels = None, None
+    for find in rounds:
+        found = staged(find(), "found")
+        links = found if links is None else links.unionByName(found)
+        if labels is None or not found.isEmpty():
             labels = components(links)
     return _with_classes(rows, nodes, labels)
 
