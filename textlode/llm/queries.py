@@ -221,11 +221,11 @@ steps AS (
 drawn AS (
   SELECT doc_id, source, key, g, CAST('0x' || substr(md5('8:' || j || ':' || key), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u
   FROM (SELECT doc_id, source, key, g, unnest(generate_series(1, draws)) AS j FROM keyed JOIN draws USING (g))),
-counted AS (SELECT doc_id, source, key, count(*) AS copies FROM drawn JOIN steps ON drawn.g = steps.g AND step <= u GROUP BY ALL)
-SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, md5('8:place:' || key || ':' || copy) AS shuffle_key
-FROM (SELECT *, unnest(generate_series(1, copies)) AS copy FROM counted)""",
+counted AS (SELECT key, count(*) AS copies FROM drawn JOIN steps ON drawn.g = steps.g AND step <= u GROUP BY ALL)
+SELECT doc_id, source, text, CAST(copy AS INTEGER) AS copy, md5('8:place:' || key || ':' || copy) AS shuffle_key
+FROM (SELECT *, unnest(generate_series(1, copies)) AS copy FROM counted) JOIN keyed USING (key)""",
 )
 def mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document repeated to the target weights and dealt to a random place, with its texts."""
+    """Every document repeated to the target weights and dealt to a random place, with its text."""
     mixed = mixing.mix(table(spark, folder, "documents"), MIX)
-    return mixed.select("doc_id", "source", "copy", "shuffle_key")
+    return mixed.select("doc_id", "source", "text", "copy", "shuffle_key")
