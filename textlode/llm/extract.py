@@ -174,8 +174,12 @@ def main_text(page: str, weights: dict[str, float]) -> str:
 
 def weights_of(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:
     """Weights from a bounded sample of pages: the LABELLED_PAGES first by a hash of the id, of those up to LABELLED_CHARS long."""
-    some = pages.where(F.length(html_col) <= LABELLED_CHARS).orderBy(F.xxhash64(F.col(id_col), F.lit(9)), id_col).limit(LABELLED_PAGES)
-    return fit(some.select(html_col).toPandas()[html_col].tolist())
+    order = F.xxhash64(F.col(id_col), F.lit(9))
+    short = pages.where(F.length(html_col) <= LABELLED_CHARS)
+    # The hashes alone find the last one wanted, so that no more pages than wanted are sent.
+    last = short.select(order.alias("o")).orderBy("o").limit(LABELLED_PAGES).agg(F.max("o")).first()[0]
+    some = short.where(order <= F.lit(last).cast("bigint")).select(html_col).limit(LABELLED_PAGES)
+    return fit(some.toPandas()[html_col].tolist())
 
 
 def extract(pages: DataFrame, weights: dict[str, float], html_col: str = "html", out: str = "text") -> DataFrame:
