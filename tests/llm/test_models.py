@@ -136,3 +136,32 @@ def test_language_edge_rows(spark):
     empty = language.train(docs.where("false"))
     assert {r["lang_pred"] for r in language.predict(docs, empty).collect()} == {"und"}
     assert language.predict(docs.where("false"), model).count() == 0
+
+
+def test_no_ngram_is_cut_from_a_model_of_many_shards(spark, monkeypatch):
+    """However small the shards: all counts stay, a language of few rows among them, and results are those of the whole model."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)), "big") for i in range(60)] + [(100, "żółw gęś jaźń", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    whole = language.train(docs)
+    monkeypatch.setattr(language, "SHARD_CELLS", 400)
+    monkeypatch.setattr(language, "MODEL_ENTRIES", 200, raising=False)
+    cut = language.train(docs)
+    assert len(getattr(whole, "shards", [0])) == 1 and len(getattr(cut, "shards", [])) > 5
+    counts = language.count_grams(docs).toPandas()
+    table = language.letters()
+    one = language.fit(counts)
+    assert one.langs == cut.langs == ["big", "rare"]
+    for text in (rows[0][1], rows[-1][1], "zupa aeio 12 gęsi"):
+        keys = np.concatenate(list(language.grams(text, table)))
+        want = -language.log_probs(one, keys).sum(0, dtype=float)
+        total, n = np.zeros((1, 2)), np.zeros(1, int)
+        for first, behind, shard in language.opened(cut.shards):
+            language.add_nats(total, n, [text], first, behind, shard, table)
+        assert n[0] == len(keys) and np.allclose(total[0], want, rtol=1e-4)
+    held = sum(len(shard.grams[-1][0]) for _, _, shard in language.opened(cut.shards))
+    assert held == counts["gram"].nunique()
+    a, b = ({r["doc_id"]: r for r in language.predict(docs, m).collect()} for m in (whole, cut))
+    assert a[100]["lang_pred"] == b[100]["lang_pred"] == "rare"
+    assert all(a[i]["lang_pred"] == b[i]["lang_pred"] and abs(a[i]["score"] - b[i]["score"]) < 1e-3 for i in a)
