@@ -8,6 +8,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from textlode.llm import language, toxicity
 
@@ -165,3 +166,24 @@ def test_no_ngram_is_cut_from_a_model_of_many_shards(spark, monkeypatch):
     a, b = ({r["doc_id"]: r for r in language.predict(docs, m).collect()} for m in (whole, cut))
     assert a[100]["lang_pred"] == b[100]["lang_pred"] == "rare"
     assert all(a[i]["lang_pred"] == b[i]["lang_pred"] and abs(a[i]["score"] - b[i]["score"]) < 1e-3 for i in a)
+
+
+def test_sample_skips_long_texts_and_finds_labels_of_given_documents(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame([(i, "x" * (500 if i % 5 == 0 else 10)) for i in range(100)], "doc_id bigint, text string")
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1000)
+    texts, y = toxicity.sample(docs, labels)
+    # All 80 short texts, although long ones come between them in the order; what is left holds no other.
+    assert len(texts) >= 80 and sum(map(len, texts)) <= 1000 and set(map(len, texts)) == {10} and 0 < y.sum() < len(y)
+    first = docs.withColumn("text", F.when(F.xxhash64("doc_id", F.lit(1)) == docs.agg(F.min(F.xxhash64("doc_id", F.lit(1)))).first()[0], "y" * 2000).otherwise("z"))
+    assert len(toxicity.sample(first, labels)[0]) == 99
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 5)
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 10)
+    few = docs.where("doc_id >= 90 AND doc_id % 5 > 0")
+    assert len(toxicity.sample(few, labels)[0]) == 8
+
+
+def test_no_document_goes_without_a_model(spark):
+    docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id bigint, text string")
+    model = toxicity.train(*toxicity.sample(docs, spark.createDataFrame([], "doc_id bigint, toxic int")))
+    assert toxicity.without_toxic(docs, model).count() == 2

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlode.llm.common import staged
+
 BUCKETS = 1 << 18
 SHORTEST, LONGEST = 3, 6
 SLICE = 1 << 20
@@ -61,6 +63,7 @@ def bags(text: str, table: np.ndarray):
 class Model:
     weight: np.ndarray  # by bucket, toxic less clean
     bias: float
+    fitted: bool = True  # False if there was no row to learn from
 
 
 def train(
@@ -68,11 +71,11 @@ def train(
 ) -> Model:
     """Fit embeddings and softmax together by mini-batches with per-parameter step sizes (Adagrad).
 
-    Without both classes the model is a constant: the smoothed share of toxic rows.
+    Without both classes the model is a constant: the smoothed share of toxic rows; without any row it holds nothing to be toxic.
     """
     n, toxic = len(labels), int(labels.sum())
     if not 0 < toxic < n:
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log((toxic + 0.5) / (n - toxic + 0.5))))
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log((toxic + 0.5) / (n - toxic + 0.5))), n > 0)
     table = letter_table()
 
     def bag(text):
@@ -131,27 +134,29 @@ def train(
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """(texts, labels) of a bounded sample of the labelled rows, the same in every run: whole texts in order of a hash of the id.
 
-    At most TOXIC_ROWS and CLEAN_ROWS rows, and SAMPLE_CHARS characters in all. Rows without id or label are left out; a document
-    with both labels counts as toxic.
+    At most TOXIC_ROWS and CLEAN_ROWS rows of those that `docs` holds. If they have more than SAMPLE_CHARS characters, the longest texts of
+    a class are left out, as few as possible; each class has its share of the characters by its rows, and what the other one leaves.
+    Rows without id or label are left out; a document with both labels counts as toxic.
     """
     given = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    given = given.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    order = F.xxhash64(F.col(id_col), F.lit(1))
-    # Twice the rows, as labels may name documents that are not there.
-    toxic = given.where("y = 1").orderBy(order).limit(2 * TOXIC_ROWS)
-    clean = given.where("y = 0").orderBy(order).limit(2 * CLEAN_ROWS)
-    some = toxic.unionByName(clean).select(F.col(id_col).alias("_id"), "y")
-    # At most 2 * (TOXIC_ROWS + CLEAN_ROWS) rows of two numbers.
-    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "_id")
-    sizes = found.select("_id", "y", F.length("text").alias("n"), F.xxhash64("_id", F.lit(1)).alias("o"))
-    most = 2 * (TOXIC_ROWS + CLEAN_ROWS)
-    sizes = sizes.orderBy("o", "n").limit(most).toPandas().drop_duplicates("_id")
-    room = {1: TOXIC_ROWS, 0: CLEAN_ROWS}
-    sizes["chars"] = sizes["n"].cumsum()
-    sizes = sizes[(sizes.groupby("y").cumcount() < sizes["y"].map(room)) & (sizes["chars"] <= SAMPLE_CHARS)]
+    given = given.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Lengths only: texts are not shuffled.
+    lengths = found.select("_id", F.length("text").alias("n")).where(F.col("n") <= SAMPLE_CHARS)
+    lengths = lengths.join(given, "_id").groupBy("_id").agg(F.max("y").alias("y"), F.min("n").alias("n"))
+    lengths = staged(lengths.withColumn("o", F.xxhash64("_id", F.lit(1))), "labelled")
+    toxic, clean = (
+        lengths.where(F.col("y") == y).orderBy("o", "_id").limit(rows).toPandas().sort_values(["n", "o"]) for y, rows in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))
+    )
+    share = SAMPLE_CHARS * TOXIC_ROWS // (TOXIC_ROWS + CLEAN_ROWS)
+    short = clean["n"][clean["n"].cumsum() <= SAMPLE_CHARS - share]
+    toxic = toxic[toxic["n"].cumsum() <= SAMPLE_CHARS - int(short.sum())]
+    clean = clean[clean["n"].cumsum() <= SAMPLE_CHARS - int(toxic["n"].sum())]
+    sizes = pd.concat([toxic, clean])
     if sizes.empty:
         return [], np.empty(0, int)
-    ids = docs.sparkSession.createDataFrame(sizes[["_id", "n"]], "_id bigint, n int")
+    # At most TOXIC_ROWS + CLEAN_ROWS rows of three numbers.
+    ids = docs.sparkSession.createDataFrame(sizes[["_id", "y", "n"]], "_id bigint, y int, n int")
     # The length tells rows of one id apart; of equal ones one is enough.
     rows = found.join(F.broadcast(ids.withColumnRenamed("n", "_n")), "_id").where(F.length("text") == F.col("_n"))
     rows = rows.select("_id", "y", "text").toPandas().drop_duplicates("_id").sort_values("_id")
@@ -159,12 +164,12 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """All columns of `docs` and the probability, 0 to 1, that the text is toxic. A null text counts as empty.
+    """All columns of `docs` and the probability, 0 to 1, that the text is toxic: 0 for a model without rows. A null text counts as empty.
 
     A column of the score's name is replaced. The model, one number per bucket, is broadcast.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.weight, model.bias))
+    shared = spark.sparkContext.broadcast((model.weight, model.bias if model.fitted else -np.inf))
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:
@@ -176,7 +181,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             for ids in bags(text or "", table):
                 total += float(weight[ids].sum(dtype=np.float64))
                 n += len(ids)
-            scores[i] = 1.0 / (1.0 + np.exp(-np.clip(bias + total / max(1, n), -40, 40)))
+            scores[i] = 1.0 / (1.0 + np.exp(-np.clip(bias + total / max(1, n), -40, 40))) if np.isfinite(bias) else 0.0
         return pd.Series(scores)
 
     return docs.withColumn(out, judge(F.col(text_col)))
