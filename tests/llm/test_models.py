@@ -187,3 +187,20 @@ def test_no_document_goes_without_a_model(spark):
     docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id bigint, text string")
     model = toxicity.train(*toxicity.sample(docs, spark.createDataFrame([], "doc_id bigint, toxic int")))
     assert toxicity.without_toxic(docs, model).count() == 2
+
+
+def test_toxic_words_of_a_smaller_language_get_weight(spark):
+    """Of 1,500 texts 36 are in the smaller language, 12 of them toxic: fewer than one in a hundred."""
+    texts, y = toxic_texts(1464)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("абвгдежзик") for _ in range(rng.randrange(3, 8))) for _ in range(60)]
+
+    def small(bad):
+        return " ".join([*(rng.choice(words) for _ in range(20)), *["мерзопуфыщ"] * bad])
+
+    texts += [small(i % 3 == 0) for i in range(36)]
+    model = toxicity.train(texts, np.r_[y, [int(i % 3 == 0) for i in range(36)]])
+    docs = spark.createDataFrame([(i, small(i % 2)) for i in range(40)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert sum(found[i] >= 0.5 for i in range(1, 40, 2)) >= 15
+    assert sum(found[i] < 0.5 for i in range(0, 40, 2)) >= 18

@@ -22,8 +22,8 @@ SHORTEST, LONGEST = 3, 6
 SLICE = 1 << 20
 #: Bounds of the sample that the fit sees: rows of either class, and characters in all.
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 2500, 5000, 16_000_000
-#: N-grams in a smaller share of the sample's texts get no weight.
-LEAST_SHARE = 0.01
+#: N-grams (buckets) in fewer texts of the sample get no weight; not a share, which would leave out those of smaller languages.
+LEAST_TEXTS = 3
 DECAY = 3e-6
 
 
@@ -67,10 +67,12 @@ class Model:
 
 
 def train(
-    texts: list[str], labels: np.ndarray, dim: int = 4, epochs: int = 16, rate: float = 2.0, batch: int = 32, seed: int = 7
+    texts: list[str], labels: np.ndarray, dim: int = 4, epochs: int = 16, rate: float = 2.0, batch: int = 32, seed: int = 7,
+    least_texts: int = LEAST_TEXTS,
 ) -> Model:
     """Fit embeddings and softmax together by mini-batches with per-parameter step sizes (Adagrad).
 
+    N-grams found in fewer than `least_texts` of the texts get no weight; the steps of rare ones above that are small.
     Without both classes the model is a constant: the smoothed share of toxic rows; without any row it holds nothing to be toxic.
     """
     n, toxic = len(labels), int(labels.sum())
@@ -85,7 +87,7 @@ def train(
     texts_with = np.zeros(BUCKETS, np.int64)
     for text in texts:
         texts_with[bag(text)[0]] += 1
-    common = texts_with >= max(2, LEAST_SHARE * n)
+    common = texts_with >= least_texts
     docs = []
     for text in texts:
         ids, count = bag(text)
