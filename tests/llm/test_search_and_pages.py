@@ -176,3 +176,11 @@ def test_query_extracts_articles(spark):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r["page_id"]], re.S).group(1)
         assert r["text"].split() == html.unescape(re.sub(r"<[^>]*>", " ", inner)).split()
         assert r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("block", ["<aside>%s</aside>", '<div class="comments">%s</div>', "<nav><ul>%s</ul></nav>"])
+def test_long_block_inside_an_article_does_not_cut_it(block):
+    weights = extract.fit(TRAIN)
+    inner = block % ("<div>see this</div>" * 60)
+    text = page("<p>" + "word " * 400 + "</p>" + inner + "<p>" + "last " * 5 + "</p>")
+    assert extract.main_text(text, weights).split() == ["word"] * 400 + ["last"] * 5

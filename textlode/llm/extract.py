@@ -2,9 +2,9 @@
 
 A page is a sequence of tokens: words, and tags by name. Words score positive and tags negative; the contiguous region of the highest
 sum is the content. Weights come from labelled pages, whose content region is known: a tag costs more the rarer it is inside content
-regions, so that crossing what only stands around content costs more than a boilerplate block can bring. Words inside elements that never
-hold content (navigation, forms, scripts, and elements whose class or id says advert, comments and the like) score negative
-themselves and are left out of the text even when the region runs across them.
+regions, so that crossing what only stands around content costs more than a boilerplate block can bring. Elements that never
+hold content (navigation, forms, scripts, and elements whose class or id says advert, comments and the like) score nothing, with
+their words and tags, and are left out of the text even when the region runs across them.
 """
 
 from __future__ import annotations
@@ -41,8 +41,6 @@ LABELLED_CHARS = 50_000
 #: Elements that running text is made of.
 TEXT = INLINE | frozenset("blockquote br dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li ol p pre table tbody td th thead tr ul".split())
 UNSEEN, UNSEEN_TEXT = -1.0, -0.1
-#: Weight of a word in an element that never holds content: low enough that an advert inside an article does not cut it.
-AROUND_WORD = -0.25
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -91,9 +89,11 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         around, content = state()
         if found["close"]:
             if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
+                while (ended := stack.pop())[0] != name:
                     pass
-            out.append(("/" + name, "", *state()))
+                # The end tag of an element belongs to it.
+                around = ended[1]
+            out.append(("/" + name, "", around, state()[1]))
             continue
         if name in SELF_CLOSING and stack and stack[-1][0] == name:
             stack.pop()
@@ -143,17 +143,18 @@ def fit(pages: list[str]) -> dict[str, float]:
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The blocks of the best region, one a line, white space made one space; empty if the page has no content words.
 
-    Tags without a weight, and those in elements that never hold content, weigh UNSEEN, or UNSEEN_TEXT if text is made of them.
+    Tags without a weight weigh UNSEEN, or UNSEEN_TEXT if text is made of them. What stands in elements that never hold content
+    weighs 0: it is left out in any case, and an article goes on behind it however long it is.
     """
     row = tokens(page)
     score = np.zeros(len(row))
     for i, (kind, text, around, _) in enumerate(row):
+        if around:
+            continue
         if kind == "#":
-            words = len(text.split())
-            score[i] = AROUND_WORD * words if around else words
+            score[i] = len(text.split())
         else:
-            unseen = UNSEEN_TEXT if kind.strip("/!") in TEXT else UNSEEN
-            score[i] = unseen if around else weights.get(kind, unseen)
+            score[i] = weights.get(kind, UNSEEN_TEXT if kind.strip("/!") in TEXT else UNSEEN)
     best, start, end, low, low_at, total = 0.0, 0, 0, 0.0, 0, 0.0
     for i, value in enumerate(score):
         total += value
