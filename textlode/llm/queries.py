@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.llm import chat, extract, language, mixing, nearjoin, packing, quality, topk, toxicity, urls
-from textlode.llm.common import held_out, table
+from textlode.llm import chat, extract, language, merkle, mixing, nearjoin, packing, piece_bpe, quality, topk, toxicity, trie, urls
+from textlode.llm.common import held_out, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,10 +24,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
+
+
+def crc32_sql(value: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text: eight shifts for each of its bytes."""
+    bits = f"flatten(list_transform(string_split({value}, ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), {step}), 4294967295)"
 
 
 @query("op1_best_fit_packing")
@@ -229,3 +236,129 @@ def mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Every document repeated to the target weights and dealt to a random place, with its text."""
     mixed = mixing.mix(table(spark, folder, "documents"), MIX)
     return mixed.select("doc_id", "source", "text", "copy", "shuffle_key")
+
+
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf_sql(changed: str) -> str:
+    values = [f"CAST({changed if c == 'n_chars' else c} AS VARCHAR)" for c in FIELDS]
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + "))"
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+    CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} ELSE {_leaf_sql("n_chars")} END AS now
+  FROM documents),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+tree AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2),
+tops AS MATERIALIZED (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (
+  SELECT 0 AS level, pos, n, subroot AS node FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM crown WHERE n > 1 GROUP BY level, pos // 2),
+climb AS (
+  SELECT row, lang, 0 AS level, pos, n, now AS node, '' AS proof FROM placed
+  UNION ALL
+  SELECT row, u.lang, u.level + 1, u.pos // 2, (u.n + 1) // 2,
+    sha256(CASE WHEN s.node IS NULL THEN u.node WHEN u.pos % 2 = 1 THEN s.node || u.node ELSE u.node || s.node END), proof || coalesce(s.node, '')
+  FROM climb u LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM u.lang AND s.level = u.level AND s.pos = xor(u.pos, 1) WHERE u.n > 1),
+climbed AS (
+  SELECT row, 0 AS level, t.pos, t.n, node, proof FROM climb c JOIN tops t ON t.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT row, u.level + 1, u.pos // 2, (u.n + 1) // 2,
+    sha256(CASE WHEN s.node IS NULL THEN u.node WHEN u.pos % 2 = 1 THEN s.node || u.node ELSE u.node || s.node END), proof || coalesce(s.node, '')
+  FROM climbed u LEFT JOIN crown s ON s.level = u.level AND s.pos = xor(u.pos, 1) WHERE u.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, c.node AS folded_root, c.node = root AS verified
+FROM placed p JOIN climbed c ON c.row = p.row AND c.n = 1 JOIN tops t ON t.lang IS NOT DISTINCT FROM p.lang
+CROSS JOIN (SELECT node AS root FROM crown WHERE n = 1)""",
+)
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, subroot, root and witness digest of every document, and the root that its possibly tampered row folds to."""
+    docs = table(spark, folder, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in FIELDS]
+    rows = docs.select("doc_id", "lang", merkle.leaf_of(*map(F.col, FIELDS)).alias("leaf"), F.when(changed, merkle.leaf_of(*tampered)).alias("now"))
+    proved = merkle.prove(rows, "lang", "doc_id")
+    out = proved.select(
+        "doc_id", "leaf", "subroot", "root",
+        F.sha2(merkle.siblings(F.col("witness")), 256).alias("proof_sha256"),
+        merkle.fold(F.coalesce("now", "leaf"), F.col("witness")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_sentencepiece")
+def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and digest of every document's ids, and digest of the text they decode to."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = piece_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), model).drop("text")
+    return piece_bpe.decode(encoded, model).select("doc_id", *piece_bpe.digests())
+
+
+#: Conversations are rebuilt from one in so many, up to so many turns of it.
+FAMILY, SHARED_TURNS = 5, 9
+
+
+def rebuilt(turns: DataFrame, convs: DataFrame) -> DataFrame:
+    """Turns (conv_id, place, digest, bytes) with the first h of each conversation c replaced by those of c - c % FAMILY."""
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % SHARED_TURNS
+    base = F.col("conv_id") - F.col("conv_id") % FAMILY
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("there"))
+    convs = convs.select("conv_id", h.alias("h"), base.alias("base")).join(sizes.withColumnRenamed("conv_id", "base"), "base", "left")
+    convs = convs.withColumn("taken", F.least("h", F.coalesce("there", F.lit(0))))
+    own = turns.join(convs.select("conv_id", "h", "taken"), "conv_id").where("place > h")
+    own = own.select("conv_id", (F.col("place") - F.col("h") + F.col("taken")).alias("place"), "digest", "bytes")
+    heads = turns.where(F.col("place") < SHARED_TURNS).withColumnRenamed("conv_id", "base")
+    lent = heads.join(convs.select("base", "conv_id", "h"), "base").where("place <= h").select("conv_id", "place", "digest", "bytes")
+    return own.unionByName(lent)
+
+
+@query(
+    "op13_conversation_trie",
+    f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+convs AS (
+  SELECT c.conv_id, {crc32_sql("CAST(c.conv_id AS VARCHAR)")} % {SHARED_TURNS} AS h, c.conv_id - c.conv_id % {FAMILY} AS base, coalesce(b.n, 0) AS there
+  FROM sizes c LEFT JOIN sizes b ON b.conv_id = c.conv_id - c.conv_id % {FAMILY}),
+rebuilt AS (
+  SELECT c.conv_id, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND place <= h
+  UNION ALL
+  SELECT c.conv_id, place - h + least(h, there), role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place > h),
+members AS MATERIALIZED (
+  SELECT conv_id, 0 AS depth, '' AS path, NULL AS above, 0 AS bytes FROM convs
+  UNION ALL
+  SELECT conv_id, depth, md5(string_agg(turn, '' ORDER BY depth) OVER w), coalesce(md5(string_agg(turn, '' ORDER BY depth) OVER b), ''), bytes
+  FROM (SELECT conv_id, place AS depth, length(role) || ':' || length(text) || ':' || role || text AS turn, strlen(text) AS bytes FROM rebuilt)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+nodes AS MATERIALIZED (
+  SELECT path, depth, any_value(above) AS above, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs FROM members GROUP BY path, depth),
+children AS (SELECT above AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+totals AS (
+  SELECT m.path, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.bytes) AS saved
+  FROM nodes v LEFT JOIN children c ON c.path = v.path JOIN members m ON m.conv_id = v.conv_id AND m.depth <= v.depth GROUP BY m.path),
+ends AS (
+  SELECT m.path, string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) AS ids
+  FROM members m JOIN (SELECT conv_id, max(depth) AS depth FROM members GROUP BY conv_id) l USING (conv_id, depth) GROUP BY m.path)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes v JOIN totals t ON t.path = v.path LEFT JOIN nodes p ON p.path = v.above LEFT JOIN children c ON c.path = v.path LEFT JOIN ends e ON e.path = v.path""",
+)
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations, with totals over what follows it."""
+    turns = staged(trie.turns_of(table(spark, folder, "conversations")), "turns")
+    convs = turns.select("conv_id").distinct()
+    return trie.prefix_trie(rebuilt(turns, convs), convs)
