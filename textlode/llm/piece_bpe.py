@@ -29,9 +29,9 @@ WHOLE = "(?s).+"
 #: Types of pieces in model files.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words in each table that a worker keeps, and pairs of pieces; longer words are not kept.
-KEPT_WORDS, KEPT_PAIRS, KEPT_CHARS = 300_000, 500_000, 48
+KEPT_WORDS, KEPT_PAIRS, KEPT_CHARS = 200_000, 400_000, 48
 #: Characters encoded or decoded between two output batches.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
 
 
 def _fields(data: bytes):
@@ -60,13 +60,16 @@ def _fields(data: bytes):
 
 def merged(text: str, rank: dict[str, int]) -> list[str]:
     """The symbols that are left when adjacent pairs of `text` have been merged, best rank first, leftmost of equals."""
-    parts = list(text)
-    while len(parts) > 1:
-        found = [(r, i) for i in range(len(parts) - 1) if (r := rank.get(parts[i] + parts[i + 1])) is not None]
-        if not found:
-            break
-        i = min(found)[1]
+    parts, never = list(text), len(rank)
+    ranks = [rank.get(a + b, never) for a, b in itertools.pairwise(parts)]
+    while ranks and (best := min(ranks)) < never:
+        i = ranks.index(best)
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del ranks[i]
+        if i:
+            ranks[i - 1] = rank.get(parts[i - 1] + parts[i], never)
+        if i < len(ranks):
+            ranks[i] = rank.get(parts[i] + parts[i + 1], never)
     return parts
 
 
@@ -164,60 +167,65 @@ class Encoder:
             # A character that only longer pieces hold.
             self.ids[c] = self.unknown(c)
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, len(p))
+        nodes: dict[str, tuple] = {}
+        for p in sorted(self.ids, key=len):
+            begin = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in nodes), None)
+            nodes[p] = (len(p), self.ids[p], nodes.get(begin))
+            self.automaton.add_word(p, nodes[p])
         self.automaton.make_automaton()
         self.pairs: dict[bytes, bool] = {}
         self.cut, self.apart = re.compile(model["cut"]).findall, model["cut"] != WHOLE
         self.words = Kept(self.word)
-        self.parts = Kept(lambda part: b"".join(map(self.words.__getitem__, self.cut(SPACE + part))))
+        self.parts = Kept(self.part)
 
     def unknown(self, text: str) -> bytes:
         return b"".join(self.byte_ids[b] for b in text.encode("utf-8", "replace"))
 
-    def fits(self, left: str, right: str) -> bool:
+    def fits(self, key: bytes, left: str, right: str) -> bool:
         """Whether the two pieces stay as they are when their text is merged anew."""
         if len(self.pairs) >= KEPT_PAIRS:
             self.pairs.clear()
-        good = self.pairs[self.ids[left] + self.ids[right]] = merged(left + right, self.rank) == [left, right]
+        good = self.pairs[key] = merged(left + right, self.rank) == [left, right]
         return good
 
     def search(self, text: str) -> list[bytes]:
         """The ids of a text whose characters are all in some piece."""
-        n, ids, pairs = len(text), self.ids, self.pairs
-        # Of the pieces that begin at one place the scan gives the longest last.
-        longest = [0] * (n + 1)
-        for end, size in self.automaton.iter(text):
-            longest[end - size + 1] = size
+        n, pairs, scan = len(text), self.pairs, self.automaton.iter_long
         failed, any_failed = bytearray(n // 8 + 1), False
-        out: list[bytes] = []
-        sizes: list[int] = []
-        at, size, last = 0, longest[0], b""
-        while at < n:
-            while size:
+        # Pieces that stand so far, each as (size, ids, the next shorter piece that begins it).
+        out: list[tuple] = []
+        at, last = 0, None
+        # The scan gives the longest piece behind the one that it gave before; anywhere else it starts anew.
+        matches = scan(text)
+        ahead, node = next(matches)
+        while True:
+            while node:
+                size, piece, shorter = node
                 end = at + size
-                piece = ids.get(text[at:end])
-                if piece is not None and not (any_failed and failed[end >> 3] >> (end & 7) & 1):
-                    if not out:
+                if not (any_failed and failed[end >> 3] >> (end & 7) & 1):
+                    if last is None:
                         break
                     good = pairs.get(last + piece)
                     if good is None:
-                        good = self.fits(text[at - sizes[-1] : at], text[at:end])
+                        good = self.fits(last + piece, text[at - out[-1][0] : at], text[at:end])
                     if good:
                         break
-                size -= 1
-            if size:
-                out.append(piece)
-                sizes.append(size)
-                at, size, last = end, longest[end], piece
+                node = shorter
+            if node:
+                out.append(node)
+                at, last = end, piece
+                if at == n:
+                    return [x[1] for x in out]
+                if at != ahead + 1:
+                    matches = scan(text, at)
+                ahead, node = next(matches)
             else:
                 any_failed = True
                 failed[at >> 3] |= 1 << (at & 7)
-                out.pop()
-                size = sizes.pop()
-                at -= size
-                last = out[-1] if out else b""
-        return out
+                node = out.pop()
+                at -= node[0]
+                last = out[-1][1] if out else None
+                node = node[2]
 
     def word(self, text: str) -> bytes:
         if self.alphabet.issuperset(text):
@@ -228,6 +236,12 @@ class Encoder:
             out += self.search(part) if known else [self.unknown(part)]
         return b"".join(out)
 
+    def part(self, text: str) -> bytes:
+        """The ids of a text with a space mark in front."""
+        if text.isalpha():
+            return self.word(SPACE + text)
+        return b"".join(map(self.words.__getitem__, self.cut(SPACE + text)))
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
@@ -337,7 +351,9 @@ def decode(docs: DataFrame, model: str, ids_col: str = "ids", out: str = "decode
     def made(ids):
         decoder = shared.value.setdefault("decoder", None) or Decoder(shared.value)
         shared.value["decoder"] = decoder
-        return pa.array([decoder(x) if x else "" for x in ids.to_pylist()], pa.string())
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+        return pa.array([decoder(flat[a:b].tolist()) for a, b in itertools.pairwise([0, *ends.tolist()])], pa.string())
 
     def size(ids):
         return 4 * pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
