@@ -38,8 +38,16 @@ SELF_CLOSING = frozenset({"p", "li", "dt", "dd", "tr", "td", "th", "option"})
 #: Most pages the weights are fitted on.
 LABELLED_PAGES = 1000
 LABELLED_CHARS = 50_000
+#: Elements that hold a page or its article: a class word does not make these stand around it.
+WHOLE = frozenset({"html", "body", "main"})
+#: Class words that begin like this speak of the page, as `has-sidebar` does.
+PAGE_WORDS = ("has-", "with-", "no-", "without-")
+#: Elements that an article may stand in, as writers leave them open or wrap whole pages in them.
+OPEN_AROUND = frozenset({"nav", "header", "form"})
 #: Elements that running text is made of.
 TEXT = INLINE | frozenset("blockquote br dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li ol p pre table tbody td th thead tr ul".split())
+#: Elements that group text, of which pages have any number.
+GROUPS = frozenset({"section", "article", "main", "div"})
 UNSEEN, UNSEEN_TEXT = -1.0, -0.1
 
 TOKEN = re.compile(
@@ -51,20 +59,29 @@ TOKEN = re.compile(
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-def _is_around(name: str, rest: str) -> bool:
+def _is_around(name: str, rest: str, first: bool) -> bool:
+    """Whether an element never holds content, by its name or by the words of its class, id or role.
+
+    Of an element of running text a whole word has to say so, of others a part of one (`ad-slot`). `first`: no article has begun yet.
+    """
     if name in AROUND:
         return True
-    said = " ".join("".join(x) for x in NAMES.findall(rest)).lower()
-    return bool(said) and not AROUND_NAMES.isdisjoint(re.split(r"[^a-z]+", said))
+    if name in WHOLE or (name == "article" and first):
+        return False
+    said = " ".join("".join(x) for x in NAMES.findall(rest)).lower().split()
+    parts = said if name in TEXT - INLINE else [x for word in said if not word.startswith(PAGE_WORDS) for x in re.split(r"[^a-z]+", word)]
+    return not AROUND_NAMES.isdisjoint(parts)
 
 
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     """(kind, text, around, content) in page order: kind is a tag as `p`, `/p`, or `#` for a run of text.
 
     around: inside an element that never holds content. content: inside an element marked as the page's article. Tags whose
-    name says nothing but whose class does are named by the mark, as `div!`. Unclosed elements end with their parent.
+    name says nothing but whose class does are named by the mark, as `div!`. Unclosed elements end with their parent. The first article or main
+    element is content even if what it stands in is marked by its class, or is a nav, header or form.
     """
     out = []
+    first = True
     stack: list[tuple[str, bool, bool]] = []
     at, n = 0, len(page)
 
@@ -98,8 +115,12 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         if name in SELF_CLOSING and stack and stack[-1][0] == name:
             stack.pop()
             around, content = state()
-        marked = _is_around(name, found["rest"])
-        inside = content or name == "article" or name == "main" or "articlebody" in found["rest"].lower()
+        marked = _is_around(name, found["rest"], first)
+        begins = name == "article" or name == "main" or "articlebody" in found["rest"].lower()
+        if begins and first and not marked:
+            first = False
+            around = any(x[0] in AROUND - OPEN_AROUND for x in stack)
+        inside = content or begins
         out.append((name + "!" * (marked and name not in AROUND), "", around or marked, inside))
         if name in VOID or found["rest"].endswith("/"):
             continue
@@ -143,7 +164,7 @@ def fit(pages: list[str]) -> dict[str, float]:
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The blocks of the best region, one a line, white space made one space; empty if the page has no content words.
 
-    Tags without a weight weigh UNSEEN, or UNSEEN_TEXT if text is made of them. What stands in elements that never hold content
+    Tags without a weight weigh UNSEEN, or UNSEEN_TEXT if text is made of them or grouped by them. What stands in elements that never hold content
     weighs 0: it is left out in any case, and an article goes on behind it however long it is.
     """
     row = tokens(page)
@@ -154,7 +175,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         if kind == "#":
             score[i] = len(text.split())
         else:
-            score[i] = weights.get(kind, UNSEEN_TEXT if kind.strip("/!") in TEXT else UNSEEN)
+            score[i] = weights.get(kind, UNSEEN_TEXT if kind.strip("/!") in TEXT | GROUPS else UNSEEN)
     best, start, end, low, low_at, total = 0.0, 0, 0, 0.0, 0, 0.0
     for i, value in enumerate(score):
         total += value
