@@ -37,6 +37,22 @@ def test_most_vectors_alike(spark):
     assert sorted(tuple(r) for r in found) == brute_top_k(rows, {i: v for i, v in rows if i % 100 == 0}, 10)
 
 
+@pytest.mark.parametrize("size", [3 * 10**5, 10**7, 10**8])
+def test_large_components_keep_their_last_digits(spark, size):
+    """Near ties beyond 2 ** 53, where doubles round."""
+    rng = random.Random(size)
+    rows = [(i, [size + rng.randint(-2, 2) for _ in range(8)]) for i in range(230)]
+    vectors = spark.createDataFrame(rows, "id bigint, v array<bigint>").repartition(4)
+    found = topk.top_k(vectors, vectors.where("id % 77 = 0"), k=10).collect()
+    assert sorted(tuple(r) for r in found) == brute_top_k(rows, {i: v for i, v in rows if i % 77 == 0}, 10)
+
+
+def test_scores_beyond_64_bits_raise(spark):
+    df = spark.createDataFrame([(0, [2**31, 2**31]), (1, [2**31, 1])], "id bigint, v array<bigint>")
+    with pytest.raises(ValueError, match="64-bit"):
+        topk.top_k(df, df.where("id = 0")).collect()
+
+
 def test_unusable_vectors_and_integers(spark):
     rows = [(0, [0.5, -0.0001]), (1, None), (2, [None, 1.0]), (3, [math.nan, 1.0]), (4, [math.inf, 1.0]), (None, [1.0, 1.0]), (5, [1.0, 0.25])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<float>, v string")
@@ -184,3 +200,28 @@ def test_long_block_inside_an_article_does_not_cut_it(block):
     inner = block % ("<div>see this</div>" * 60)
     text = page("<p>" + "word " * 400 + "</p>" + inner + "<p>" + "last " * 5 + "</p>")
     assert extract.main_text(text, weights).split() == ["word"] * 400 + ["last"] * 5
+
+
+WORDS = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body class='has-sidebar'><article><p>{WORDS}</p></article></body>", WORDS),
+        (f"<body><div class='page with-sidebar'><article><p>{WORDS}</p></article></div></body>", WORDS),
+        (f"<body><div class='page sidebar'><article><p>{WORDS}</p></article><div>see this</div></div></body>", WORDS),
+        (f"<body><main id='search'><article><p>{WORDS}</p></article></main></body>", WORDS),
+        (f"<body><nav><ul><li>Home</li></ul><article><p>{WORDS}</p></article></body>", WORDS),
+        (f"<body><form id=all><main><p>{WORDS}</p></main></form></body>", WORDS),
+        (f"<body><article><p>{WORDS}</p><p class='share-price'>it rose</p></article></body>", WORDS + "\nit rose"),
+        (f"<body><article><p>{WORDS}</p><p class='x share'>tell friends</p><div class='ad-slot'>buy</div></article></body>", WORDS),
+        ("<body><article>" + "<section><p>aaa text</p></section>" * 8 + "</article></body>", "\n".join(["aaa text"] * 8)),
+        (f"<body><article><p>{WORDS}</p>" + "<div></div>" * 100 + f"<p>{WORDS}</p></article></body>", f"{WORDS}\n{WORDS}"),
+        (f"<article><p>{WORDS}</p></article><div class='comments'><article><p>nice post</p></article><article class=comment>hm</article></div>", WORDS),
+        (f"<aside><article><p>teaser</p></article></aside><article><p>{WORDS}</p></article>", WORDS),
+    ],
+)
+def test_articles_in_marked_wrappers_stay_whole(html, want):
+    plain = [page("<h1>Head</h1>" + "<p>some words of the text here</p>" * 4) for _ in range(20)]
+    assert extract.main_text(html, extract.fit(plain)) == want

@@ -18,6 +18,8 @@ K = 10
 BINS = 1024
 QUERY_BLOCK = 2048
 CHUNK = 4096
+#: Scores below the first are exact in double precision, differences of scores below the second in 64-bit integers.
+EXACT_DOUBLES, EXACT_INTEGERS = 2**52, 2**61
 
 
 def as_integers(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -32,10 +34,11 @@ def as_integers(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
 
 
 def _scores(batches, ids: np.ndarray, block: np.ndarray):
-    """Candidate ids and the score matrix (queries, candidates) of pieces of the input; a query's own rows are -inf.
+    """Candidate ids and the score matrix (queries, candidates) of pieces of the input; a query's own rows are under every score.
 
-    Products and sums of integers below 2 ** 53 are exact in double precision.
+    The block says how scores are made: in double precision, which is exact for integers below 2 ** 53, or in 64-bit integers.
     """
+    never = -np.inf if block.dtype == float else np.iinfo(np.int64).min // 2
     for batch in batches:
         for at in range(0, len(batch), CHUNK):
             part = batch.iloc[at : at + CHUNK]
@@ -43,8 +46,8 @@ def _scores(batches, ids: np.ndarray, block: np.ndarray):
             if (size != block.shape[1]).any():
                 raise ValueError(f"vectors of {block.shape[1]} and {size[size != block.shape[1]][0]} components")
             own = part["id"].to_numpy(np.int64)
-            scores = block @ np.stack(part["v"].to_numpy()).astype(float).T
-            scores[ids[:, None] == own[None, :]] = -np.inf
+            scores = block @ np.stack(part["v"].to_numpy()).astype(block.dtype).T
+            scores[ids[:, None] == own[None, :]] = never
             yield own, scores
 
 
@@ -60,7 +63,7 @@ def _histograms(candidates: DataFrame, ids, block, low, width, k: int) -> pd.Dat
         total = np.zeros((len(ids), BINS + 1), np.int64)
         line = (np.arange(len(ids)) * (BINS + 1))[:, None]
         for _, scores in _scores(batches, ids, block):
-            at = BINS - 1 - np.floor((scores - low[:, None]) / width[:, None])
+            at = BINS - 1 - (scores - low[:, None]) // width[:, None]
             inside = at < BINS
             flat = (np.maximum(at, -1) + 1 + line)[inside].astype(np.int64)
             total += np.bincount(flat, minlength=total.size).reshape(total.shape)
@@ -81,14 +84,14 @@ def _kth_bins(histogram: DataFrame, k: int) -> pd.DataFrame:
 
 def _search_block(candidates: DataFrame, ids: np.ndarray, block: np.ndarray, bound: int, k: int) -> DataFrame:
     """The k best candidates of one block of queries. `bound`: no score is further from 0."""
-    low = np.full(len(ids), -float(bound))
-    width = np.full(len(ids), max(1.0, float(-(-(2 * bound + 1) // BINS))))
+    low = np.full(len(ids), -bound, block.dtype)
+    width = np.full(len(ids), max(1, -(-(2 * bound + 1) // BINS)), block.dtype)
     short = np.zeros(len(ids), bool)
     first = True
     while first or (width > 1).any():
         if not first:
             # Divide the bin that holds the kth score.
-            width = np.maximum(1.0, np.ceil(width / BINS))
+            width = np.maximum(1, -(-width // BINS))
         found = _kth_bins(_histograms(candidates, ids, block, low, width, k), k)
         if first:
             short[:] = True
@@ -97,7 +100,7 @@ def _search_block(candidates: DataFrame, ids: np.ndarray, block: np.ndarray, bou
         low[q] = low[q] + (BINS - 1 - found["bin"].to_numpy()) * width[q]
         first = False
     # Now `low` is the kth score; queries with fewer than k candidates take all.
-    low[short] = -float(bound)
+    low[short] = -bound
     shared = candidates.sparkSession.sparkContext.broadcast((ids, block, low))
 
     def run(batches):
@@ -126,7 +129,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, query_block: in
 
     Both tables are (id, v) with v an array of integers of one length; another length raises. A candidate with the query's id takes
     no part in that query. A query with fewer than k candidates gets all. Repeated candidate rows count as often as they
-    occur; a repeated query row is one query (the one whose vector sorts first). Empty tables give an empty table.
+    occur; a repeated query row is one query (the one whose vector sorts first). Empty tables give an empty table. Scores are exact: beyond what
+    doubles hold they are computed in 64-bit integers, and vectors so large that these may not do raise.
     Blocks of queries, at most `query_block` vectors at a time, pass through the driver; candidates are never moved.
     """
     from textlode.llm.common import staged
@@ -135,9 +139,13 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, query_block: in
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     candidates = staged(candidates, "vectors")
     queries = queries.groupBy("id").agg(F.min("v").alias("v"))
-    # Largest sum of squares: by Cauchy and Schwarz no score is further from 0.
-    squares = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x)
-    bound = max(candidates.agg(F.max(squares)).first()[0] or 0, queries.agg(F.max(squares)).first()[0] or 0)
+    # Largest sum of squares, rounded up: by Cauchy and Schwarz no score is further from 0.
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    bound = max(candidates.agg(F.max(squares)).first()[0] or 0.0, queries.agg(F.max(squares)).first()[0] or 0.0)
+    bound = int(bound * (1 + 1e-9)) + 1
+    if bound >= EXACT_INTEGERS:
+        raise ValueError("scores of these vectors may not fit 64-bit integers")
+    kind = float if bound < EXACT_DOUBLES else np.int64
     number = queries.count()
     out = []
     blocks = -(-number // query_block)
@@ -147,7 +155,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, query_block: in
         rows = queries.where(part == i).orderBy("id").toPandas()
         if rows.empty:
             continue
-        block = np.stack(rows["v"].to_numpy()).astype(float)
+        block = np.stack(rows["v"].to_numpy()).astype(kind)
         out.append(_search_block(candidates, rows["id"].to_numpy(np.int64), block, bound, k))
     if not out:
         return spark.createDataFrame([], schema)
