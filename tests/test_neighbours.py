@@ -162,3 +162,62 @@ assert entry.queries()["j1_knn"](spark, "/root/testdata/sf0.001").count() > 0
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def clustered(n, groups, seed, start=0, dim=6, spread=0.02):
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(99).standard_normal((groups, dim)) * 10
+    at = rng.integers(0, groups, n)
+    return [(start + i, [float(np.float32(v)) for v in centres[g] + spread * rng.standard_normal(dim)], int(g % 4)) for i, g in enumerate(at)]
+
+
+def test_clustered_queries_meet_few_cells_and_points_are_not_copied(spark, monkeypatch):
+    monkeypatch.setattr(K, "LEAST_BLOCK", 40)
+    queries, points = clustered(200, 30, 1), clustered(3000, 30, 2, 1000)
+    q, x = spark.createDataFrame(queries, SCHEMA), spark.createDataFrame(points, SCHEMA).repartition(5)
+    ready, asked, n, dim = K._sides(q, x, "id", "embedding", "label_id")
+    cells = K.cells_of(ready, 5, n, dim)
+    assert len(cells.pivots) > 30
+    assert cells.points.count() == len(points)
+    met = cells.routes(asked).groupBy("query_id").count()
+    total, blocks = met.agg(F.sum("count")).first()[0], int(cells.blocks.sum())
+    assert met.count() == len(queries)
+    # A tenth of the meetings of all queries with all blocks, at most.
+    assert total * 10 < len(queries) * blocks
+    assert run(spark, queries, points) == brute(queries, points, 5)
+
+
+@pytest.mark.parametrize("kind", range(4))
+def test_cells_lose_no_neighbour(spark, monkeypatch, kind):
+    """Unclustered, clustered, mostly copies, far from 0: with cells smaller than k and blocks smaller than cells."""
+    monkeypatch.setattr(K, "LEAST_BLOCK", 7)
+    queries, points = random_rows(50, 5, 20 + kind), random_rows(400, 5, 30 + kind, 1000)
+    if kind == 1:
+        queries, points = clustered(50, 9, 5, dim=5), clustered(400, 9, 6, 1000, dim=5)
+    if kind == 2:
+        points = [(i, [1.0, 2.0, 3.0, 4.0, 5.0] if i % 4 else v, lab) for i, v, lab in points]
+    if kind == 3:
+        points = [(i, [float(np.float32(x + 1000)) for x in v], lab) for i, v, lab in points]
+    for cell_rows in (3, 60):
+        q, x = spark.createDataFrame(queries, SCHEMA), spark.createDataFrame(points, SCHEMA)
+        got = sorted(tuple(r) for r in K.knn(q, x, 6, cell_rows=cell_rows).collect())
+        assert got == brute(queries, points, 6)
+
+
+def test_probing_all_cells_is_exact_and_recall_says_so(spark):
+    queries, points = clustered(60, 12, 3), clustered(900, 12, 4, 1000)
+    q, x = spark.createDataFrame(queries, SCHEMA), spark.createDataFrame(points, SCHEMA)
+    centres = K.train_cells(x, 12)
+    every = K.knn_probe(q, x, centres, len(centres))
+    assert sorted(tuple(r) for r in every.collect()) == brute(queries, points, 5)
+    exact = K.knn(q, x)
+    assert K.recall(every, exact).first().recall == 1.0
+    few = K.recall(K.knn_probe(q, x, centres, 2), exact).first()
+    assert few.queries == 60 and few.neighbours == 300 and few.recall >= 0.9
+    assert K.recall(every.where("query_id < 0"), exact).first().recall == 0.0
+
+
+def test_empty_sides(spark):
+    rows = spark.createDataFrame(random_rows(5, 3, 1), SCHEMA)
+    assert K.knn(rows.where("false"), rows).collect() == []
+    assert K.knn(rows, rows.where("false")).collect() == []

@@ -1,7 +1,8 @@
-"""Exact nearest neighbours and the votes built on them."""
+"""Nearest neighbours, exact and approximate, and the votes built on them."""
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textlode.operators.scale import stage
 
@@ -19,8 +20,14 @@ BLOCK_BYTES = 64 * 1024 * 1024
 TILE_BYTES = 16 * 1024 * 1024
 # Points per run whose smallest distance is looked at first.
 RUN = 64
-# Queries that meet an index block at once.
-QUERY_ROWS = 512
+# Queries that meet an index block at once, and rows of queries sent to blocks at a time.
+QUERY_ROWS = 4096
+ROUTED_ROWS = 10_000
+# Rows of a small index block, blocks a larger index is cut into at least, and tasks they are dealt to at most.
+LEAST_BLOCK, LEAST_BLOCKS, MOST_TASKS = 2048, 64, 8192
+# Most pivots, whose vectors every task holds, and rows a coarse quantiser is trained on.
+MOST_PIVOTS = 1024
+TRAINED_ROWS = 100_000
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -79,6 +86,217 @@ def nearest_in_block(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k
     return np.concatenate(found_q), np.concatenate(found_p), np.concatenate(found_d)
 
 
+def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Distances of all rows of two matrices, to about 1e-7 of the largest norm."""
+    squares = (left * left).sum(1)[:, None] + (right * right).sum(1)[None, :] - 2 * (left @ right.T)
+    return np.sqrt(np.maximum(squares, 0))
+
+
+def _vectors(frame: DataFrame) -> np.ndarray:
+    """A one-column frame of vectors, of a bounded number of rows, as a matrix."""
+    rows = frame.toArrow().column(0)
+    return matrix(rows) if len(rows) else np.empty((0, 0))
+
+
+def _usable(vec_col: str):
+    finite = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce(finite, F.lit(False))
+
+
+class Cells:
+    """An index cut into cells, each of the points nearest to one pivot, and the cells into blocks of bounded size.
+
+    points: (block, neighbour_id, point, label_id). Of each cell its blocks are known, the least and the largest distance of its
+    points to the pivot, and the k-th least.
+    """
+
+    def __init__(self, points: DataFrame, pivots: np.ndarray, k: int, block_rows: int, n: int):
+        self.pivots, self.k = pivots, k
+        if len(pivots) < 2:
+            blocks = max(1, math.ceil(n / block_rows))
+            block = F.pmod(F.xxhash64("neighbour_id"), F.lit(blocks)).cast("int")
+            self.first, self.blocks = np.array([0]), np.array([blocks])
+            self.near, self.far, self.kth = np.zeros(1), np.full(1, np.inf), np.full(1, np.inf)
+            self.points = points.withColumn("block", block)
+            return
+        placed = stage(self._placed(points), "cells")
+        # Few rows a cell and task survive before the shuffle, as the window keeps the first k only.
+        by_radius = W.partitionBy("cell").orderBy("radius")
+        kth = placed.select("cell", "radius", F.row_number().over(by_radius).alias("at")).where(F.col("at") <= k)
+        kth = kth.groupBy("cell").agg(F.max(F.when(F.col("at") == k, F.col("radius"))).alias("kth"))
+        facts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("near"), F.max("radius").alias("far"))
+        # At most one row per pivot.
+        rows = {r["cell"]: r for r in facts.join(kth, "cell").collect()}
+        cells = range(len(pivots))
+        self.blocks = np.array([math.ceil(rows[c]["n"] / block_rows) if c in rows else 0 for c in cells])
+        self.first = np.cumsum(self.blocks) - self.blocks
+        self.near = np.array([rows[c]["near"] if c in rows else np.inf for c in cells])
+        self.far = np.array([rows[c]["far"] if c in rows else -np.inf for c in cells])
+        self.kth = np.array([rows[c]["kth"] if c in rows and rows[c]["kth"] is not None else np.inf for c in cells])
+        table = [(c, int(self.first[c]), int(self.blocks[c])) for c in rows]
+        known = points.sparkSession.createDataFrame(table, "cell int, first int, blocks int")
+        block = F.col("first") + F.pmod(F.xxhash64("neighbour_id"), F.col("blocks")).cast("int")
+        self.points = placed.join(known, "cell").withColumn("block", block).select("block", "neighbour_id", "point", "label_id")
+
+    def _placed(self, points: DataFrame) -> DataFrame:
+        schema = t.StructType([*points.schema.fields, t.StructField("cell", t.IntegerType()), t.StructField("radius", t.DoubleType())])
+        shared = points.sparkSession.sparkContext.broadcast(self.pivots)
+
+        def run(batches):
+            for batch in batches:
+                gaps = _distances(matrix(pa.chunked_array([batch.column("point")])), shared.value) if len(batch) else np.empty((0, 1))
+                cell = gaps.argmin(1) if len(batch) else np.empty(0, int)
+                radius = gaps[np.arange(len(batch)), cell]
+                columns = [*batch.columns, pa.array(cell, pa.int32()), pa.array(radius, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        return points.mapInArrow(run, schema)
+
+    def routes(self, asked: DataFrame, probes: int | None = None) -> DataFrame:
+        """(block, query_id, query): the blocks each query has to meet.
+
+        A query's k-th distance is at most its distance to a pivot and the k-th radius of that cell; the least such sum is its bound. No point of a
+        cell is nearer than the triangle inequality says, from the radii and from the pivot of the query's own cell: cells that are
+        further than the bound are left out. With `probes`, only the cells of so many nearest pivots are met.
+        """
+        if len(self.pivots) < 2:
+            every = F.explode(F.sequence(F.lit(0), F.lit(int(self.blocks[0]) - 1)))
+            return asked.select(every.alias("block"), "query_id", "query")
+        schema = t.StructType([t.StructField("block", t.IntegerType()), asked.schema["query_id"], asked.schema["query"]])
+        shared = asked.sparkSession.sparkContext.broadcast((self.pivots, self.first, self.blocks, self.near, self.far, self.kth))
+
+        def wanted(gaps, scale, near, far, kth, blocks):
+            if probes is not None:
+                gaps = np.where(blocks > 0, gaps, np.inf)
+                at = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
+                out = np.zeros(gaps.shape, bool)
+                np.put_along_axis(out, at, True, axis=1)
+                return out
+            slack = 1e-6 * scale
+            bound = (gaps + kth).min(1, keepdims=True) + slack
+            least = np.maximum(np.maximum(gaps - far, near - gaps), (gaps - gaps.min(1, keepdims=True)) / 2)
+            # What cannot be compared is met.
+            return ~(least > bound + slack)
+
+        def run(batches):
+            pivots, first, blocks, near, far, kth = shared.value
+            widest = float(np.sqrt((pivots * pivots).sum(1)).max())
+            for batch in batches:
+                if not len(batch):
+                    continue
+                vectors = matrix(pa.chunked_array([batch.column("query")]))
+                scale = widest + np.sqrt((vectors * vectors).sum(1))[:, None]
+                row, cell = np.nonzero(wanted(_distances(vectors, pivots), scale, near, far, kth, blocks) & (blocks > 0))
+                block = np.repeat(first[cell], blocks[cell]) + np.concatenate([np.arange(n) for n in blocks[cell]] or [np.empty(0, int)])
+                row = np.repeat(row, blocks[cell])
+                for at in range(0, len(row), ROUTED_ROWS):
+                    part = batch.take(pa.array(row[at : at + ROUTED_ROWS]))
+                    columns = [pa.array(block[at : at + ROUTED_ROWS], pa.int32()), part.column("query_id"), part.column("query")]
+                    yield pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(schema))
+
+        return asked.select("query_id", "query").mapInArrow(run, schema)
+
+
+def _meet(points: DataFrame, routes: DataFrame, k: int, blocks: int) -> DataFrame:
+    """(query_id, rank, neighbour_id, dist, label_id): the k best points of the blocks that each query meets.
+
+    Points and queries of a block come to one task, the points first: a task holds one block and a tile of queries. No point is copied.
+    """
+    kinds = {c: points.schema[c].dataType for c in ("neighbour_id", "point", "label_id")} | {
+        c: routes.schema[c].dataType for c in ("query_id", "query")
+    }
+    nothing = {c: F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()}
+    left = points.select("block", F.lit(0).alias("side"), "neighbour_id", "point", "label_id", nothing["query_id"], nothing["query"])
+    right = routes.select("block", F.lit(1).alias("side"), nothing["neighbour_id"], nothing["point"], nothing["label_id"], "query_id", "query")
+    schema = t.StructType(
+        [
+            t.StructField("query_id", kinds["query_id"]),
+            t.StructField("neighbour_id", kinds["neighbour_id"]),
+            t.StructField("dist", t.DoubleType()),
+            t.StructField("label_id", kinds["label_id"]),
+        ]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def found(index: list[pa.RecordBatch], queries: list[pa.RecordBatch]):
+        if not index or not queries:
+            return
+        x, asked = pa.Table.from_batches(index), pa.Table.from_batches(queries)
+        ids = x["neighbour_id"].to_numpy()
+        q, p, d = nearest_in_block(matrix(asked["query"]), matrix(x["point"]), ids, k)
+        columns = [asked["query_id"].take(q), x["neighbour_id"].take(p), pa.array(d), x["label_id"].take(p)]
+        yield from pa.table(columns, names=arrow.names).cast(arrow).to_batches()
+
+    def run(batches):
+        block, index, queries, held = None, [], [], 0
+        for batch in batches:
+            name = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1).tolist(), len(name)]
+            for a, b in itertools.pairwise(cuts):
+                if a == b:
+                    continue
+                if name[a] != block:
+                    yield from found(index, queries)
+                    block, index, queries, held = name[a], [], [], 0
+                part = batch.slice(a, b - a)
+                points_here = int((part.column("side").to_numpy() == 0).sum())
+                if points_here:
+                    index.append(part.slice(0, points_here).select(["neighbour_id", "point", "label_id"]))
+                if points_here < len(part):
+                    queries.append(part.slice(points_here).select(["query_id", "query"]))
+                    held += len(part) - points_here
+                if held >= QUERY_ROWS:
+                    yield from found(index, queries)
+                    queries, held = [], 0
+        yield from found(index, queries)
+
+    together = left.unionByName(right).repartition(min(blocks, MOST_TASKS), "block").sortWithinPartitions("block", "side")
+    best = together.mapInArrow(run, schema)
+    by_distance = W.partitionBy("query_id").orderBy("dist", "neighbour_id")
+    ranked = best.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "neighbour_id", "dist", "label_id")
+
+
+def _sides(queries: DataFrame, index: DataFrame, id_col: str, vec_col: str, label_col: str):
+    """Points and queries with usable vectors, written once, as the encoder or split behind them is read several times; their sizes."""
+    points = index.where(_usable(vec_col)).select(
+        F.col(id_col).alias("neighbour_id"), F.col(vec_col).alias("point"), F.col(label_col).alias("label_id")
+    )
+    asked = queries.where(_usable(vec_col)).select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query"))
+    points, asked = stage(points, "points"), stage(asked, "queries")
+    counts = [F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most")]
+    sizes = points.select(F.lit(0).alias("side"), F.size("point").alias("size")).unionAll(asked.select(F.lit(1), F.size("query")))
+    found = {r["side"]: r for r in sizes.groupBy("side").agg(*counts).collect()}
+    lengths = sorted({x for r in found.values() for x in (r["least"], r["most"])})
+    if len(lengths) > 1 and 0 in found:
+        raise ValueError(f"vectors of {lengths[0]} and {lengths[-1]} elements")
+    return points, asked, found[0]["n"] if 0 in found else 0, lengths[0] if lengths else 1
+
+
+def _distinct(points: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors only the k smallest ids can be among the k nearest: this bounds the ties at the k-th place.
+
+    It prunes before its shuffle. The digest comes first, as comparing whole vectors is slow.
+    """
+    copies = W.partitionBy(F.xxhash64("point"), "point").orderBy("neighbour_id")
+    return points.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
+
+
+def _block_rows(n: int, dim: int) -> int:
+    """Rows of an index block: small enough for a task, and so that a small index still gives some tasks work."""
+    return max(1, min(BLOCK_BYTES // (8 * max(dim, 1)), max(LEAST_BLOCK, n // LEAST_BLOCKS)))
+
+
+def cells_of(index: DataFrame, k: int, n: int, dim: int, cell_rows: int | None = None) -> Cells:
+    """An index (neighbour_id, point, label_id) of n rows cut into cells around pivots that are drawn from it by a hash."""
+    rows = _block_rows(n, dim)
+    count = min(MOST_PIVOTS, math.ceil(n / (cell_rows or rows)))
+    pivots = np.empty((0, dim))
+    if count > 1:
+        pivots = np.unique(_vectors(index.orderBy(F.xxhash64("neighbour_id", F.lit(7)), "neighbour_id").limit(count).select("point")), axis=0)
+    return Cells(_distinct(index, k), pivots, k, rows, n)
+
+
 def knn(
     queries: DataFrame,
     index: DataFrame,
@@ -86,83 +304,64 @@ def knn(
     id_col: str = "id",
     vec_col: str = "embedding",
     label_col: str = "label_id",
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, neighbour_id, dist, label_id): the k nearest index rows of each query, by squared L2 distance.
 
     Ties go to the smaller neighbour id; an index of fewer than k rows gives fewer neighbours. Vectors that are null or hold
-    null, NaN or infinity take no part; one of another length than the index's first raises.
+    null, NaN or infinity take no part; vectors of different lengths raise.
 
-    Queries and index are cut into blocks by a hash of their id, sized to fit in a task, and every
-    query block meets every index block as one matrix product. A pair of blocks only gives each query's
-    k best, so no set of all pairs is formed. The final merge is a top-k window, which prunes before its shuffle.
+    The index is cut into cells around pivots, about one per `cell_rows` rows; every point goes to one task. A query goes to the
+    cells that the triangle inequality does not rule out, and meets each as one matrix product that only gives its k best, so no set of all pairs
+    is formed. How much that saves depends on the vectors: where they lie in groups, a query meets few cells; where all are about equally
+    far from each other, an exact search has to look at all of them. The final merge is a top-k window, which prunes before its shuffle.
     """
-    finite = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    usable = F.coalesce(finite, F.lit(False))
-    # Written once: the encoder or split behind them runs once, and counts and the length are cheap.
-    points = index.where(usable).select(
-        F.col(id_col).alias("neighbour_id"), F.col(vec_col).alias("point"), F.col(label_col).alias("label_id")
-    )
-    asked = queries.where(usable).select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query"))
-    points, asked = stage(points, "points"), stage(asked, "queries")
-    schema = t.StructType(
-        [
-            t.StructField("query_id", asked.schema["query_id"].dataType),
-            t.StructField("neighbour_id", points.schema["neighbour_id"].dataType),
-            t.StructField("dist", t.DoubleType()),
-            t.StructField("label_id", points.schema["label_id"].dataType),
-        ]
-    )
-    first_point = points.select(F.size("point").alias("dim")).first()
-    dim = first_point["dim"] if first_point else None
-    block_rows = max(1, BLOCK_BYTES // (8 * max(dim or 1, 1)))
-    index_blocks = max(1, math.ceil(points.count() / block_rows))
-    query_blocks = max(1, math.ceil(asked.count() / max(QUERY_ROWS, block_rows // 16)))
-    if dim is not None:
+    points, asked, n, dim = _sides(queries, index, id_col, vec_col, label_col)
+    cells = cells_of(points, k, n, dim, cell_rows)
+    return _meet(cells.points, cells.routes(asked), k, int(cells.blocks.sum()))
 
-        def checked(column):
-            wrong = F.raise_error(F.format_string(f"vectors of {dim} and %d elements", F.size(column)))
-            return F.when(F.size(column) == dim, F.col(column)).otherwise(wrong)
 
-        points, asked = points.withColumn("point", checked("point")), asked.withColumn("query", checked("query"))
+def train_cells(index: DataFrame, cells: int, vec_col: str = "embedding", rows: int = TRAINED_ROWS, seed: int = 42) -> np.ndarray:
+    """Centres of a coarse quantiser: k-means over the first `rows` usable vectors in order of a hash."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
 
-    def block_of(column, blocks):
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+    chosen = index.where(_usable(vec_col)).select(F.col(vec_col).cast("array<double>").alias("v"))
+    chosen = stage(chosen.orderBy(F.xxhash64("v", F.lit(seed))).limit(rows), "trained")
+    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="f").fit(chosen.select(array_to_vector("v").alias("f")))
+    return np.unique(np.array(model.clusterCenters()), axis=0)
 
-    def every(blocks):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
-    # Of equal vectors only the k smallest ids can be among the k nearest. This bounds the ties at the k-th
-    # place however many copies there are, and prunes before its shuffle.
-    # The digest comes first, as comparing whole vectors is slow.
-    copies = W.partitionBy(F.xxhash64("point"), "point").orderBy("neighbour_id")
-    points = points.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
-
-    # An explicit number of partitions keeps small but costly blocks apart.
-    partitions = 2 * query_blocks * index_blocks
-    asked = asked.withColumn("qb", block_of("query_id", query_blocks)).withColumn("xb", every(index_blocks))
-    points = points.withColumn("xb", block_of("neighbour_id", index_blocks)).withColumn("qb", every(query_blocks))
-    asked, points = (side.repartition(partitions, "qb", "xb") for side in (asked, points))
-    arrow = pa.schema(
-        [
-            ("query_id", to_arrow_type(schema["query_id"].dataType)),
-            ("neighbour_id", to_arrow_type(schema["neighbour_id"].dataType)),
-            ("dist", pa.float64()),
-            ("label_id", to_arrow_type(schema["label_id"].dataType)),
-        ]
-    )
+def knn_probe(
+    queries: DataFrame,
+    index: DataFrame,
+    centres: np.ndarray,
+    probes: int,
+    k: int = 5,
+    id_col: str = "id",
+    vec_col: str = "embedding",
+    label_col: str = "label_id",
+) -> DataFrame:
+    """The columns of `knn`, approximately: each query meets only the cells of the `probes` centres nearest to it.
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return arrow.empty_table()
-        ids = right["neighbour_id"].to_numpy()
-        q, p, d = nearest_in_block(matrix(left["query"]), matrix(right["point"]), ids, k)
-        columns = [left["query_id"].take(q), right["neighbour_id"].take(p), pa.array(d), right["label_id"].take(p)]
-        return pa.table(columns, names=arrow.names).cast(arrow)
+    All index rows are in some cell, and the distances given are exact. With as many probes as centres the result is that of `knn`.
+    """
+    points, asked, n, dim = _sides(queries, index, id_col, vec_col, label_col)
+    cells = Cells(_distinct(points, k), centres, k, _block_rows(n, dim), n)
+    return _meet(cells.points, cells.routes(asked, probes), k, max(1, int(cells.blocks.sum())))
 
-    best = asked.groupBy("qb", "xb").cogroup(points.groupBy("qb", "xb")).applyInArrow(meet, schema)
-    by_distance = W.partitionBy("query_id").orderBy("dist", "neighbour_id")
-    ranked = best.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "neighbour_id", "dist", "label_id")
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row (queries, neighbours, found, recall): the share of the exact neighbours that are among those found.
+
+    Neighbours at the distance of a query's last one count as equals, so ties do not matter.
+    """
+    last = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("last"))
+    hits = found.join(last.select("query_id", "last"), "query_id").where("dist <= last").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    hit = F.least("n", F.coalesce("hits", F.lit(0)))
+    return last.join(hits, "query_id", "left").agg(
+        F.count(F.lit(1)).alias("queries"), F.sum("n").alias("neighbours"), F.sum(hit).alias("found"), (F.sum(hit) / F.sum("n")).alias("recall")
+    )
 
 
 def votes(neighbours: DataFrame, k_vote: int = 5, k_labels: int = 5) -> DataFrame:
