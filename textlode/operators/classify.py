@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -16,6 +18,12 @@ from textlode.operators.knn import knn
 from textlode.operators.scale import stage
 
 
+# Fits of a parameter search that run at once.
+AT_ONCE = 4
+# Relative change of the loss at which a fit ends.
+TOLERANCE = 1e-10
+
+
 def features(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     known = df.where(F.col(vec_col).isNotNull())
     return known.withColumn("features", array_to_vector(F.col(vec_col).cast("array<double>")))
@@ -32,10 +40,43 @@ def fit_logistic(
         family="multinomial",
         standardization=False,
         regParam=1.0 / (c * max(train.count(), 1)),
+        tol=TOLERANCE,
     )
     return estimator.fit(rows)
 
 
+def gradient(model: LogisticRegressionModel, train: DataFrame, vec_col: str = "embedding", label_col: str = "label_id") -> DataFrame:
+    """(label_id, component, gradient) of the mean penalised loss at the model's coefficients; component -1 is the intercept.
+
+    It is 0 in every place at the optimum. The rows' probabilities are added up per class and component in one aggregate; the
+    penalty is the model's regParam.
+    """
+    scored = predict(model, train, vec_col).where(F.col(label_col).isNotNull())
+    ones = F.concat(F.col(vec_col).cast("array<double>"), F.array(F.lit(1.0)))
+    gap = F.transform("probabilities", lambda p, j: p - F.when(j == F.col(label_col), 1.0).otherwise(0.0))
+    rows = scored.select(ones.alias("x"), F.posexplode(gap).alias("label_id", "gap"))
+    cells = rows.select("label_id", "gap", F.posexplode("x").alias("component", "value"))
+    sums = cells.groupBy("label_id", "component").agg(F.avg(F.col("gap") * F.col("value")).alias("mean"))
+    weights = model.coefficientMatrix.toArray()
+    table = [(j, d, float(w)) for j, row in enumerate(weights) for d, w in enumerate(row)]
+    table += [(j, weights.shape[1], 0.0) for j in range(weights.shape[0])]
+    own = train.sparkSession.createDataFrame(table, "label_id int, component int, weight double")
+    found = sums.join(own, ["label_id", "component"])
+    component = F.when(F.col("component") == weights.shape[1], -1).otherwise(F.col("component"))
+    return found.select(
+        "label_id", component.alias("component"), (F.col("mean") + model.getRegParam() * F.col("weight")).alias("gradient")
+    )
+
+
+def has_learnt(model: LogisticRegressionModel, train: DataFrame, vec_col: str = "embedding", label_col: str = "label_id") -> DataFrame:
+    """One row (learnt): whether the model's mean loss on the rows is below the entropy of their classes, which is what intercepts alone reach."""
+    scored = predict(model, train, vec_col).where(F.col(label_col).isNotNull())
+    per_class = scored.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"), F.sum(M.clipped_loss(M.probability_of("probabilities", label_col))).alias("loss"))
+    sums = per_class.agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum(F.col("n") * F.log("n")).alias("x"))
+    entropy = F.log("n") - F.col("x") / F.col("n")
+    return sums.select((F.col("loss") / F.col("n") < 0.999 * entropy).alias("learnt"))
+
+
 def predict(model: LogisticRegressionModel, df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """Add pred and probabilities, an array indexed by class number."""
     scored = model.transform(features(df, vec_col))
@@ -91,13 +132,17 @@ def search_logistic(
     """One row per combination of the grid (c, max_iter) with its weighted f1 on the validation rows, best first."""
     # Written once: every fit reads them several times.
     train, validation = (stage(df.select(vec_col, "label_id"), "grid") for df in (train, validation))
-    results = []
-    for run, values in enumerate(product(*grid.values()), start=1):
+    def fitted(combination):
+        run, values = combination
         params = dict(zip(grid, values))
         model = fit_logistic(train, vec_col, **params)
         f1 = M.weighted_metrics(predict(model, validation, vec_col)).select("f1")
         columns = [F.lit(v).alias(k) for k, v in params.items()]
-        results.append(f1.select(F.lit(run).alias("run_idx"), *columns, "f1"))
+        return f1.select(F.lit(run).alias("run_idx"), *columns, "f1")
+
+    # Fits are many short jobs: several at once keep the cluster busy.
+    with ThreadPool(AT_ONCE) as pool:
+        results = pool.map(inheritable_thread_target(train.sparkSession)(fitted), enumerate(product(*grid.values()), start=1))
     return union_all(results).orderBy(F.desc("f1"), "run_idx")
 
 

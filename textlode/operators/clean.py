@@ -89,17 +89,18 @@ def label_union(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, out: str = "id", chunk: int = 100_000) -> DataFrame:
-    """Give a key to rows that have none: a digest of the content and the number of the copy.
+    """Give a key to rows that have none: a 128-bit digest of the content with the number of the copy.
 
-    Equal rows are counted first and numbered in chunks, so that no task holds all copies of
-    a row that occurs very often.
+    Equal rows meet by their digest and are counted before and after the one shuffle, so no task holds all copies of a row
+    that occurs very often; rows of more than `chunk` copies are dealt out again in chunks. Equal rows are interchangeable, so the ids do
+    not depend on the partitioning.
     """
     cols = df.columns
-    content = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-    copies = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
-    starts = F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / chunk)))
-    chunks = copies.withColumn("_chunk", starts).repartition(*cols, "_chunk")
-    first = F.col("_chunk") * chunk
-    numbers = F.sequence(first, F.least(F.col("_copies"), first + chunk) - 1)
-    rows = chunks.withColumn("_copy", F.explode(numbers))
-    return rows.withColumn(out, F.md5(F.concat_ws(":", content, "_copy"))).select(out, *cols)
+    digest = F.md5(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))
+    counted = df.groupBy(digest.alias("_digest")).agg(F.first(F.struct(*cols)).alias("_row"), F.count(F.lit(1)).alias("_copies"))
+    few = counted.where(F.col("_copies") <= chunk).withColumn("_from", F.lit(0).cast("bigint"))
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1, F.lit(chunk).cast("bigint")))
+    many = counted.where(F.col("_copies") > chunk).withColumn("_from", starts).repartition("_digest", "_from")
+    numbers = F.sequence(F.col("_from"), F.least(F.col("_copies"), F.col("_from") + chunk) - 1)
+    rows = few.unionByName(many).withColumn("_copy", F.explode(numbers))
+    return rows.select(F.md5(F.concat_ws(":", "_digest", "_copy")).alias(out), "_row.*")

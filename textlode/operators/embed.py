@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from textlode.functions import text as T
 from textlode.functions import vectors as V
-from textlode.functions.keys import SEED
-from textlode.operators.cuts import dense_positions, keyed
-from textlode.operators.scale import attach, numbered, with_sides
+from textlode.functions.keys import SEED, bucket_of, hash_key
+from textlode.operators.cuts import bucket_offsets, dense_positions, keyed
+from textlode.operators.scale import attach, numbered, stage, with_sides
 from textlode.operators.splits import sample_rows
 
+# Batches that one task makes at a time.
+RUN_BATCHES = 4096
 # Token ids of padding and of words outside the vocabulary.
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -87,6 +89,34 @@ def normalize_embeddings(df: DataFrame, vec_col: str = "embedding") -> DataFrame
     return df.withColumn(vec_col, V.l2_normalize(vec_col))
 
 
+def hashing_model(dim: int = 16) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A model for `embed_with` that needs no training: every whitespace token adds 1 or -1 to one component.
+
+    The first 8 hex digits of the token's md5 name the component, the next one the sign (odd is negative).
+    """
+
+    def load():
+        from functools import lru_cache
+        from hashlib import md5
+
+        @lru_cache(maxsize=200_000)
+        def place(token: str) -> tuple[int, int]:
+            digest = md5(token.encode()).hexdigest()
+            return int(digest[:8], 16) % dim, 1 - 2 * (int(digest[8], 16) % 2)
+
+        def run(texts: list[str]) -> np.ndarray:
+            out = np.zeros((len(texts), dim))
+            for row, text in zip(out, texts, strict=True):
+                for token in text.split():
+                    at, sign = place(token)
+                    row[at] += sign
+            return out
+
+        return run
+
+    return load
+
+
 def pair_scores(
     pairs: DataFrame,
     vectors: DataFrame,
@@ -107,12 +137,23 @@ def shuffled_batches(df: DataFrame, batch_size: int, id_col: str = "id", seed: i
 
 
 def batch_members(df: DataFrame, vec_cols: list[str], batch_size: int, id_col: str = "id", seed: int = SEED) -> DataFrame:
-    """(batch, members): one row per batch with its at most `batch_size` members, sorted by id."""
-    batches = shuffled_batches(df, batch_size, id_col, seed)
+    """(batch, members): one row per batch with its at most `batch_size` members, sorted by id. Vectors are shuffled once."""
+    key = hash_key(id_col, "batch", seed)
+    # A narrow pass counts the buckets of the random order. Runs of whole buckets, each with the batches that begin in its part of the
+    # order, then go to one task; a bucket on the border of two runs goes to both, and a run drops the batches that are not its own.
+    offsets = bucket_offsets(keyed(df, id_col, None, "batch", seed)).select("bucket", "n", "start")
+    width = batch_size * RUN_BATCHES
+    last = F.floor((F.col("start") + F.col("n") - 1) / width)
+    runs = offsets.select("bucket", "start", F.explode(F.sequence(F.floor(F.col("start") / width), last)).alias("run"))
+    firsts = runs.groupBy("run").agg(F.min("start").alias("first"))
+    runs = stage(runs.join(firsts, "run").select("bucket", "run", "first"), "runs")
     unit = [V.l2_normalize(c).alias(c) for c in vec_cols]
-    vectors = df.select(F.col(id_col).alias("id"), *unit)
+    rows = df.select(F.col(id_col).alias("id"), key.alias("key"), bucket_of(key).alias("bucket"), *unit)
+    rows = rows.join(F.broadcast(runs), "bucket").repartition("run")
+    place = F.row_number().over(W.partitionBy("run").orderBy("key", "id")) - 1 + F.col("first")
+    rows = rows.withColumn("batch", F.floor(place / batch_size)).where(F.floor(F.col("batch") * batch_size / width) == F.col("run"))
     member = F.struct("id", *vec_cols)
-    return batches.join(vectors, "id").groupBy("batch").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    return rows.groupBy("run", "batch").agg(F.array_sort(F.collect_list(member)).alias("members")).select("batch", "members")
 
 
 def batch_similarity(df: DataFrame, batch_size: int = 16, id_col: str = "id", vec_col: str = "embedding", seed: int = SEED) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textlode.operators.scale import join_null_safe, running_sums, stage
+from textlode.operators.scale import join_null_safe, stage
 
 # Fixed value: machine epsilon of a double, the usual clipping of probabilities.
 EPSILON = 2.220446049250313e-16
@@ -190,25 +190,49 @@ def pair_classifier(pairs: DataFrame, label: str = "label", threshold: float = 0
 # --- correlation ---------------------------------------------------------------------------------
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by…, value, rank), the average rank of every distinct value.
+def with_average_rank(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """Add `out`, the rank of the value within `by`, from 1; equal values share the mean of their places.
 
-    Equal values are counted first, so a value that fills a third of the rows is one row here; the counts are then added
-    up in the order of the values by ranges.
+    The rows go to ranges of the value's order, where they stay. Equal values may lie in several ranges, as a value can fill a third of the
+    rows: only the least and the largest value of a range can go on in another one, so their places are settled in the
+    table of ranges, and all others within their range.
     """
-    counts = df.groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    placed = running_sums(counts, by, ["value"], {"before": "n"})
-    return placed.select(*by, "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+    order = [F.col(value), F.xxhash64(*df.columns)]
+    placed = stage(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranks")
+    here = [*by, "_range"]
+    each_value = placed.groupBy(*here, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    table = each_value.groupBy(*here).agg(
+        F.sum("_c").alias("_n"), F.min("_v").alias("_low"), F.min_by("_c", "_v").alias("_lows"), F.max("_v").alias("_high"), F.max_by("_c", "_v").alias("_highs")
+    )
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    table = table.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # Of each border value of a group: its first place and how often it occurs in all ranges.
+    low = F.struct(F.col("_low").alias("v"), F.col("_start").alias("at"), F.col("_lows").alias("n"))
+    high = F.struct(F.col("_high").alias("v"), (F.col("_start") + F.col("_n") - F.col("_highs")).alias("at"), F.col("_highs").alias("n"))
+    each = F.explode(F.when(F.col("_low") == F.col("_high"), F.array(low)).otherwise(F.array(low, high)))
+    borders = table.select(*here, each.alias("b")).select(*here, "b.*")
+    whole = W.partitionBy(*by, "v")
+    mean = F.min("at").over(whole) + (F.sum("n").over(whole) + 1) / 2
+    borders = borders.select(*here, "v", mean.alias("mean")).groupBy(*here).agg(
+        F.min_by("mean", "v").alias("_low_rank"), F.max_by("mean", "v").alias("_high_rank")
+    )
+    ranges = stage(join_null_safe(table, borders, here).select(*here, "_low", "_high", "_start", "_low_rank", "_high_rank"), "ranges")
+    local = W.partitionBy(*here)
+    rows = placed.withColumns(
+        {"_first": F.rank().over(local.orderBy(value)), "_ties": F.count(F.lit(1)).over(W.partitionBy(*here, value))}
+    )
+    rows = join_null_safe(rows, ranges, here)
+    inner = F.col("_start") + F.col("_first") + (F.col("_ties") - 1) / 2
+    rank = F.when(F.col(value) == F.col("_low"), F.col("_low_rank")).when(F.col(value) == F.col("_high"), F.col("_high_rank")).otherwise(inner)
+    return rows.withColumn(out, rank).select(*df.columns, out)
 
 
 def pair_correlation(pairs: DataFrame, by: list[str], similarity: str = "similarity", label: str = "label") -> DataFrame:
     """(by…, cosine_pearson, cosine_spearman) of similarity and label; null if either is constant."""
-    ranked = pairs.select(*by, F.col(similarity).alias("x"), F.col(label).cast("double").alias("y"))
-    ranked = stage(ranked, "correlation")
-    joined = ranked
+    joined = pairs.select(*by, F.col(similarity).alias("x"), F.col(label).cast("double").alias("y"))
+    # Each pair carries its ranks along; null values have none.
     for name in ("x", "y"):
-        ranks = average_ranks(ranked, name, by).withColumnsRenamed({"value": name, "rank": f"rank_{name}"})
-        joined = join_null_safe(joined, ranks, [*by, name])
+        joined = with_average_rank(joined.where(F.col(name).isNotNull()), name, by, f"rank_{name}")
     varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
 
     def correlation(a, b):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textlode.operators.knn import grow_index, knn, majority_vote, ranked_labels
+from textlode.operators.knn import grow_index, knn, knn_probe, majority_vote, ranked_labels, recall, train_cells
+from textlode.operators.scale import stage
 from textlode.operators.splits import rows_of
 from textlode.plans import evaluation
 from textlode.plans.catalog import sql
@@ -24,6 +25,23 @@ def j1(spark, folder):
     return _near(spark, folder).select("query_id", "rank", "neighbour_id", F.round("dist", 6).alias("dist"))
 
 
+CELLS, PROBES, ENOUGH = 16, 12, 0.9
+
+
+@query(
+    "j1_probed_recall",
+    f"""WITH {sql.VECS}, {sql.three_way('vecs', 'label_id')}
+    SELECT count(*) AS queries, sum(least(5, (SELECT count(*) FROM split WHERE split = 'train')))::BIGINT AS neighbours, true AS enough
+    FROM split WHERE split = 'test'""",
+)
+def j1_probed(spark, folder):
+    """Approximate neighbours against the exact ones: k-means cells over the index, each query meets the nearest of them."""
+    split = stage(split_embeddings(spark, folder), "split")
+    queries, index = rows_of(split, "test"), rows_of(split, "train")
+    found = knn_probe(queries, index, train_cells(index, CELLS), PROBES)
+    return recall(found, knn(queries, index)).select("queries", "neighbours", (F.col("recall") >= ENOUGH).alias("enough"))
+
+
 @query("j2_neighbour_labels", f"WITH {sql.KNN_SPLIT} SELECT query_id, CAST(rank AS INT) AS rank, label_id FROM near")
 def j2(spark, folder):
     return _near(spark, folder).select("query_id", "rank", "label_id")

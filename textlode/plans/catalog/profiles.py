@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textlode.functions.text import STOP_WORDS, word_count
 from textlode.operators import profile
+from textlode.operators.scale import stage
 from textlode.plans.catalog import sql
 from textlode.plans.catalog.registry import documents, query, rated_documents
 
@@ -121,3 +123,23 @@ STOP_LIST = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
 )
 def a12(spark, folder):
     return profile.word_frequency(documents(spark, folder), TOP_WORDS)
+
+
+HEAVY = 20
+
+
+@query("a12_heavy_words", f"SELECT {HEAVY} AS reported, true AS within_bound, true AS none_missed")
+def a12_heavy(spark, folder):
+    """The sketch against exact counts: every estimate within its bound, and no word missing that is above the last one by more than that."""
+    docs = documents(spark, folder)
+    found = stage(profile.heavy_words(docs, HEAVY), "heavy")
+    exact = stage(profile.word_frequency(docs, 10 * HEAVY), "exact")
+    both = exact.join(found, "word", "full").select("word", "n", "estimate", "bound")
+    bound, last = (F.max(c).over(Window.partitionBy()) for c in ("bound", F.when(F.col("estimate").isNotNull(), -F.col("estimate"))))
+    both = both.select("n", "estimate", bound.alias("bound"), (-last).alias("last"))
+    gap = F.col("estimate") - F.col("n")
+    return both.agg(
+        F.count("estimate").cast("int").alias("reported"),
+        F.bool_and(F.when(F.col("estimate").isNotNull(), F.coalesce(F.abs(gap) <= F.col("bound"), F.lit(False)))).alias("within_bound"),
+        F.bool_and(F.when(F.col("estimate").isNull(), F.col("n") <= F.col("last") + F.col("bound"))).alias("none_missed"),
+    )

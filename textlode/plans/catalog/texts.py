@@ -175,3 +175,16 @@ def j4(spark, folder):
 )
 def t7(spark, folder):
     return text_with_empty(encode_labels(documents(spark, folder)))
+
+
+@query("s12_row_ids", "SELECT lang AS label, count(*) AS rows, count(*) AS ids, true AS same_again FROM documents GROUP BY 1")
+def s12_row_ids(spark, folder):
+    """Keys for rows without one: no two alike, copies included, and the same however the rows are dealt out."""
+    rows = documents(spark, folder).select("text", "label", "source")
+
+    def summed(df, name):
+        ids = clean.with_row_id(df).groupBy("label")
+        return ids.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"), F.bit_xor(F.xxhash64("id")).alias(name))
+
+    once, again = summed(rows, "once"), summed(rows.repartition(7), "again").select("label", "again")
+    return once.join(again, "label").select("label", "rows", "ids", (F.col("once") == F.col("again")).alias("same_again"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textlode.functions import vectors as V
@@ -29,6 +30,25 @@ def v1(spark, folder):
     )
 
 
+HASH_DIM = 16
+
+
+@query(
+    "v1_external_encoder",
+    f"""WITH {sql.DOCS}, words AS (SELECT id, md5(unnest({sql.words('text')})) AS m FROM docs),
+    hits AS (SELECT id, CAST('0x' || substr(m, 1, 8) AS BIGINT) % {HASH_DIM} AS pos, 1 - 2 * (CAST('0x' || substr(m, 9, 1) AS BIGINT) % 2) AS sign FROM words),
+    sums AS (SELECT id, pos, sum(sign)::DOUBLE AS value FROM hits GROUP BY 1, 2),
+    norms AS (SELECT id, sqrt(sum(value * value)) AS len FROM sums GROUP BY 1)
+    SELECT n.id, p.pos, round(CAST(CAST(coalesce(value, 0.0::DOUBLE) / len AS FLOAT) AS DOUBLE), 6) AS value
+    FROM norms n CROSS JOIN (SELECT unnest(range({HASH_DIM})) AS pos) p LEFT JOIN sums s ON s.id = n.id AND s.pos = p.pos WHERE len > 0""",
+)
+def v1_external(spark, folder):
+    """A model from outside, run in batches on the executors; this one's values can be stated in SQL."""
+    vectors = embed.embed_with(documents(spark, folder), embed.hashing_model(HASH_DIM))
+    values = vectors.select("id", F.posexplode("embedding").alias("pos", "value"))
+    return values.select("id", F.col("pos").cast("bigint").alias("pos"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
 @query(
     "v2_l2_normalize",
     f"""WITH {sql.VECS}, s AS (SELECT id, list_transform(v, lambda x: x * (label_id + 2)) AS v FROM vecs),
@@ -135,18 +155,39 @@ def v8(spark, folder):
 
 @query(
     "v9_projection_2d",
-    """SELECT unnest(['before', 'after']) AS stage, least(2000, count(*)) AS rows, true AS uncorrelated, true AS widest_first FROM embeddings""",
+    """SELECT unnest(['before', 'after']) AS stage, least(2000, count(*)) AS rows, true AS uncorrelated, true AS x_is_axis, true AS y_is_axis,
+      true AS two_widest FROM embeddings""",
 )
 def v9(spark, folder):
-    """Facts of any principal axes: they are uncorrelated over the rows they were fitted on, the widest comes first."""
+    """Facts that only the two principal axes have.
+
+    With C the covariance matrix, a unit vector v is an axis if and only if C v is as long as the variance along v, v'Cv. C v is the covariance of the
+    components with the projection, so both are aggregates. The variances have to be the two largest that the sample has.
+    """
     vectors = embeddings(spark, folder)
-    after = vectors.withColumn("embedding", changed())
-    found = embed.project_2d({"before": vectors, "after": after}, label_col="label_id")
-    return found.groupBy("stage").agg(
-        F.count_distinct("id").alias("rows"),
-        (F.abs(F.covar_pop("x", "y")) < 1e-6).alias("uncorrelated"),
-        (F.var_pop("x") >= F.var_pop("y")).alias("widest_first"),
+    versions = {"before": vectors, "after": vectors.withColumn("embedding", changed())}
+    found = stage(embed.project_2d(versions, label_col="label_id"), "projected")
+    all_vectors = [df.select(F.lit(name).alias("stage"), "id", F.col("embedding").cast("array<double>").alias("v")) for name, df in versions.items()]
+    rows = stage(found.join(all_vectors[0].unionByName(all_vectors[1]), ["stage", "id"]), "with-vectors")
+    cells = rows.select("stage", "x", "y", F.posexplode("v").alias("pos", "value"))
+    along = cells.groupBy("stage", "pos").agg(F.covar_pop("value", "x").alias("cx"), F.covar_pop("value", "y").alias("cy"))
+    along = along.groupBy("stage").agg(F.sqrt(F.sum(F.col("cx") ** 2)).alias("cx"), F.sqrt(F.sum(F.col("cy") ** 2)).alias("cy"))
+    # At most 2,000 rows a version, as the projection takes a sample of so many.
+    widest = {name: np.linalg.eigvalsh(np.cov(_matrix(rows.where(F.col("stage") == name)).T, bias=True))[-2:] for name in versions}
+    table = spark.createDataFrame([(name, float(a), float(b)) for name, (b, a) in widest.items()], "stage string, first double, second double")
+    facts = found.groupBy("stage").agg(
+        F.count_distinct("id").alias("rows"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy")
     )
+    facts = facts.join(along, "stage").join(table, "stage")
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-6 * F.col("first")
+    return facts.select(
+        "stage", "rows", (F.abs("c") < 1e-6).alias("uncorrelated"), near("cx", "vx").alias("x_is_axis"), near("cy", "vy").alias("y_is_axis"),
+        (near("vx", "first") & near("vy", "second")).alias("two_widest"),
+    )
+
+
+def _matrix(rows):
+    return np.array([r["v"] for r in rows.select("v").collect()])
 
 
 @query("v10_tfidf", f"WITH {sql.DOCS}, {sql.tfidf()} SELECT id, term, round(weight, 6) AS weight FROM weights")

@@ -49,13 +49,22 @@ def read_json_lines(spark: SparkSession, paths: str | list[str], schema: str | N
     return df.withColumn("main_category", F.url_decode(category))
 
 
+def _place(path: str) -> str:
+    """A pattern for the files of a path, without scheme and host: the path itself or what lies below it."""
+    plain = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "", path).rstrip("/")
+    begin = "^" if plain.startswith("/") else "(?:^|/)"
+    parts = [{"*": "[^/]*", "?": "[^/]"}.get(x) or re.escape(x) for x in re.sub("^[.]/", "", plain)]
+    return begin + "".join(parts).replace("//", "/") + "(?:/|$)"
+
+
 def read_sources(
     spark: SparkSession, paths: dict[str, str], schema: str
 ) -> tuple[DataFrame | None, DataFrame]:
     """Read several JSON-lines sources in one scan; a missing one is reported, not fatal.
 
     Returns the rows, with column main_category, and (source, status, records, bad_lines) per source. `schema` names
-    the fields to read; lines that are not JSON are counted as bad and left out of the rows.
+    the fields to read; lines that are not JSON are counted as bad and left out of the rows. A row's source is known from its file's path; where
+    one source lies within another, the longer path counts. A path may hold the wildcards * and ?.
     """
     present = {name: path for name, path in paths.items() if _path_exists(spark, path)}
     listed = F.explode(F.map_from_arrays(
@@ -68,15 +77,16 @@ def read_sources(
             F.lit(0).cast("bigint").alias("bad_lines"),
         )
         return None, status
-    frames = None
-    for name, path in present.items():
-        reader = spark.read.schema(f"{schema}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT)
-        frame = reader.json(path).withColumn("main_category", F.lit(name))
-        frames = frame if frames is None else frames.unionByName(frame)
+    reader = spark.read.schema(f"{schema}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT)
+    file = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    source = F.lit(None).cast("string")
+    for name, path in sorted(present.items(), key=lambda x: len(x[1])):
+        source = F.when(file.rlike(_place(path)), F.lit(name)).otherwise(source)
+    frame = reader.json(list(dict.fromkeys(present.values()))).withColumn("main_category", source)
     bad = F.col(CORRUPT).isNotNull()
-    counts = frames.groupBy(F.col("main_category").alias("source")).agg(
+    counts = frame.groupBy(F.col("main_category").alias("source")).agg(
         # Counting the whole record makes the scan parse its fields, which is what finds bad lines.
-        F.count(F.when(~bad, F.struct(*[c for c in frames.columns if c != CORRUPT]))).alias("records"),
+        F.count(F.when(~bad, F.struct(*[c for c in frame.columns if c != CORRUPT]))).alias("records"),
         F.count_if(bad).alias("bad_lines"),
     )
     status = sources.join(counts, "source", "left").select(
@@ -85,7 +95,7 @@ def read_sources(
         F.coalesce("records", F.lit(0)).cast("bigint").alias("records"),
         F.coalesce("bad_lines", F.lit(0)).cast("bigint").alias("bad_lines"),
     )
-    return frames.where(~bad).drop(CORRUPT), status
+    return frame.where(~bad).drop(CORRUPT), status
 
 
 def read_csv(
