@@ -114,3 +114,26 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     found = {r["node"]: r["label"] for r in nearjoin.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert found == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_group_of_many_components_stays_linear(spark, monkeypatch):
+    """Texts that share a long passage but are no copies: every two of a group are compared, and few rows are made for that."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {i: " ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(25)]) for i in range(2600)}
+    # Some are copies of others but for a word.
+    for i in range(0, 200, 2):
+        texts[i + 1] = texts[i] + " end"
+    made = []
+    blocks = nearjoin._in_blocks
+
+    def counted(rows, most_rows, most_shingles):
+        out = blocks(rows, most_rows, most_shingles)
+        made.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(nearjoin, "_in_blocks", counted)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(8)
+    found = {r["doc_id"]: r["component_id"] for r in nearjoin.similar_classes(df).collect()}
+    assert found == {i: i - 1 if i < 200 and i % 2 else i for i in texts}
+    assert all(b <= 2 * a for a, b in made)

@@ -299,7 +299,7 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFra
             if found.any():
                 yield pair[found][["key", "node", "label", "n"]]
 
-    rows = _in_blocks(rows.select("key", "node", "label", "n", "sketch"), 1024, 1 << 26)
+    rows = _in_blocks(rows.select("key", "node", "label", "n", "sketch"), 4096, 1 << 26)
     rows = staged(rows.mapInPandas(marked, "key bigint, node bigint, label bigint, n bigint").distinct(), "marked")
     rows = _distinct_groups(rows)
     rows = rows.join(_hashes(rows.select("node"), nodes, docs, words), "node")
@@ -320,7 +320,7 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFra
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    rows = _in_blocks(rows.select("key", "node", "label", "n", "hashes"), 256, 1 << 22)
+    rows = _in_blocks(rows.select("key", "node", "label", "n", "hashes"), 2048, 1 << 22)
     return rows.mapInPandas(linked, "a bigint, b bigint").distinct()
 
 
