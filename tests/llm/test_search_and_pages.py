@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlode.llm import extract, topk, urls
-from textlode.llm.queries import URL_RULES
+from textlode.llm.queries import URL_RULES, page_outcomes
 
 
 def brute_top_k(rows, queries, k):
@@ -111,6 +111,55 @@ def test_posteriors_shrink(spark):
     assert {r["rate"] for r in empty} == {0.5}
 
 
+def test_outcomes_of_many_pages_count_as_often(spark):
+    hosts = spark.createDataFrame([("a.x.org",), ("b.x.org",)], "host string")
+    rows = [("a.x.org", 1, 7), ("a.x.org", 0, 2), ("b.x.org", 0, 5)]
+    counted = spark.createDataFrame(rows, "host string, good int, pages bigint")
+    each = spark.createDataFrame([(h, g) for h, g, n in rows for _ in range(n)], "host string, good int")
+    assert sorted(urls.host_posteriors(counted, hosts).collect()) == sorted(urls.host_posteriors(each, hosts).collect())
+    none = urls.judge(hosts.select(F.concat(F.lit("http://"), "host").alias("url")), each.where("false"), [])
+    assert {r["verdict"] for r in none.collect()} == {"allow"}
+
+
+def test_suffixes_are_a_parameter(spark):
+    df = spark.createDataFrame([("a.b.or.at",)], "h string")
+    got = df.select(urls.domain_of(F.col("h"), ["or.at"]), urls.suffix_of(F.col("h"), ["or.at"]), urls.domain_of(F.col("h"))).first()
+    assert tuple(got) == ("b.or.at", "or.at", "or.at")
+
+
+#: Texts that begin with the same long line, so that only the whole text tells them apart.
+OPENING = "the same long opening of every one of these texts goes on for more than sixty characters & has <signs> in it"
+
+
+def test_outcomes_compare_whole_articles(spark):
+    """Openings and headings are alike; what follows decides. Copies, differing labels, nulls and empty texts."""
+
+    def shown(i, text):
+        parts = "</p>\n <p>".join(line.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") for line in text.split("\n"))
+        return page(f"<h1>{OPENING[:60]}</h1><p>{parts}</p>", '<div class="ad">buy it now please</div>')
+
+    texts = [f"{OPENING}\n" + f"line  {i % 12} of a\u00a0text " * 9 + "\nthe end" for i in range(60)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(60, None), (61, ""), (None, texts[0]), (62, " \n ")]
+    # Of each text five copies: those of 0 to 5 are good, of 6 to 11 not; of text 0 a minority is not, of text 1 labels of one copy differ.
+    labels = [(i, int(i % 12 < 6), 0) for i in range(60)] + [(12, 0, 0), (24, 1, 1), (1, 0, 0), (60, 0, 0), (61, 0, 0), (62, 0, 0), (None, 0, 0), (2, None, 0)]
+    good = {t: int(i % 12 < 6) for i, t in enumerate(texts)}
+    pages = [(i, f"http://{'ok' if i % 12 < 6 else 'bad'}.s{i % 12}.org/", shown(i, t)) for i, t in enumerate(texts)]
+    pages += [(100, "http://other.org/", shown(0, texts[0] + " and more")), (101, "http://empty.org", None), (102, None, shown(0, texts[7])), (103, "http://empty.org", "")]
+    pages += [(104, "http://plain.org/", f"<article><p>{texts[3].replace('&', '&amp;').replace('<', '&lt;')}</p></article>")]
+    frames = [
+        spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(5),
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"),
+    ]
+    found = {(r["host"], r["good"]): r["pages"] for r in page_outcomes(*frames).collect()}
+    want = {(f"{'ok' if i < 6 else 'bad'}.s{i}.org", good[texts[i]]): 5 for i in range(12)} | {("", 0): 1, ("plain.org", 1): 1}
+    assert found == want
+    said = {r["page_id"]: r["verdict"] for r in urls.judge(frames[0], page_outcomes(*frames), [], threshold=0.5).collect()}
+    assert all(said[i] == ("allow" if i % 12 < 6 else "block") for i in range(60))
+    assert page_outcomes(frames[0].where("false"), *frames[1:]).count() == 0
+    assert page_outcomes(frames[0], frames[1].where("false"), frames[2]).count() == 0
+
+
 def test_registered_domains(spark):
     df = spark.createDataFrame([("a.b.co.uk",), ("a.b.com",), ("com",), ("",)], "h string")
     got = df.select(urls.domain_of(F.col("h")), urls.suffix_of(F.col("h"))).collect()

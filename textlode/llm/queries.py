@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.llm import chat, extract, language, merkle, mixing, nearjoin, packing, piece_bpe, quality, topk, toxicity, trie, urls
@@ -139,22 +139,37 @@ URL_RULES = [
 ]
 
 
+#: What does not count when texts are compared: white space of any kind and the separators U+001C to U+001F.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
+
+
+def text_key(text: Column) -> Column:
+    """Digest of a whole text without its white space; null for a text that has nothing else."""
+    bare = F.regexp_replace(text, SPACE, "")
+    return F.when(bare != "", F.md5(bare))
+
+
 def page_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, good), one row per page whose article is a labelled document: good if most documents that open like it are.
+    """(host, good, pages): pages of a host whose article is the text of a labelled document, good if most documents of that text are.
 
-    A page's heading is the opening of its article's text, its first line cut at 60 escaped characters.
+    The article is the page's whole main text, with or without its first line, which may be a heading. Texts are compared as digests
+    of all they hold but white space. A document whose labels differ is good if all say so; a tie of documents is good. Each text's
+    labels and each host's pages of one text are counted before they meet, so that a text of many copies is one row a host.
     """
     labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     labels = labels.groupBy("doc_id").agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("good"))
-    line = F.substring_index("text", "\n", 1)
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        line = F.replace(line, F.lit(char), F.lit(name))
-    opening = F.trim(F.substring(line, 1, 60))
-    openings = docs.select("doc_id", opening.alias("heading")).where("heading <> ''").join(labels, "doc_id")
-    openings = openings.groupBy("heading").agg(F.when(2 * F.sum("good") >= F.count(F.lit(1)), 1).otherwise(0).alias("good"))
-    heading = F.trim(F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1))
-    found = pages.select(urls.host_of(F.col("url")).alias("host"), heading.alias("heading"))
-    return found.join(openings, "heading").select("host", "good")
+    texts = docs.select("doc_id", text_key(F.col("text")).alias("key")).where("key IS NOT NULL").join(labels, "doc_id")
+    texts = texts.groupBy("key").agg(F.when(2 * F.sum("good") >= F.count(F.lit(1)), 1).otherwise(0).alias("good"))
+    found = extract.extract(pages.select("page_id", "url", "html"), extract.weights_of(pages))
+    behind = F.regexp_replace("text", r"^[^\n]*\n?", "")
+    keys = F.array_distinct(F.array_compact(F.array(text_key(behind), text_key(F.col("text")))))
+    # Written once: the text is searched by one pass, whatever reads the keys.
+    found = staged(found.select(urls.host_of(F.col("url")).alias("host"), keys.alias("keys")), "articles")
+    found = found.groupBy("host", "keys").agg(F.count(F.lit(1)).alias("pages"))
+    tried = found.select("host", "keys", "pages", F.posexplode("keys").alias("nth", "key")).join(texts, "key")
+    # Behind the heading first: a page counts once.
+    one = tried.groupBy("host", "keys").agg(F.first("pages").alias("pages"), F.min(F.struct("nth", "good")).alias("of"))
+    return one.select("host", F.col("of.good").alias("good"), "pages")
 
 
 @query(
@@ -172,13 +187,19 @@ found AS (
 labelled AS (
   SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels
   WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
-openings AS (
-  SELECT heading, CASE WHEN 2 * sum(good) >= count(*) THEN 1 ELSE 0 END AS good
-  FROM (SELECT doc_id, trim(substr(replace(replace(replace(replace(replace(split_part(text, chr(10), 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), 1, 60)) AS heading FROM documents)
-  JOIN labelled USING (doc_id) WHERE heading <> '' GROUP BY heading),
+texts AS (
+  SELECT key, CASE WHEN 2 * sum(good) >= count(*) THEN 1 ELSE 0 END AS good
+  FROM (SELECT doc_id, md5(regexp_replace(text, '[\s\p{Z}\x0b\x1c-\x1f\x85]+', '', 'g')) AS key FROM documents)
+  JOIN labelled USING (doc_id) WHERE key <> md5('') GROUP BY key),
+articles AS (
+  SELECT host, regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '(?s)<h1[^>]*>.*?</h1>', '') AS marked FROM parsed),
+bare AS (
+  SELECT host, regexp_replace(regexp_replace(marked, '(?s)<(aside|nav|form|script|style)\b.*?</(aside|nav|form|script|style)>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g') AS escaped FROM articles),
+plain AS (
+  SELECT host, replace(replace(replace(replace(replace(replace(escaped, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&') AS article FROM bare),
 seen AS (
   SELECT host, count(*) AS n, sum(good) AS good
-  FROM (SELECT host, trim(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS heading FROM parsed) JOIN openings USING (heading) GROUP BY host),
+  FROM (SELECT host, md5(regexp_replace(article, '[\s\p{Z}\x0b\x1c-\x1f\x85]+', '', 'g')) AS key FROM plain) JOIN texts USING (key) GROUP BY host),
 labels_of AS (SELECT DISTINCT host, string_split(host, '.') AS part FROM parsed),
 units AS (
   SELECT host, coalesce(n, 0) AS n, coalesce(good, 0) AS good,
@@ -196,7 +217,7 @@ h0 AS (SELECT host, n::DOUBLE AS n, good::DOUBLE AS good, m FROM units JOIN d2 U
 h1 AS (SELECT 1 / least(0.5, greatest(1e-4, CASE WHEN sum(n * (n - 1) * m * (1 - m)) <> 0 THEN sum((good - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) ELSE 1e-4 END)) - 1 AS k FROM h0),
 h2 AS (SELECT host, (good + k * m) / (n + k) AS rate, n + k AS weight FROM h0, h1)
 SELECT page_id, host, path, rule,
-  coalesce(says, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) >= 0.6 THEN 'allow' ELSE 'block' END) AS verdict
+  coalesce(says, CASE WHEN (SELECT sum(n) FROM units) > 0 AND rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) < 0.6 THEN 'block' ELSE 'allow' END) AS verdict
 FROM parsed LEFT JOIN found USING (page_id) LEFT JOIN h2 USING (host)""",
 )
 def url_filters(spark: SparkSession, folder: str) -> DataFrame:
