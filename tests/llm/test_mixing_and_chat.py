@@ -88,3 +88,22 @@ def test_long_conversations_come_in_parts(spark):
     assert [(r["conv_id"], r["part"], r["n_turns"]) for r in found] == [(1, 0, 256), (1, 1, 256), (1, 2, 88)]
     assert "".join(r["text"] for r in found) == "".join(f"<|user|>\nt{i}<|end|>\n" for i in range(600))
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_turns_without_number_come_first(spark):
+    rows = [(1, 0, "user", "b", ""), (1, None, "user", "z", ""), (1, None, "system", "y", ""), (2, None, "system", "y", ""), (2, 7, "user", "z", "")]
+    found = chat.format_chats(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    lines = "<|system|>\ny<|end|>\n<|user|>\nz<|end|>\n<|user|>\nb<|end|>\n"
+    assert [(r["conv_id"], r["n_turns"], r["text"]) for r in found] == [(1, 3, lines)]
+
+
+def test_a_long_conversation_is_cut_into_ranges(spark):
+    """No window over a whole conversation: each is by range, too."""
+    rows = [(1, i, "user", f"t{i % 3}", "") for i in range(3000)] + [(2, i, "user", f"t{i % 3}", "") for i in range(2999)] + [(3, 0, "user", "t0", "")]
+    turns = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    hashed = chat.prefixes(chat.numbered_turns(turns.select("conv_id", "turn", "role", "text")))
+    windows = [line for line in hashed._jdf.queryExecution().analyzed().toString().split("\n") if "windowspecdefinition" in line]
+    assert windows and all("_range" in line for line in windows)
+    assert [r["conv_id"] for r in chat.maximal(hashed).collect()] == [1]
+    ends = {r["conv_id"]: (r["place"], r["h0"]) for r in hashed.where("place in (2999)").collect()}
+    assert ends[1] == ends[2]

@@ -8,9 +8,12 @@ the maximal conversations are rendered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlode.llm.common import staged
+from textlode.operators.scale import running_sums
+
 #: Turns of a rendered part: longer conversations have several parts, so that no row grows without bound.
 PART_TURNS = 256
 
@@ -25,16 +28,23 @@ def _turns(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_c
     return out.where(F.col("conv_id").isNotNull())
 
 
+def numbered_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, place, role, text) of the distinct turns, place from 1 in the order of turn number (null first), role and text."""
+    ones = turns.distinct().withColumn("_one", F.lit(1).cast("bigint"))
+    placed = running_sums(ones, ["conv_id"], ["turn", "role", "text"], {"_before": "_one"})
+    return placed.select("conv_id", (F.col("_before") + 1).alias("place"), "role", "text")
+
+
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, place, role, text, h0 to h3): place from 1, the hashes those of the conversation up to here."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    out = turns.distinct().withColumn("place", F.row_number().over(order))
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """(conv_id, place, h0 to h3) of numbered turns: the hashes are those of the conversation up to here.
 
+    Running sums over ranges of the order, without the texts: a long conversation is no one task's work.
+    """
+    names = [f"h{i}" for i in range(4)]
     # Four sums of 32-bit hashes, 128 bits in all, which cannot overflow for 2 ** 31 turns.
-    half = [F.xxhash64(F.lit(salt), "place", "role", "text").bitwiseAND(F.lit(2**32 - 1)) for salt in range(4)]
-    sums = [F.sum(h).over(so_far).alias(f"h{i}") for i, h in enumerate(half)]
-    return out.select("conv_id", "turn", "place", "role", "text", *sums)
+    half = [F.xxhash64(F.lit(salt), "place", "role", "text").bitwiseAND(F.lit(2**32 - 1)).alias(f"_{h}") for salt, h in enumerate(names)]
+    summed = running_sums(turns.select("conv_id", "place", *half), ["conv_id"], ["place"], {h: f"_{h}" for h in names})
+    return summed.select("conv_id", "place", *[(F.col(h) + F.col(f"_{h}")).alias(h) for h in names])
 
 
 def maximal(hashed: DataFrame) -> DataFrame:
@@ -57,13 +67,12 @@ def format_chats(
 ) -> DataFrame:
     """(conv_id, part, n_turns, text): the maximal conversations, rendered in parts of PART_TURNS turns (part from 0).
 
-    Turns are ordered by turn number, then role and text (null as empty). Turns that occur twice count once; rows without conversation id are
-    left out, other columns are not read. An empty table gives an empty table.
+    Turns are ordered by turn number (null first), then role and text (null as empty). Turns that occur twice count once; rows without
+    conversation id are left out, other columns are not read. An empty table gives an empty table.
     """
-    from textlode.llm.common import staged
-
-    hashed = staged(prefixes(_turns(turns, conv_col, turn_col, role_col, text_col)), "turns")
-    kept = hashed.join(maximal(hashed), "conv_id", "left_semi")
+    turns = staged(numbered_turns(_turns(turns, conv_col, turn_col, role_col, text_col)), "turns")
+    hashed = staged(prefixes(turns), "prefixes")
+    kept = turns.join(maximal(hashed), "conv_id", "left_semi")
     part = F.floor((F.col("place") - 1) / PART_TURNS).cast("int")
     kept = kept.select("conv_id", part.alias("part"), "place", render(F.col("role"), F.col("text")).alias("line"))
     lines = F.sort_array(F.collect_list(F.struct("place", "line")))

@@ -116,7 +116,7 @@ WITH turns AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 lines AS (
   SELECT conv_id, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM turns),
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM turns),
 prefixes AS (
   SELECT *, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS so_far,
     count(*) OVER (PARTITION BY conv_id) AS turns FROM lines),
