@@ -8,6 +8,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from textlode.llm import language, toxicity
@@ -204,3 +205,72 @@ def test_toxic_words_of_a_smaller_language_get_weight(spark):
     found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert sum(found[i] >= 0.5 for i in range(1, 40, 2)) >= 15
     assert sum(found[i] < 0.5 for i in range(0, 40, 2)) >= 18
+
+
+def plain_kneser_ney(texts, order=4):
+    """Log probability of an n-gram by the textbook, with dictionaries of strings; a border is a blank."""
+    from collections import Counter, defaultdict
+
+    counts = {k: Counter() for k in range(1, order + 1)}
+    for text in texts:
+        words = "".join(c.lower()[0] if c.isalpha() else " " for c in text).split()
+        row = " " * (order - 1) + " ".join(words) + " "
+        counts[order].update(row[i : i + order] for i in range(len(row) - order + 1) if words)
+    for k in range(order - 1, 0, -1):
+        counts[k].update(gram[1:] for gram in counts[k + 1])
+    cuts = {k: language.discount(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())) for k, c in counts.items()}
+    totals, kinds = defaultdict(int), defaultdict(int)
+    for k, c in counts.items():
+        for gram, n in c.items():
+            totals[k, gram[:-1]] += n
+            kinds[k, gram[:-1]] += 1
+
+    def probability(gram, floor):
+        if not gram:
+            return floor
+        k, context = len(gram), gram[:-1]
+        below = probability(gram[1:], floor)
+        if (k, context) not in totals:
+            return below
+        n = counts[k][gram]
+        return (n - cuts[k] if n else 0) / totals[k, context] + cuts[k] * kinds[k, context] / totals[k, context] * below
+
+    return probability, {gram for gram in counts[1]}
+
+
+def test_probabilities_equal_plain_kneser_ney(spark):
+    texts = {
+        "en": ["The cat sat on the mat.", "the Hat; the bat, the rat", "a cat and a rat", "", "...", "sat"],
+        "de": ["Die Katze saß auf der Matte", "der Hut, die Ratte", "ä ö ü", "die die die Katze"],
+    }
+    rows = [(text, lang) for lang, own in texts.items() for text in own]
+    counts = language.count_grams(spark.createDataFrame(rows, "text string, lang string").repartition(3)).toPandas()
+    model = language.fit(counts)
+    plain = {lang: plain_kneser_ney(own) for lang, own in texts.items()}
+    floor = 1.0 / (len(plain["en"][1] | plain["de"][1]) + 1)
+    for gram in ["   t", "the ", "cat ", " the", "katz", "e ka", "zzzz", "hexe", "aß a", "q   ", "atte"]:
+        key = 0
+        for c in gram:
+            key = key << 16 | (0 if c == " " else ord(c))
+        got = language.log_probs(model, np.array([key], np.uint64))[0]
+        for column, lang in enumerate(model.langs):
+            assert got[column] == pytest.approx(np.log(plain[lang][0](gram, floor)), abs=1e-4), (gram, lang)
+
+
+def test_long_texts_do_not_empty_the_calibration(spark, monkeypatch):
+    """Wherever the order puts them: the longest give way, the others stay."""
+    monkeypatch.setattr(language, "CALIBRATION_CHARS", 1000)
+    rows = [(i, "word " * (1000 if i < 5 else 2), "en" if i % 2 else "de") for i in range(60)] + [(None, "no id", "en"), (None, "word " * 900, "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    texts, truth = language.calibration(docs, "doc_id", "text", "lang")
+    assert len(texts) == len(truth) == 56 and max(map(len, texts)) <= 10
+    assert language.calibration(docs.where("doc_id < 5"), "doc_id", "text", "lang") == ([], [])
+    assert language.train(docs.where("doc_id < 5")).langs == ["de", "en"]
+
+
+def test_rounds_keep_every_batch():
+    batches = [pd.Series(["abc", None]), pd.Series([], dtype=object), pd.Series(["x" * 10]), pd.Series(["y"])]
+    for chars in (0, 3, 4, 14, 100):
+        found = list(language.rounds(iter(batches), chars))
+        assert [id(b) for held in found for b in held] == [id(b) for b in batches]
+    assert len(list(language.rounds(iter(batches), 0))) == 4 and len(list(language.rounds(iter(batches), 100))) == 1
