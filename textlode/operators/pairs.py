@@ -13,7 +13,7 @@ from textlode.functions.keys import SEED, draw
 from textlode.operators.cuts import keyed, range_lookup, rows_at
 from textlode.operators.scale import running_sums, stage, with_sides
 from textlode.operators.splits import share_out
-from textlode.operators.tfidf import pair_similarity
+from textlode.operators.tfidf import exploded, inverse_frequency, vectors
 
 
 def class_table(df: DataFrame, label_col: str = "label") -> tuple[DataFrame, int]:
@@ -168,6 +168,52 @@ def outside_positions(drawn: DataFrame, candidates: int, seed: int) -> DataFrame
     return spread.withColumn("spot", spot).drop("_outside", "_count")
 
 
+#: Numbers of a draw's anchor and of its partner in the same class; candidates of other classes count from 0.
+ANCHOR, PARTNER = -2, -1
+
+
+def own_places(drawn: DataFrame) -> DataFrame:
+    """(draw_id, nth, grp, pos, total): where the anchor and the partner of each draw stand in their class."""
+    ends = [
+        F.struct(F.lit(n).cast("bigint").alias("nth"), F.col("label").alias("grp"), F.col(pos).cast("bigint").alias("pos"), F.col("n").alias("total"))
+        for n, pos in ((ANCHOR, "pos_a"), (PARTNER, "pos_b"))
+    ]
+    return drawn.select("draw_id", F.explode(F.array(*ends)).alias("e")).select("draw_id", "e.*")
+
+
+def other_places(drawn: DataFrame, classes: DataFrame, candidates: int, seed: int) -> DataFrame:
+    """(draw_id, nth, grp, pos, total): where the candidates of each draw stand in classes other than its own."""
+    spots = outside_positions(drawn, candidates, seed).select("draw_id", "nth", "spot", "everything")
+    ranges = classes.select(F.col("label").alias("grp"), "start", "n", F.col("n").alias("total"), "everything")
+    found = range_lookup(spots, ranges, [], "spot", "everything").withColumnRenamed("_within", "pos")
+    return found.select("draw_id", "nth", "grp", "pos", "total")
+
+
+def hardest_of(df: DataFrame, members: DataFrame, candidates: int, id_col: str, text_col: str) -> DataFrame:
+    """(draw_id, id_a, id_b, similarity): for each anchor the most similar of its candidates.
+
+    `members` has (draw_id, nth, id) and is staged. Similarity is the TF-IDF cosine; ties go to the first candidate drawn. The
+    term vectors of the documents wanted go to their draws once: a draw, which holds a bounded number of documents, is scored in place.
+    """
+    sought = members.where(F.col("nth") != PARTNER).select("draw_id", "nth", "id")
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sought.select("id").distinct(), "id", "left_semi")
+    found = vectors(docs, inverse_frequency(df, text_col)).join(sought, "id").select("draw_id", "nth", "length", "terms")
+    terms = exploded(found.repartition("draw_id"), "draw_id", "nth")
+    # A column a candidate: sums of products then need no lists.
+    tries = range(candidates)
+    met = terms.groupBy("draw_id", "term").agg(*[F.max(F.when(F.col("nth") == n, F.col("weight"))).alias(f"_{n}") for n in (ANCHOR, *tries)])
+    products = [F.struct(F.lit(n).cast("bigint").alias("nth"), F.col(f"sum_{n}").alias("similarity")) for n in tries]
+    scores = met.groupBy("draw_id").agg(*[F.sum(F.col(f"`_{ANCHOR}`") * F.col(f"_{n}")).alias(f"sum_{n}") for n in tries])
+    scores = scores.select("draw_id", F.explode(F.array(*products)).alias("s")).select("draw_id", "s.*")
+    scored = sought.join(scores, ["draw_id", "nth"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    # Sums come in any order, so equal texts may differ in the last digits: those must not decide.
+    near = F.round("similarity", 9).alias("near")
+    best = F.struct(near, (-F.col("nth")).alias("first"), F.col("id"), F.col("similarity"))
+    anchor = F.col("nth") == ANCHOR
+    found = scored.groupBy("draw_id").agg(F.max(F.when(anchor, F.col("id"))).alias("id_a"), F.max(F.when(~anchor, best)).alias("best"))
+    return found.where("best IS NOT NULL").select("draw_id", "id_a", F.col("best.id").alias("id_b"), "best.similarity")
+
+
 def hardest_negatives(
     df: DataFrame,
     anchors: DataFrame,
@@ -178,24 +224,10 @@ def hardest_negatives(
     text_col: str,
     seed: int,
 ) -> DataFrame:
-    """(draw_id, id_a, id_b, similarity): for each anchor the most similar of a few rows of other classes.
-
-    `anchors` has (draw_id, id_a, n, start, everything). Similarity is the TF-IDF cosine;
-    ties go to the first candidate drawn.
-    """
-    spots = outside_positions(anchors, candidates, seed).select("draw_id", "id_a", "nth", "spot", "everything")
-    ranges = classes.select(F.col("label").alias("grp"), "start", "n", F.col("n").alias("total"), "everything")
-    placed = range_lookup(spots, ranges, [], "spot", "everything").withColumnRenamed("_within", "pos")
-    placed = placed.select("draw_id", "id_a", "nth", "grp", "pos", "total")
-    picked = pick(df, id_col, label_col, placed, seed)
-    tries = picked.select("draw_id", "nth", "id_a", F.col("id").alias("id_b"))
-    scored = pair_similarity(df, tries, ["draw_id", "nth"], id_col, text_col)
-    # Sums come in any order, so equal texts may differ in the last digits: those must not decide.
-    near = F.round("similarity", 9).alias("near")
-    best = F.struct(near, -F.col("nth"), F.col("id_a"), F.col("id_b"), F.col("similarity"))
-    return scored.groupBy("draw_id").agg(F.max(best).alias("best")).select(
-        "draw_id", "best.id_a", "best.id_b", "best.similarity"
-    )
+    """`hardest_of` for anchors already looked up: (draw_id, id_a, n, start, everything)."""
+    found = pick(df, id_col, label_col, other_places(anchors, classes, candidates, seed), seed).select("draw_id", "nth", "id")
+    known = anchors.select("draw_id", F.lit(ANCHOR).cast("bigint").alias("nth"), F.col("id_a").alias("id"))
+    return hardest_of(df, stage(found.unionByName(known), "members"), candidates, id_col, text_col)
 
 
 def hard_negative_pairs(
@@ -210,17 +242,12 @@ def hard_negative_pairs(
     """num_samples // 2 positive pairs (label 1), each with a hard negative of its anchor (label 0)."""
     draws = num_samples // 2
     drawn, classes, _ = drawn_classes(df, label_col, draws, seed)
-    wanted = pair_positions(drawn, seed).select(
-        "draw_id",
-        "n",
-        "start",
-        "everything",
-        F.explode(F.array(side("a", "label", "pos_a", "n"), side("b", "label", "pos_b", "n"))).alias("s"),
-    )
-    wanted = wanted.select("draw_id", "n", "start", "everything", "s.*")
-    picked = pick(df, id_col, label_col, wanted, seed)
-    positives = stage(pivot_sides(picked, ["draw_id", "n", "start", "everything"], "ab"), "positives")
-    negatives = hardest_negatives(df, positives, classes, candidates, id_col, label_col, text_col, seed)
+    drawn = pair_positions(drawn, seed)
+    # Anchors, partners and candidates are looked up at once.
+    places = own_places(drawn).unionByName(other_places(drawn, classes, candidates, seed))
+    members = stage(pick(df, id_col, label_col, places, seed).select("draw_id", "nth", "id"), "members")
+    positives = ends_of(members)
+    negatives = hardest_of(df, members, candidates, id_col, text_col)
     both = positives.select((F.col("draw_id") * 2).alias("pair_id"), "id_a", "id_b", F.lit(1).alias("label"))
     both = both.unionByName(
         negatives.select((F.col("draw_id") * 2 + 1).alias("pair_id"), "id_a", "id_b", F.lit(0).alias("label"))
@@ -228,6 +255,13 @@ def hard_negative_pairs(
     return with_text(df, both, id_col, text_col)
 
 
+def ends_of(members: DataFrame) -> DataFrame:
+    """(draw_id, id_a, id_b): anchor and partner of each draw."""
+    ends = {"id_a": ANCHOR, "id_b": PARTNER}
+    found = members.where(F.col("nth") < 0).groupBy("draw_id")
+    return found.agg(*[F.max(F.when(F.col("nth") == n, F.col("id"))).alias(name) for name, n in ends.items()])
+
+
 def pair_of_number(df: DataFrame, number: str) -> DataFrame:
     """Add pos_a < pos_b: the pair of positions below n that a number below n(n-1)/2 stands for.
 
@@ -296,16 +330,15 @@ def validation_pairs(
         }
     )
     places = pair_of_number(places, "number")
-    sides = F.array(side("a", "label", "pos_a", "n"), side("b", "label", "pos_b", "n"))
-    keep = ["draw_id", "positive", "n", "start", "everything"]
-    chosen = places.select(*keep, F.explode(sides).alias("s")).select(*keep, "s.*")
-    picked = stage(
-        pivot_sides(pick(df, id_col, label_col, chosen, seed), keep, "ab"), "validation"
+    places = places.select("draw_id", "positive", "label", "pos_a", "pos_b", "n", "start", "everything")
+    odd = other_places(places.where("not positive"), classes, candidates, seed)
+    wanted = own_places(places.where("positive")).withColumn("positive", F.lit(True)).unionByName(
+        own_places(places.where("not positive")).where(F.col("nth") == ANCHOR).unionByName(odd).withColumn("positive", F.lit(False))
     )
-    positives = picked.where("positive").select("draw_id", "id_a", "id_b", F.lit(1).alias("label"))
-    negatives = hardest_negatives(
-        df, picked.where("not positive"), classes, candidates, id_col, label_col, text_col, seed
-    ).select("draw_id", "id_a", "id_b", F.lit(0).alias("label"))
+    members = stage(pick(df, id_col, label_col, wanted, seed).select("draw_id", "positive", "nth", "id"), "members")
+    positives = ends_of(members.where("positive")).withColumn("label", F.lit(1))
+    negatives = hardest_of(df, members.where("not positive"), candidates, id_col, text_col)
+    negatives = negatives.select("draw_id", "id_a", "id_b", F.lit(0).alias("label"))
     both = positives.unionByName(negatives).withColumnRenamed("draw_id", "pair_id")
     return with_text(df, both, id_col, text_col)
 

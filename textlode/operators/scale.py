@@ -49,15 +49,18 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner")
 
 
 def with_sides(pairs: DataFrame, table: DataFrame, keys: list[str], id_col: str, value_col: str, name: str) -> DataFrame:
-    """Add name_a and name_b, the values of a table's rows id_a and id_b, to pairs told apart by `keys`."""
-    ends = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"id_{s}").alias("id")) for s in "ab"])
-    values = table.select(F.col(id_col).alias("id"), F.col(value_col).alias("value"))
-    sides = pairs.select(*keys, F.explode(ends).alias("e")).select(*keys, "e.*")
-    found = values.join(stage(sides, "sides"), "id")
-    wide = found.groupBy(*keys).agg(
-        *[F.first(F.when(F.col("side") == s, F.col("value")), ignorenulls=True).alias(f"{name}_{s}") for s in "ab"]
+    """Add name_a and name_b, the values of a table's rows id_a and id_b, to pairs told apart by `keys`.
+
+    The pairs' own columns travel with their ends, so the values are grouped once and not joined back.
+    """
+    ends = F.array(*[F.struct(F.lit(s).alias("_side"), F.col(f"id_{s}").alias("_id")) for s in "ab"])
+    values = table.select(F.col(id_col).alias("_id"), F.col(value_col).alias("_value"))
+    sides = stage(pairs.select("*", F.explode(ends).alias("_end")).select(*pairs.columns, "_end.*"), "sides")
+    wide = values.join(sides, "_id").groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in pairs.columns if c not in keys],
+        *[F.first(F.when(F.col("_side") == s, F.col("_value")), ignorenulls=True).alias(f"{name}_{s}") for s in "ab"],
     )
-    return pairs.join(wide, keys)
+    return wide.select(*pairs.columns, f"{name}_a", f"{name}_b")
 
 
 def running_sums(df: DataFrame, by: list[str], order: list, sums: dict[str, str]) -> DataFrame:

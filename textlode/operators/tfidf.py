@@ -24,8 +24,8 @@ def inverse_frequency(df: DataFrame, text_col: str = "text") -> DataFrame:
     return per_term.withColumn("idf", F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0)
 
 
-def weights(docs: DataFrame, idf: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, term, weight) of the documents, each scaled to length 1. `idf` is staged, so its bytes are known.
+def vectors(docs: DataFrame, idf: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, length, terms) of the documents with a term: the length of the vector and its sorted (term, raw) before scaling.
 
     The texts are shuffled once by id; counting terms and scaling documents then stay in place. A frequent term of a vocabulary too
     large to broadcast is a skewed key of a plain join, which is split at run time.
@@ -39,11 +39,20 @@ def weights(docs: DataFrame, idf: DataFrame, id_col: str = "id", text_col: str =
     found = counts.join(idf.select("term", "idf"), "term")
     raw = found.select("id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     # One document's terms: as large as the document, which already is one value.
-    per_doc = raw.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "raw"))).alias("terms"))
+    per_doc = raw.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "raw"))).alias("terms"))
     length = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["raw"] * t["raw"]))
-    return per_doc.withColumn("length", length).select("id", "length", F.explode("terms").alias("t")).select(
-        "id", "t.term", (F.col("t.raw") / F.col("length")).alias("weight")
-    )
+    return per_doc.select("id", length.alias("length"), "terms")
+
+
+def exploded(found: DataFrame, *keep: str) -> DataFrame:
+    """(keep…, term, weight) of `vectors`, each scaled to length 1."""
+    rows = found.select(*keep, "length", F.explode("terms").alias("t"))
+    return rows.select(*keep, "t.term", (F.col("t.raw") / F.col("length")).alias("weight"))
+
+
+def weights(docs: DataFrame, idf: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, term, weight) of the documents, each scaled to length 1."""
+    return exploded(vectors(docs, idf, id_col, text_col), "id")
 
 
 def tfidf(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -60,9 +69,9 @@ def pair_similarity(df: DataFrame, pairs: DataFrame, keys: list[str], id_col: st
     pairs = stage(pairs, "tries")
     needed = stage(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "needed")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
-    vectors = stage(weights(docs, idf), "vectors")
-    left = vectors.select(F.col("id").alias("id_a"), "term", F.col("weight").alias("weight_a"))
-    right = vectors.select(F.col("id").alias("id_b"), "term", F.col("weight").alias("weight_b"))
+    scaled = stage(weights(docs, idf), "vectors")
+    left = scaled.select(F.col("id").alias("id_a"), "term", F.col("weight").alias("weight_a"))
+    right = scaled.select(F.col("id").alias("id_b"), "term", F.col("weight").alias("weight_b"))
     # A row of a small class may be in a third of the pairs: a skewed key, split at run time.
     matched = left.join(pairs, "id_a").join(right, ["id_b", "term"])
     scores = matched.groupBy(*keys).agg(F.sum(F.col("weight_a") * F.col("weight_b")).alias("similarity"))
