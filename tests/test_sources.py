@@ -80,6 +80,18 @@ def test_label_lines(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_label_lines_keep_control_characters(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"X one\x01two \x02 three\x00\x7f end\nY a\tb\x01\n")
+    got = sorted(tuple(r) for r in readers.read_label_lines(spark, str(tmp_path / "a")).collect())
+    assert got == [("X", "one\x01two \x02 three\x00\x7f end"), ("Y", "a\tb\x01")]
+
+
+def test_label_lines_in_utf8(spark, tmp_path):
+    (tmp_path / "a").write_bytes("X café\n".encode() + b"Y bad \xff byte\r\n")
+    got = sorted(tuple(r) for r in readers.read_label_lines(spark, str(tmp_path / "a"), "UTF-8").collect())
+    assert got == [("X", "café"), ("Y", "bad \ufffd byte")]
+
+
 def test_label_files_keep_their_origin(spark, tmp_path):
     (tmp_path / "a").write_text("X one\nY two\n")
     (tmp_path / "b").write_text("X three\n")

@@ -125,17 +125,14 @@ def read_csv_corpus(spark: SparkSession, path: str | list[str], schema: str | No
 
 
 def read_label_lines(spark: SparkSession, paths: str | list[str], encoding: str = "ISO-8859-1") -> DataFrame:
-    """(label, text) from lines `label text`; lines without a blank are left out."""
-    # The csv source with a separator that never occurs, as the text source reads UTF-8 only.
-    lines = (
-        spark.read.schema("line string")
-        .option("sep", "\u0001")
-        .option("quote", "")
-        .option("encoding", encoding)
-        .option("ignoreLeadingWhiteSpace", "false")
-        .option("ignoreTrailingWhiteSpace", "false")
-        .csv(paths)
-    )
+    """(label, text) from lines `label text`; lines without a blank are left out.
+
+    Any encoding that Spark decodes and whose line ends are single bytes. Bytes that UTF-8 does not allow become U+FFFD.
+    """
+    # The text source hands bytes on as they are, whatever they encode.
+    raw = spark.read.text(paths)
+    utf8 = encoding.upper().replace("-", "") == "UTF8"
+    lines = raw.select((F.make_valid_utf8("value") if utf8 else F.decode(F.col("value").cast("binary"), encoding)).alias("line"))
     parts = F.split(T.strip("line"), " ", 2)
     return lines.select(parts.alias("p")).where(F.size("p") == 2).select(
         F.col("p")[0].alias("label"), F.col("p")[1].alias("text")
