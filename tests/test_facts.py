@@ -65,6 +65,22 @@ def test_narrow_axes_turn_the_projection_false(spark, monkeypatch):
     assert not (found["x_is_axis"] and found["y_is_axis"])
 
 
+def test_constant_encoder_turns_the_query_false(spark, monkeypatch):
+    assert truths(vectors.v3(spark, FOLDER).drop("is_query")) == {"as_expected": True, "told_apart": True}
+    constant = F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")
+    monkeypatch.setattr(embed, "embed", lambda df, *_: df.withColumn("embedding", constant))
+    assert truths(vectors.v3(spark, FOLDER).select("told_apart")) == {"told_apart": False}
+
+
+def test_similarity_to_a_query_without_vector_is_null(spark):
+    df = spark.createDataFrame([(1, "red apple"), (2, None)], "id bigint, text string")
+    model = embed.hashing_model()
+    rows = embed.embed_with(df, model)
+    got = {r.id: r.similarity for r in embed.similar_to(rows, embed.embed_query_with(spark, "red apple", model)).collect()}
+    assert got[1] == pytest.approx(1.0, abs=1e-6) and got[2] is None
+    assert [r.similarity for r in embed.similar_to(rows, embed.embed_query_with(spark, "  ", model)).collect()] == [None, None]
+
+
 def test_external_encoder_keeps_vectors_at_their_ids(spark):
     rows = [(i, t) for i, t in enumerate(["a b", None, " ", "b a", "c " * 500, "a a a", "a b c"])]
     df = spark.createDataFrame(rows, "id int, text string")

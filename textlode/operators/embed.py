@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,6 +85,18 @@ def embed_with(
     return df.select(id_col, text_col).mapInArrow(encode, schema)
 
 
+def embed_query_with(spark: SparkSession, text: str, load_model: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """One row with the embedding of one query text by an external model."""
+    query = spark.range(1).select(F.col("id").alias("query_id"), F.lit(text).alias("text"))
+    return query.select("query_id", "text").join(embed_with(query, load_model, "query_id"), "query_id")
+
+
+def similar_to(vectors: DataFrame, query: DataFrame, vec_col: str = "embedding", out: str = "similarity") -> DataFrame:
+    """Add the cosine of each vector with the one row of `query`; null where either has no vector."""
+    # One vector: part of the expression, so that the vectors are scanned once and not joined.
+    return vectors.withColumn(out, V.cosine(vec_col, F.lit(query.first()[vec_col]).cast("array<double>")))
+
+
 def normalize_embeddings(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     return df.withColumn(vec_col, V.l2_normalize(vec_col))
 

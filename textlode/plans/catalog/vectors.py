@@ -31,14 +31,15 @@ def v1(spark, folder):
 
 
 HASH_DIM = 16
+HASHED = f"""words AS (SELECT id, md5(unnest({sql.words('text')})) AS m FROM docs),
+    hits AS (SELECT id, CAST('0x' || substr(m, 1, 8) AS BIGINT) % {HASH_DIM} AS pos, 1 - 2 * (CAST('0x' || substr(m, 9, 1) AS BIGINT) % 2) AS sign FROM words),
+    sums AS (SELECT id, pos, sum(sign)::DOUBLE AS value FROM hits GROUP BY 1, 2),
+    norms AS (SELECT id, sqrt(sum(value * value)) AS len FROM sums GROUP BY 1)"""
 
 
 @query(
     "v1_external_encoder",
-    f"""WITH {sql.DOCS}, words AS (SELECT id, md5(unnest({sql.words('text')})) AS m FROM docs),
-    hits AS (SELECT id, CAST('0x' || substr(m, 1, 8) AS BIGINT) % {HASH_DIM} AS pos, 1 - 2 * (CAST('0x' || substr(m, 9, 1) AS BIGINT) % 2) AS sign FROM words),
-    sums AS (SELECT id, pos, sum(sign)::DOUBLE AS value FROM hits GROUP BY 1, 2),
-    norms AS (SELECT id, sqrt(sum(value * value)) AS len FROM sums GROUP BY 1)
+    f"""WITH {sql.DOCS}, {HASHED}
     SELECT n.id, p.pos, round(CAST(CAST(coalesce(value, 0.0::DOUBLE) / len AS FLOAT) AS DOUBLE), 6) AS value
     FROM norms n CROSS JOIN (SELECT unnest(range({HASH_DIM})) AS pos) p LEFT JOIN sums s ON s.id = n.id AND s.pos = p.pos WHERE len > 0""",
 )
@@ -63,18 +64,46 @@ def v2(spark, folder):
     )
 
 
+QUERY = "one AS (SELECT id AS query_id, text AS query FROM docs WHERE length(text) > 200 ORDER BY id LIMIT 1)"
+
+
+def _query_text(docs):
+    return docs.where(F.length("text") > 200).orderBy("id").select("text").first()["text"]
+
+
 @query(
     "v3_embed_query",
-    f"WITH {sql.DOCS}, one AS (SELECT text FROM docs WHERE length(text) > 200 ORDER BY id LIMIT 1) SELECT id, 1.0::DOUBLE AS similarity FROM docs JOIN one USING (text)",
+    f"WITH {sql.DOCS}, {QUERY} SELECT id, coalesce(text = query, false) AS is_query, true AS as_expected, true AS told_apart FROM docs CROSS JOIN one",
 )
 def v3(spark, folder):
-    """The query is the text of a document: it has similarity 1 with that document and its copies."""
+    """The query is the text of a document: of all documents it and its copies have similarity 1, and the encoder tells others apart."""
     docs = documents(spark, folder).select("id", "text")
     encoder = embed.fit_encoder(docs, dim=DIM)
-    text = docs.where(F.length("text") > 200).orderBy("id").select("text").first()["text"]
-    one = embed.embed_query(docs, text, encoder).select(F.col("embedding").alias("query"))
-    same = embed.embed(docs.where(F.col("text") == text), encoder).withColumn("query", F.lit(one.first()["query"]))
-    return same.select("id", F.round(V.cosine("embedding", "query"), 6).alias("similarity"))
+    text = _query_text(docs)
+    found = embed.similar_to(embed.embed(docs, encoder), embed.embed_query(docs, text, encoder))
+    found = stage(found.select("id", F.coalesce(F.col("text") == text, F.lit(False)).alias("is_query"), "similarity"), "similar")
+    least = found.agg(F.min("similarity")).scalar()
+    size = F.abs("similarity")
+    expected = F.when(F.col("is_query"), F.abs(size - 1) < 1e-6).otherwise(F.col("similarity").isNull() | (size < 1 + 1e-6))
+    return found.select("id", "is_query", F.coalesce(expected, F.lit(False)).alias("as_expected"), (least < 0.9).alias("told_apart"))
+
+
+@query(
+    "v3_external_query",
+    f"""WITH {sql.DOCS}, {QUERY}, {HASHED},
+    units AS (SELECT id, pos, CAST(CAST(value / len AS FLOAT) AS DOUBLE) AS value FROM sums JOIN norms USING (id) WHERE len > 0),
+    lens AS (SELECT id, sqrt(sum(value * value)) AS len FROM units GROUP BY 1),
+    q AS (SELECT pos, value AS other FROM units JOIN one ON id = query_id),
+    dots AS (SELECT id, sum(value * coalesce(other, 0)) AS dot FROM units LEFT JOIN q USING (pos) GROUP BY 1)
+    SELECT id, CASE WHEN abs(dot) < 4e-7 THEN 0.0::DOUBLE ELSE round(dot / len / (SELECT sqrt(sum(other * other)) FROM q), 6) END AS similarity
+    FROM docs LEFT JOIN dots USING (id) LEFT JOIN lens USING (id)""",
+)
+def v3_external(spark, folder):
+    """One query text against all documents, both by a model from outside; the values can be stated in SQL."""
+    docs = documents(spark, folder).select("id", "text")
+    model = embed.hashing_model(HASH_DIM)
+    found = embed.similar_to(embed.embed_with(docs, model), embed.embed_query_with(spark, _query_text(docs), model))
+    return found.select("id", F.round("similarity", 6).alias("similarity"))
 
 
 NEXT = "p AS (SELECT a.id AS id_a, b.id AS id_b, a.v AS va, b.v AS vb FROM vecs a JOIN vecs b ON b.id = a.id + 1)"
