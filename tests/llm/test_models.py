@@ -274,3 +274,25 @@ def test_rounds_keep_every_batch():
         found = list(language.rounds(iter(batches), chars))
         assert [id(b) for held in found for b in held] == [id(b) for b in batches]
     assert len(list(language.rounds(iter(batches), 0))) == 4 and len(list(language.rounds(iter(batches), 100))) == 1
+
+
+def test_calibration_reads_all_labelled_rows(spark, monkeypatch):
+    """Temperature and limits are those of all labelled texts, copies among them, however small the sample of old was."""
+    rng = random.Random(8)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(80)] for lang, letters in (("a", "abcdefg"), ("b", "efghijk"))}
+    rows = [(i, " ".join(rng.choice(words["ab"[i % 2]]) for _ in range(1 + i % 9)), "ab"[i % 2]) for i in range(300)]
+    rows += [(i, "abc bcd", "a") for i in range(300, 340)] + [(400, "zzz qqq", "b"), (401, "12", "a"), (402, None, "a"), (403, "abc", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    monkeypatch.setattr(language, "CALIBRATION_ROWS", 20, raising=False)
+    monkeypatch.setattr(language, "CALIBRATION_CHARS", 300, raising=False)
+    for cells in (language.SHARD_CELLS, 300):
+        monkeypatch.setattr(language, "SHARD_CELLS", cells)
+        model = language.train(docs)
+        texts = [(text, "ab".index(lang)) for _, text, lang in rows if text and lang and text != "12"]
+        total, n, table = np.zeros((len(texts), 2)), np.zeros(len(texts), int), language.letters()
+        for first, behind, shard in language.opened(model.shards):
+            language.add_nats(total, n, [text for text, _ in texts], first, behind, shard, table)
+        h, y = total / n[:, None], np.array([own for _, own in texts])
+        loss = [np.log(np.exp((h[np.arange(len(y)), y][:, None] - h) * t).sum(1)).mean() for t in language.TEMPERATURES]
+        assert model.temperature == language.TEMPERATURES[int(np.argmin(loss))]
+        assert np.allclose(model.limits, [np.quantile(h[y == i, i], language.ACCEPTED_SHARE) for i in (0, 1)], rtol=1e-9)
