@@ -110,6 +110,59 @@ def test_tfidf(corpus, truth, request, forced):
         assert got[i] == pytest.approx(want[i])
 
 
+@pytest.mark.parametrize("most", [0, 5, 1 << 17])
+def test_tfidf_with_few_frequent_terms(spark, monkeypatch, no_broadcast, most):
+    """Ids that repeat or are null are one document, whatever share of the terms every task holds; no row of a term and a document meets the vocabulary twice."""
+    rows = [(i % 50 if i % 7 else None, f"Word{i % 3} common common w{i} x{i % 20}") for i in range(120)] + [(60, None), (61, "- a"), (62, "common")]
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    monkeypatch.setattr(tfidf, "FREQUENT", most)
+    monkeypatch.setattr(tfidf, "TASK_PAIRS", 30)
+    texts, df = defaultdict(list), Counter()
+    for i, text in rows:
+        found = re.findall(r"\w{2,}", (text or "").lower())
+        texts[i] += found
+        df.update(set(found))
+    got = defaultdict(dict)
+    for r in tfidf.tfidf(docs).collect():
+        assert r.term not in got[r.id]
+        got[r.id][r.term] = r.weight
+    assert got.keys() == {i for i, found in texts.items() if found}
+    raw = {i: {t: n * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in Counter(found).items()} for i, found in texts.items() if found}
+    want = {i: {t: x / math.sqrt(sum(y * y for y in own.values())) for t, x in own.items()} for i, own in raw.items()}
+    for i, own in want.items():
+        assert got[i] == pytest.approx(own)
+    pairs = spark.createDataFrame([(0, 1, 2), (1, 3, 3), (2, 1, 62), (3, 61, 1), (4, None, 1), (5, 1, 2), (5, 1, 3)], "key int, id_a bigint, id_b bigint")
+    found = [(r.key, r.id_a, r.id_b, r.similarity) for r in tfidf.pair_similarity(docs, pairs, ["key"], "id", "text").collect()]
+    cosine = lambda a, b: sum(x * want.get(b, {}).get(t, 0.0) for t, x in want.get(a, {}).items())
+    sums = {key: sum(cosine(a, b) for k, a, b in ((r.key, r.id_a, r.id_b) for r in pairs.collect()) if k == key and a is not None) for key in range(6)}
+    assert len(found) == 7 and all(s == pytest.approx(sums[key]) for key, _, _, s in found)
+
+
+def shuffled_rows(frame):
+    """Rows that leave each exchange of a plan that has run."""
+    found, todo = [], [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif name == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_frequent_terms_are_not_shuffled(spark, no_broadcast):
+    """However large the vocabulary is: texts travel once, not a row for each term of each document."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 40}" for j in range(60))) for i in range(300)], "id bigint, text string").repartition(3)
+    weights = tfidf.tfidf(docs)
+    n = len(weights.collect())
+    assert n > 3000 and max(shuffled_rows(weights)) <= 300
+
+
 def test_hard_negatives_take_the_most_similar(spark, corpus, truth):
     want = vectors({i: r.text for i, r in truth.items()})
     classes, _ = P.class_table(corpus)

@@ -197,7 +197,7 @@ def hardest_of(df: DataFrame, members: DataFrame, candidates: int, id_col: str,
     """
     sought = members.where(F.col("nth") != PARTNER).select("draw_id", "nth", "id")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sought.select("id").distinct(), "id", "left_semi")
-    found = vectors(docs, inverse_frequency(df, text_col)).join(sought, "id").select("draw_id", "nth", "length", "terms")
+    found = vectors(stage(docs, "wanted"), stage(inverse_frequency(df, text_col), "idf")).join(sought, "id").select("draw_id", "nth", "length", "terms")
     terms = exploded(found.repartition("draw_id"), "draw_id", "nth")
     # A column a candidate: sums of products then need no lists.
     tries = range(candidates)

@@ -6,12 +6,18 @@ length 1. Terms are lower-case runs of 2 or more word characters.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlode.functions import text as T
 from textlode.operators.scale import stage
 
+# Terms whose idf every task holds, and pairs of a document and a term that a task counts.
+FREQUENT = 1 << 17
+TASK_PAIRS = 2_000_000
+
 
 def inverse_frequency(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, df, idf) over all documents."""
@@ -24,22 +30,43 @@ def inverse_frequency(df: DataFrame, text_col: str = "text") -> DataFrame:
     return per_term.withColumn("idf", F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0)
 
 
+def frequent(idf: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(term, idf) of the most frequent terms, FREQUENT at most, and of the others; how often a term is in a document in all."""
+    level = F.floor(F.log2("df") * 4)
+    # A row for each quarter of a power of 2.
+    levels = idf.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("df").alias("pairs")).collect()
+    least, held = float("inf"), 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        held += r["n"]
+        if held > FREQUENT:
+            break
+        least = r["level"]
+    terms = idf.withColumn("_frequent", level >= F.lit(float(least)))
+    common, rest = terms.where("_frequent"), terms.where("not _frequent")
+    return common.select("term", "idf"), rest.select("term", "idf"), sum(r["pairs"] for r in levels)
+
+
 def vectors(docs: DataFrame, idf: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, length, terms) of the documents with a term: the length of the vector and its sorted (term, raw) before scaling.
+    """(id, length, terms) of the documents with a term: the length of the vector and its sorted (term, raw, tf) before scaling.
 
-    The texts are shuffled once by id; counting terms and scaling documents then stay in place. A frequent term of a vocabulary too
-    large to broadcast is a skewed key of a plain join, which is split at run time.
+    `idf` is staged. The texts are shuffled once by id; counting terms and scaling documents then stay in place. Frequent terms, most of
+    what is in any text, are a bounded table that every task holds. Only of the others each document asks for the idf, in
+    rows that meet the vocabulary by term and then travel with the texts.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
-    counts = (
-        texts.select("id", F.explode(T.terms("text")).alias("term"))
-        .groupBy("id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    found = counts.join(idf.select("term", "idf"), "term")
-    raw = found.select("id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    common, rest, pairs = frequent(idf)
+    asked = texts.select("id", F.explode(F.array_distinct(T.terms("text"))).alias("term"))
+    asked = asked.join(F.broadcast(common.select("term")), "term", "left_anti")
+    answers = asked.join(rest, "term").select("id", F.lit(None).cast("string").alias("text"), F.array("term").alias("answer"), "idf")
+    both = texts.select("*", F.lit(None).cast("array<string>").alias("answer"), F.lit(None).cast("double").alias("idf")).unionByName(answers)
+    # So many tasks that the terms of each fit its memory.
+    both = both.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / TASK_PAIRS)), "id")
+    rows = both.select("id", "idf", F.col("answer").isNull().cast("bigint").alias("n"), F.explode(F.coalesce("answer", T.terms("text"))).alias("term"))
+    counts = rows.groupBy("id", "term").agg(F.sum("n").alias("tf"), F.max("idf").alias("idf"))
+    found = counts.join(F.broadcast(common.withColumnRenamed("idf", "_common")), "term", "left").withColumn("idf", F.coalesce("_common", "idf"))
+    raw = found.where("idf IS NOT NULL").select("id", "term", (F.col("tf") * F.col("idf")).alias("raw"), F.col("tf").cast("int").alias("tf"))
     # One document's terms: as large as the document, which already is one value.
-    per_doc = raw.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "raw"))).alias("terms"))
+    per_doc = raw.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "raw", "tf"))).alias("terms"))
     length = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["raw"] * t["raw"]))
     return per_doc.select("id", length.alias("length"), "terms")
 
