@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,19 +88,35 @@ def tfidf(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFram
     return weights(df, stage(inverse_frequency(df, text_col), "idf"), id_col, text_col)
 
 
+def inner_products(words_a: pd.Series, tf_a: pd.Series, words_b: pd.Series, tf_b: pd.Series, raw_b: pd.Series) -> pd.Series:
+    """Inner products of vectors before scaling: words with a blank between them, their counts and, of one side, their values."""
+
+    def product(a, n, b, m, y):
+        # The other side's value of a word is its count times the idf, which is y / m.
+        other = dict(zip(b.split(" "), zip(y.tolist(), m.tolist())))
+        return sum(count * other[word][0] / other[word][1] * other[word][0] for word, count in zip(a.split(" "), n.tolist()) if word in other)
+
+    return pd.Series([product(*row) for row in zip(words_a, tf_a, words_b, tf_b, raw_b)], dtype=float)
+
+
 def pair_similarity(df: DataFrame, pairs: DataFrame, keys: list[str], id_col: str, text_col: str) -> DataFrame:
     """Add `similarity`, the TF-IDF cosine of id_a and id_b, to pairs told apart by `keys`.
 
-    Document frequencies come from the whole corpus, weights only from the documents in the pairs.
+    Document frequencies come from the whole corpus, weights only from the documents in the pairs. A vector is one row: the counts of id_a's words go to
+    id_b with the pair, where the two are multiplied.
     """
     idf = stage(inverse_frequency(df, text_col), "idf")
     pairs = stage(pairs, "tries")
     needed = stage(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "needed")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
-    scaled = stage(weights(docs, idf), "vectors")
-    left = scaled.select(F.col("id").alias("id_a"), "term", F.col("weight").alias("weight_a"))
-    right = scaled.select(F.col("id").alias("id_b"), "term", F.col("weight").alias("weight_b"))
+    # No term holds a blank.
+    columns = [F.array_join(F.col("terms.term"), " ").alias("words"), F.col("terms.tf").alias("tf"), F.col("terms.raw").alias("raw")]
+    found = stage(vectors(docs, idf).select("id", "length", *columns), "vectors")
+    left = found.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "length", "words", "tf")])
+    right = found.select(*[F.col(c).alias(f"{c}_b") for c in found.columns])
     # A row of a small class may be in a third of the pairs: a skewed key, split at run time.
-    matched = left.join(pairs, "id_a").join(right, ["id_b", "term"])
-    scores = matched.groupBy(*keys).agg(F.sum(F.col("weight_a") * F.col("weight_b")).alias("similarity"))
+    matched = left.join(pairs, "id_a").join(right, "id_b")
+    product = F.pandas_udf(inner_products, "double")("words_a", "tf_a", "words_b", "tf_b", "raw_b")
+    product = product / (F.col("length_a") * F.col("length_b"))
+    scores = matched.select(*keys, product.alias("product")).groupBy(*keys).agg(F.sum("product").alias("similarity"))
     return pairs.join(scores, keys, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
