@@ -221,3 +221,39 @@ def test_empty_sides(spark):
     rows = spark.createDataFrame(random_rows(5, 3, 1), SCHEMA)
     assert K.knn(rows.where("false"), rows).collect() == []
     assert K.knn(rows, rows.where("false")).collect() == []
+
+
+def traced_peak(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_routing_a_batch_takes_bounded_memory(spark, monkeypatch):
+    """However many cells and queries: a batch of queries that meet all blocks is routed in slices, each as large as a tile."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    points = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=3)], 0) for i in range(400)], "neighbour_id bigint, point array<double>, label_id int")
+    pivots = rng.normal(size=(200, 3))
+    cells = K.Cells(points, pivots, 5, 1, 400)
+    cells.kth = np.full(200, np.inf)
+    asked = spark.createDataFrame([], "query_id bigint, query array<double>")
+    taken = []
+    monkeypatch.setattr(type(asked), "mapInArrow", lambda self, f, schema: taken.append(f))
+    cells.routes(asked)
+    monkeypatch.setattr(K, "TILE_BYTES", 1 << 20)
+    monkeypatch.setattr(K, "ROUTED_ROWS", 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(rng.normal(size=(4000, 3)).tolist())], names=["query_id", "query"])
+    met = []
+    peak = traced_peak(lambda: met.extend(len(out) for out in taken[0](iter([batch]))))
+    assert sum(met) == 4000 * int(cells.blocks.sum()) >= 1_600_000
+    assert peak < 24 << 20
+    first = pa.Table.from_batches(list(taken[0](iter([batch.slice(0, 50)]))))
+    pairs = set(zip(first.column(0).to_pylist(), first.column(1).to_pylist()))
+    assert pairs == {(block, q) for block in range(int(cells.blocks.sum())) for q in range(50)} and first.num_rows == len(pairs)

@@ -37,6 +37,13 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(rows), -1)
 
 
+def slices(column: pa.Array, width: int):
+    """A list column in matrices of so many rows that a table of `width` numbers for each row is no larger than a tile; where each begins."""
+    step = max(1, TILE_BYTES // (8 * max(width, 1)))
+    for at in range(0, len(column), step):
+        yield at, matrix(pa.chunked_array([column.slice(at, step)]))
+
+
 def nearest_in_block(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int):
     """(query row, point row, squared distance) of each query's k nearest points, ties by id.
 
@@ -45,8 +52,10 @@ def nearest_in_block(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k
     direct difference in double, summed from the first element to the last. Points are sorted by id, so ties
     go to the smaller id.
     """
-    order = np.argsort(ids, kind="stable")
-    points = points[order]
+    order = np.arange(len(ids))
+    if (ids[1:] < ids[:-1]).any():
+        order = np.argsort(ids, kind="stable")
+        points = points[order]
     n, dim = points.shape
     k = min(k, n)
     run = max(1, min(RUN, n // k))  # at least k runs
@@ -56,7 +65,8 @@ def nearest_in_block(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k
     error = 4 * (dim + 8) * float(np.finfo(np.float32).eps)
     # |x|^2 - 2qx as one product: the norms are a further row, and padding is out of reach.
     rough_points = np.zeros((dim + 1, -(-n // run) * run), dtype=np.float32)
-    rough_points[:dim, :n] = -2 * points.T / scale
+    # In place, as a copy in double would be the largest of all.
+    np.multiply(points.T, -2 / scale, out=rough_points[:dim, :n], casting="same_kind")
     rough_points[dim, :n] = (norms[1] / scale) ** 2
     rough_points[dim, n:] = 1e30
     tile = max(1, TILE_BYTES // (4 * rough_points.shape[1]))
@@ -144,9 +154,10 @@ class Cells:
 
         def run(batches):
             for batch in batches:
-                gaps = _distances(matrix(pa.chunked_array([batch.column("point")])), shared.value) if len(batch) else np.empty((0, 1))
-                cell = gaps.argmin(1) if len(batch) else np.empty(0, int)
-                radius = gaps[np.arange(len(batch)), cell]
+                cell, radius = np.empty(len(batch), int), np.empty(len(batch))
+                for at, vectors in slices(batch.column("point"), len(shared.value)):
+                    gaps = _distances(vectors, shared.value)
+                    cell[at : at + len(vectors)], radius[at : at + len(vectors)] = gaps.argmin(1), gaps.min(1)
                 columns = [*batch.columns, pa.array(cell, pa.int32()), pa.array(radius, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -182,17 +193,17 @@ class Cells:
             pivots, first, blocks, near, far, kth = shared.value
             widest = float(np.sqrt((pivots * pivots).sum(1)).max())
             for batch in batches:
-                if not len(batch):
-                    continue
-                vectors = matrix(pa.chunked_array([batch.column("query")]))
-                scale = widest + np.sqrt((vectors * vectors).sum(1))[:, None]
-                row, cell = np.nonzero(wanted(_distances(vectors, pivots), scale, near, far, kth, blocks) & (blocks > 0))
-                block = np.repeat(first[cell], blocks[cell]) + np.concatenate([np.arange(n) for n in blocks[cell]] or [np.empty(0, int)])
-                row = np.repeat(row, blocks[cell])
-                for at in range(0, len(row), ROUTED_ROWS):
-                    part = batch.take(pa.array(row[at : at + ROUTED_ROWS]))
-                    columns = [pa.array(block[at : at + ROUTED_ROWS], pa.int32()), part.column("query_id"), part.column("query")]
-                    yield pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(schema))
+                for start, vectors in slices(batch.column("query"), max(len(pivots), int(blocks.sum()))):
+                    scale = widest + np.sqrt((vectors * vectors).sum(1))[:, None]
+                    row, cell = np.nonzero(wanted(_distances(vectors, pivots), scale, near, far, kth, blocks) & (blocks > 0))
+                    # All blocks of a cell, one after the other.
+                    times = blocks[cell]
+                    block = np.repeat(first[cell] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                    row = np.repeat(row + start, times)
+                    for at in range(0, len(row), ROUTED_ROWS):
+                        part = batch.take(pa.array(row[at : at + ROUTED_ROWS]))
+                        columns = [pa.array(block[at : at + ROUTED_ROWS], pa.int32()), part.column("query_id"), part.column("query")]
+                        yield pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(schema))
 
         return asked.select("query_id", "query").mapInArrow(run, schema)
 
@@ -218,17 +229,24 @@ def _meet(points: DataFrame, routes: DataFrame, k: int, blocks: int) -> DataFram
     )
     arrow = to_arrow_schema(schema)
 
-    def found(index: list[pa.RecordBatch], queries: list[pa.RecordBatch]):
-        if not index or not queries:
+    def sorted_block(index: list[pa.RecordBatch]):
+        """Ids, points and labels of a block by id; its batches are let go."""
+        x = pa.Table.from_batches(index)
+        index.clear()
+        x = x.take(np.argsort(x["neighbour_id"].to_numpy(), kind="stable"))
+        return x["neighbour_id"].combine_chunks(), matrix(x["point"]), x["label_id"].combine_chunks()
+
+    def found(block, queries: list[pa.RecordBatch]):
+        if block is None or not queries:
             return
-        x, asked = pa.Table.from_batches(index), pa.Table.from_batches(queries)
-        ids = x["neighbour_id"].to_numpy()
-        q, p, d = nearest_in_block(matrix(asked["query"]), matrix(x["point"]), ids, k)
-        columns = [asked["query_id"].take(q), x["neighbour_id"].take(p), pa.array(d), x["label_id"].take(p)]
+        ids, points, labels = block
+        asked = pa.Table.from_batches(queries)
+        q, p, d = nearest_in_block(matrix(asked["query"]), points, ids.to_numpy(zero_copy_only=False), k)
+        columns = [asked["query_id"].take(q), ids.take(p), pa.array(d), labels.take(p)]
         yield from pa.table(columns, names=arrow.names).cast(arrow).to_batches()
 
     def run(batches):
-        block, index, queries, held = None, [], [], 0
+        block, index, points, queries, held = None, [], None, [], 0
         for batch in batches:
             name = batch.column("block").to_numpy()
             cuts = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1).tolist(), len(name)]
@@ -236,19 +254,24 @@ def _meet(points: DataFrame, routes: DataFrame, k: int, blocks: int) -> DataFram
                 if a == b:
                     continue
                 if name[a] != block:
-                    yield from found(index, queries)
-                    block, index, queries, held = name[a], [], [], 0
+                    yield from found(points, queries)
+                    block, points, held = name[a], None, 0
+                    index.clear()
+                    queries.clear()
                 part = batch.slice(a, b - a)
                 points_here = int((part.column("side").to_numpy() == 0).sum())
                 if points_here:
                     index.append(part.slice(0, points_here).select(["neighbour_id", "point", "label_id"]))
                 if points_here < len(part):
+                    # The points of a block come before its queries.
+                    points = sorted_block(index) if index else points
                     queries.append(part.slice(points_here).select(["query_id", "query"]))
                     held += len(part) - points_here
                 if held >= QUERY_ROWS:
-                    yield from found(index, queries)
-                    queries, held = [], 0
-        yield from found(index, queries)
+                    yield from found(points, queries)
+                    held = 0
+                    queries.clear()
+        yield from found(points, queries)
 
     together = left.unionByName(right).repartition(min(blocks, MOST_TASKS), "block").sortWithinPartitions("block", "side")
     best = together.mapInArrow(run, schema)
